@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_JSON_SPACE = " \t\r\n"
+
 
 def _scalar(value: Column) -> Column:
     """A scalar variant as text; objects, arrays and JSON null give SQL null."""
@@ -28,17 +30,26 @@ def json_scalar(value: Column) -> Column:
     return _scalar(F.try_parse_json(value))
 
 
+def json_string(value: Column) -> Column:
+    """The text of a JSON string; null for JSON of any other type.
+
+    The type shows in the first character, and a string without escapes is just what stands
+    between its quotes, so only strings with escapes are parsed.
+    """
+    text = F.btrim(value, F.lit(_JSON_SPACE))
+    plain = F.substring(text, F.lit(2), F.length(text) - 2)
+    escaped = F.contains(text, F.lit("\\"))
+    return F.when(
+        text.startswith('"'), F.when(escaped, json_scalar(text)).otherwise(plain)
+    )
+
+
 def json_field(value: Column, path: str) -> Column:
     """A scalar at ``path`` of a variant as text."""
     inner = F.try_variant_get(value, path, "variant")
     return _scalar(inner)
 
 
-def is_json_string(value: Column) -> Column:
-    """Whether valid JSON text is a string, told by its first character (nothing is parsed)."""
-    return F.coalesce(value.rlike(r'^\s*"'), F.lit(False))
-
-
 def is_empty_json(value: Column) -> Column:
     """SQL null, JSON null or an object without members, told without parsing."""
     return F.coalesce(value.rlike(r"^\s*(?:null|\{\s*\})\s*$"), F.lit(True))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.jsontext import is_empty_json, is_json_string, json_scalar
+from tidewatch.functions.jsontext import is_empty_json, json_string
 from tidewatch.functions.numbers import share
 from tidewatch.functions.text import not_blank
 from tidewatch.operators.hydrate import incident_columns, with_dataset_identity
@@ -24,16 +24,15 @@ EVIDENCE_SIZE = 5
 
 def _parent_reference(column: str) -> Column:
     """The referred id of a string reference; inlined parents and absent ones give null."""
-    text = json_scalar(F.when(is_json_string(F.col(column)), F.col(column)))
-    return F.regexp_replace(text, '^"+|"+$', "")
+    return F.btrim(json_string(F.col(column)), F.lit('"'))
 
 
 def reference_edges(opportunities: DataFrame) -> DataFrame:
-    """(dataset_id, ref_id, kind, children, unplaced, present), one row per id and child kind.
+    """(dataset_id, ref_id, named, present, kind, children, unplaced) per id and child kind.
 
-    ``children`` counts the kind's child records referring to ``ref_id`` (null: they refer to
-    none), ``unplaced`` those of them without a location, ``present`` tells whether the
-    dataset publishes a record with that id.
+    ``children`` counts the kind's child records referring to ``ref_id`` (not ``named``: they
+    refer to none), ``unplaced`` those of them without a location, ``present`` tells whether
+    the dataset publishes a record with that id.
     """
     is_child = F.col("kind").isin(*CHILD_KINDS)
     published = F.when(
@@ -55,15 +54,20 @@ def reference_edges(opportunities: DataFrame) -> DataFrame:
         ),
     )
     offered = opportunities.where(
-        F.col("dataset_url").isNotNull() & (F.col("data_id").isNotNull() | is_child)
+        not_blank(F.col("dataset_url")) & (F.col("data_id").isNotNull() | is_child)
     ).select(
         F.col("dataset_url").alias("dataset_id"),
-        F.inline(F.array_compact(F.array(published, referring))),
+        F.inline(F.array(published, referring)),
     )
+    # The half a record does not have comes out as a row of nulls.
+    offered = offered.where(F.col("present").isNotNull())
     of_kind = [
         (kind, F.col("child_kind") == kind) for kind in CHILD_KINDS
     ]
     grouped = offered.groupBy("dataset_id", "ref_id").agg(
+        # As an aggregate the test stays above the shuffle, so every user of these edges can
+        # share it.
+        F.bool_or(F.col("ref_id").isNotNull()).alias("named"),
         F.bool_or("present").alias("present"),
         *[F.count_if(match).alias(f"children_{i}") for i, (_, match) in enumerate(of_kind)],
         *[
@@ -81,20 +85,20 @@ def reference_edges(opportunities: DataFrame) -> DataFrame:
             for i, kind in enumerate(CHILD_KINDS)
         ]
     )
-    return grouped.select("dataset_id", "ref_id", "present", F.inline(per_kind)).where(
+    return grouped.select("dataset_id", "ref_id", "named", "present", F.inline(per_kind)).where(
         F.col("children") > 0
     )
 
 
 def _missing() -> Column:
-    return F.col("ref_id").isNotNull() & ~F.col("present") & (F.col("unplaced") > 0)
+    return F.col("named") & ~F.col("present") & (F.col("unplaced") > 0)
 
 
 def kind_counts(edges: DataFrame) -> DataFrame:
     """Child, checked, orphan and missing-parent counts per (dataset_id, kind)."""
     return edges.groupBy("dataset_id", "kind").agg(
         F.sum("children").alias("child_count"),
-        F.sum(F.when(F.col("ref_id").isNotNull(), F.col("unplaced")).otherwise(0)).alias("checked_count"),
+        F.sum(F.when(F.col("named"), F.col("unplaced")).otherwise(0)).alias("checked_count"),
         F.sum(F.when(_missing(), F.col("unplaced")).otherwise(0)).alias("orphan_count"),
         F.count_if(_missing()).alias("missing_parent_count"),
     )
@@ -103,8 +107,7 @@ def kind_counts(edges: DataFrame) -> DataFrame:
 def orphaned_datasets(counts: DataFrame, thresholds: OrphanThresholds = OrphanThresholds()) -> DataFrame:
     """Datasets over both gates, folded over the child kinds."""
     folded = (
-        counts.where(not_blank(F.col("dataset_id")))
-        .groupBy("dataset_id")
+        counts.groupBy("dataset_id")
         .agg(*[
             F.sum(name).alias(name)
             for name in ("child_count", "checked_count", "orphan_count", "missing_parent_count")
@@ -156,10 +159,8 @@ def missing_parents(
     """
     edges = reference_edges(opportunities)
     reported = orphaned_datasets(kind_counts(edges), thresholds).select("dataset_id")
-    # (dataset, kind, id) is unique; ordering by the remaining counts as well changes nothing
-    # but lets this branch read the shuffle the counts above were made from.
     worst_first = [F.desc("unplaced"), F.asc("ref_id")]
-    of_kind = Window.partitionBy("dataset_id", "kind").orderBy(*worst_first, F.desc("children"))
+    of_kind = Window.partitionBy("dataset_id", "kind").orderBy(*worst_first)
     of_dataset = Window.partitionBy("dataset_id").orderBy(*worst_first, F.asc("kind"))
     evidence = (
         edges.where(_missing())

@@ -24,21 +24,27 @@ def public_summary(summary: DataFrame, insight_runs: DataFrame) -> DataFrame:
     """The headline row."""
     label_kind = F.when(F.col("is_activity"), "activity").when(~F.col("is_activity"), "facility")
 
-    def tagged(kind: Column, texts: Column) -> Column:
-        return F.transform(texts, lambda text: F.struct(kind.alias("kind"), text.alias("label")))
+    def entry(kind: Column, text: str) -> Column:
+        return F.struct(kind.alias("kind"), F.col(text).alias("text"))
 
-    # One pass lists every (kind, label) once; the distinct pairs, not the rows, are counted.
-    labels = (
+    # Few distinct texts stand behind many rows: they are made distinct as they are, in one
+    # pass, and only then is their JSON read.
+    texts = (
         summary.select(
             F.inline(
-                F.concat(
-                    tagged(F.lit("publisher"), F.array_compact(F.array("publisher"))),
-                    tagged(label_kind, json_scalars(F.col("activity_or_facility"))),
-                    tagged(F.lit("organization"), json_scalars(F.col("organization_names"))),
+                F.array(
+                    entry(F.lit("publisher"), "publisher"),
+                    entry(label_kind, "activity_or_facility"),
+                    entry(F.lit("organization"), "organization_names"),
                 )
             )
         )
-        .where(F.col("kind").isNotNull())
+        .where(F.col("kind").isNotNull() & F.col("text").isNotNull())
+        .distinct()
+    )
+    values = F.when(F.col("kind") == "publisher", F.array("text")).otherwise(json_scalars(F.col("text")))
+    labels = (
+        texts.select("kind", F.explode(values).alias("label"))
         .distinct()
         .agg(
             F.struct(
@@ -189,9 +195,9 @@ def publishers(summary: DataFrame, where: PublicFilter = EVERYTHING) -> DataFram
 
 
 def activities(summary: DataFrame, where: PublicFilter = EVERYTHING) -> DataFrame:
-    labels = summary.where(where.on_summary()).select(
-        F.explode(json_scalars(F.col("activity_or_facility"))).alias("activity")
-    )
+    # Distinct before the JSON is read: the same lists stand in very many rows.
+    lists = summary.where(where.on_summary()).select("activity_or_facility").distinct()
+    labels = lists.select(F.explode(json_scalars(F.col("activity_or_facility"))).alias("activity"))
     return _alphabetic(labels, "activity")
 
 
