@@ -1,7 +1,9 @@
 """Per (feed, day) frames of the ingestion log.
 
 Runs are collapsed with partial aggregates, so a feed holding a large part of the log
-is reduced on the map side before anything is shuffled.
+is reduced on the map side before anything is shuffled.  What is left of a feed is one row
+per day of the window; the frames bring these together, and all that follows per feed
+needs no further shuffle.
 """
 
 from __future__ import annotations
@@ -32,15 +34,42 @@ def _dataset_of_last_run() -> Column:
     return F.min(F.struct(_last_run_first().alias("order"), "dataset_id"))["dataset_id"]
 
 
-def publishing_days(ingestion: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
-    """(feed_id, day, dataset_id, updated) of every feed day, without the log's very first day."""
+def _after_first_day(ingestion: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    """Window rows without the log's very first day."""
     first_run = ingestion.agg(F.min("ingestion_date")).scalar()
-    rows = _window_rows(ingestion, first, last).where(
+    return _window_rows(ingestion, first, last).where(
         F.col("ingestion_date") >= F.date_add(F.to_date(first_run), 1)
     )
-    return rows.groupBy("feed_id", "day").agg(
-        _dataset_of_last_run().alias("dataset_id"),
-        F.sum("updated").alias("updated"),
+
+
+def publishing_days(ingestion: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    """(feed_id, day, updated) of every feed day, the days of a feed together.
+
+    The totals are the only thing aggregated here: with fixed-width buffers it is a hash
+    aggregation, where the dataset text would make Spark sort the log.  The short day rows,
+    not wider per-feed results, are what moves to the feed's partition.
+    """
+    return (
+        _after_first_day(ingestion, first, last)
+        .groupBy("feed_id", "day")
+        .agg(F.sum("updated").alias("updated"))
+        .repartition("feed_id")
+    )
+
+
+def feed_datasets(ingestion: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    """(feed_id, dataset_id): the dataset of each feed's latest run.
+
+    Reduced to one row per (feed, dataset) first, which is a row or two a feed; runs at the
+    same instant give the smallest dataset.
+    """
+    latest = F.struct((-F.unix_micros(F.col("latest").cast("timestamp"))).alias("order"), "dataset_id")
+    return (
+        _after_first_day(ingestion, first, last)
+        .groupBy("feed_id", "dataset_id")
+        .agg(F.max("ingestion_date").alias("latest"))
+        .groupBy("feed_id")
+        .agg(F.min(latest)["dataset_id"].alias("dataset_id"))
     )
 
 
@@ -71,6 +100,7 @@ def status_days(ingestion: DataFrame, first: dt.date, last: dt.date) -> DataFram
             latest.alias("latest"),
         )
         .select("feed_id", "day", "dataset_id", "status", "latest.error_code", "latest.error_message")
+        .repartition("feed_id")
     )
 
 
@@ -84,13 +114,17 @@ def supply_days(
     ignored = clean_values(ignored_kinds)
     if ignored:
         rows = rows.where(F.col("kind").isNull() | ~F.col("kind").isin(ignored))
-    return rows.groupBy("feed_id", "day").agg(
-        _dataset_of_last_run().alias("dataset_id"),
-        F.max(F.struct("ingestion_date", "total_future_opportunities"))[
-            "total_future_opportunities"
-        ].alias("future"),
-        F.coalesce(F.sum("updated"), F.lit(0)).alias("updated"),
-        F.coalesce(F.sum("actual_deletes"), F.lit(0)).alias("deletes"),
+    return (
+        rows.groupBy("feed_id", "day")
+        .agg(
+            _dataset_of_last_run().alias("dataset_id"),
+            F.max(F.struct("ingestion_date", "total_future_opportunities"))[
+                "total_future_opportunities"
+            ].alias("future"),
+            F.coalesce(F.sum("updated"), F.lit(0)).alias("updated"),
+            F.coalesce(F.sum("actual_deletes"), F.lit(0)).alias("deletes"),
+        )
+        .repartition("feed_id")
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +18,16 @@ IGNORED_KINDS = ("Slot",)
 
 
 def feed_declines(
-    levels: DataFrame, first: dt.date, last: dt.date, thresholds: DeclineThresholds
+    levels: DataFrame,
+    first: dt.date,
+    last: dt.date,
+    thresholds: DeclineThresholds,
+    trend_days: Sequence[dt.date] = (),
 ) -> DataFrame:
     """Declining feeds on each evaluated day ``as_of`` in ``first..last``.
 
+    ``trend`` holds the feed's level on each of ``trend_days``, null where it has none.
+
     A feed's observations are brought together once (its window holds one row per day);
     each then serves every evaluated day whose windows reach back to it, and the rows of a
     (feed, as_of) are folded in the same task without another shuffle.
@@ -33,6 +39,15 @@ def feed_declines(
         levels.withColumn("dataset_id", F.last("dataset_id").over(whole_feed))
         .withColumn("previous_day", F.lag("day").over(in_order))
         .withColumn("previous", F.lag("future").over(in_order))
+        .withColumn(
+            "trend",
+            F.array(
+                *[
+                    F.max(F.when(F.col("day") == F.lit(day), F.col("future"))).over(whole_feed)
+                    for day in trend_days
+                ]
+            ).cast("array<bigint>"),
+        )
     )
     serves_from = F.greatest("day", F.lit(first))
     serves_to = F.least(F.date_add("day", th.qualify_days - 1), F.lit(last))
@@ -49,7 +64,7 @@ def feed_declines(
         falls, percent_drop(F.col("previous") - F.col("future"), F.col("previous"))
     )
     seen = seen.select(
-        "feed_id", "dataset_id", "as_of", "day", "future", "updated", "deletes", "previous_day",
+        "feed_id", "dataset_id", "as_of", "day", "future", "updated", "deletes", "previous_day", "trend",
         in_window.alias("in_window"), is_step.alias("is_step"), falls.alias("falls"),
         step_percent.alias("step_percent"),
     )
@@ -73,6 +88,8 @@ def feed_declines(
         F.max(F.when(F.col("in_window") & ~F.col("falls"), F.col("day"))).alias("run_start"),
         F.sum(F.when(F.col("in_window"), F.col("updated")).otherwise(0)).alias("updated_in_window"),
         F.sum(F.when(F.col("in_window"), F.col("deletes")).otherwise(0)).alias("deletes_in_window"),
+        # The same array in every row of the feed.
+        F.any_value("trend").alias("trend"),
     )
     judged = (
         folded.where(
@@ -117,6 +134,7 @@ def feed_declines(
         "updated_in_window",
         "deletes_in_window",
         "delta_in_window",
+        "trend",
     )
 
 
@@ -137,16 +155,9 @@ def dataset_future_decline(
     """Incidents, one row per dataset over its declining feeds only, largest loss first."""
     th = thresholds
     levels = _incident_levels(ingestion, as_of, th, ignored_kinds)
-    declines = feed_declines(levels, as_of, as_of, th)
     recent = trailing_days(as_of, th.incident_trend_days)
-    trends = levels.groupBy("feed_id").agg(
-        *[
-            F.max(F.when(F.col("day") == F.lit(day), F.col("future"))).alias(f"level_{i}")
-            for i, day in enumerate(recent)
-        ]
-    )
     folded = (
-        declines.join(trends, "feed_id", "left")
+        feed_declines(levels, as_of, as_of, th, recent)
         .groupBy("dataset_id")
         .agg(
             F.count(F.lit(1)).alias("feed_count"),
@@ -155,7 +166,7 @@ def dataset_future_decline(
             F.sum("start_future").alias("start_total"),
             F.sum("current_future").alias("current_total"),
             F.sum("qualify_start_future").alias("qualify_start_total"),
-            F.array(*[F.sum(f"level_{i}") for i in range(len(recent))]).alias("trend"),
+            F.array(*[F.sum(F.col("trend")[i]) for i in range(len(recent))]).alias("trend"),
         )
     )
     drop = F.col("start_total") - F.col("current_total")
@@ -190,7 +201,7 @@ def dataset_future_decline_feeds(
         feed_declines(levels, as_of, as_of, thresholds)
         .withColumn("consecutive_declining_days", F.datediff("as_of", "decline_start"))
         .withColumnRenamed("dataset_id", "dataset_url")
-        .drop("as_of", "decline_start")
+        .drop("as_of", "decline_start", "trend")
     )
     return with_feed_label(declines, feed_names).orderBy(
         "dataset_url", F.desc("drop"), F.desc("drop_percent"), F.asc("feed_id")

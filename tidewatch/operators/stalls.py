@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.daily import on_spine, publishing_days, trailing_array, trailing_days
+from tidewatch.operators.daily import feed_datasets, on_spine, publishing_days, trailing_array, trailing_days
 from tidewatch.operators.hydrate import (
     incident_columns,
     with_dataset_identity,
@@ -30,13 +30,13 @@ def _is_stalled(silent: Column, th: StallThresholds) -> Column:
 
 def feed_silence(ingestion: DataFrame, as_of: dt.date, th: StallThresholds) -> DataFrame:
     """One row per feed seen in the incident window: dataset, last_published, trend array."""
-    days = publishing_days(ingestion, as_of - dt.timedelta(days=th.incident_history_days), as_of)
+    first = as_of - dt.timedelta(days=th.incident_history_days)
     recent = trailing_days(as_of, th.incident_trend_days)
-    return days.groupBy("feed_id").agg(
-        F.max_by("dataset_id", "day").alias("dataset_id"),
+    silences = publishing_days(ingestion, first, as_of).groupBy("feed_id").agg(
         F.max(F.when(_published(), F.col("day"))).alias("last_published"),
         trailing_array(F.coalesce("updated", F.lit(0)), recent).alias("trend"),
     )
+    return silences.join(feed_datasets(ingestion, first, as_of), "feed_id")
 
 
 def _with_incident_days(df: DataFrame, as_of: dt.date, th: StallThresholds) -> DataFrame:
@@ -127,22 +127,23 @@ def silence_by_day(ingestion: DataFrame, as_of: dt.date, th: StallThresholds) ->
     trend day follows from the gaps alone.  The rows are added up per (dataset, day) before
     they leave the task.  A feed's dataset is the one of its latest run for every day.
     """
-    days = publishing_days(ingestion, as_of - dt.timedelta(days=th.trend_history_days), as_of)
-    feed = Window.partitionBy("feed_id")
-    in_order = feed.orderBy("day")
+    first = as_of - dt.timedelta(days=th.trend_history_days)
     trend_start = as_of - dt.timedelta(days=th.trend_days - 1)
-    gaps = (
-        days.withColumn(
-            "dataset_id",
-            F.last("dataset_id").over(
-                in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            ),
-        )
+    in_order = Window.partitionBy("feed_id").orderBy("day")
+    # Of the days before the trend only each feed's last one matters.
+    published = (
+        publishing_days(ingestion, first, as_of)
         .where(_published())
+        .groupBy("feed_id", F.when(F.col("day") >= F.lit(trend_start), F.col("day")).alias("slot"))
+        .agg(F.max("day").alias("day"))
+    )
+    gaps = (
+        published
         .withColumn("next_day", F.lead("day").over(in_order))
         .withColumn("first", F.greatest("day", F.lit(trend_start)))
         .withColumn("last", F.coalesce(F.date_sub("next_day", 1), F.lit(as_of)))
         .where(F.col("first") <= F.col("last"))
+        .join(feed_datasets(ingestion, first, as_of), "feed_id")
     )
     silences = gaps.select(
         "dataset_id",
