@@ -91,68 +91,73 @@ LISTED_FIGURES = ("added", "removed", "without_future", "stopped", "stopped_all_
 
 
 def dataset_flags(months: DataFrame) -> DataFrame:
-    """(month, dataset_id, crawled and the figure flags); a removal counts in the next month.
+    """(month, dataset_id, day masks, crawled and the figure flags) of ``dataset_months``.
 
-    A dataset has at most 62 months, which its window reads in order.
+    A removal counts in the next month.  A dataset has at most 62 months, which its window
+    reads in order; the rows without a dataset only carry their days.
     """
     history = Window.partitionBy("dataset_id").orderBy("month")
-    ingested = F.col("ingested")
+    crawled = F.col("dataset_id").isNotNull()
+    ingested = crawled & F.col("ingested")
     stopped = ingested & (F.col("changes") == 0)
-    known = (
-        months.where(F.col("dataset_id").isNotNull())
-        .withColumn("before", F.lag("month").over(history))
-        .withColumn("after", F.lead("month").over(history))
-    )
     nothing = F.lit(False)
+    new = ~F.coalesce(F.col("before") == F.add_months("month", -1), nothing)
+    lost = ~F.coalesce(F.col("after") == F.add_months("month", 1), nothing)
+    no_days = F.lit(None).cast("int")
     here = F.struct(
         "month",
-        F.lit(True).alias("crawled"),
-        (~F.coalesce(F.col("before") == F.add_months("month", -1), nothing)).alias("added"),
+        "crawl_days",
+        "feed_days",
+        crawled.alias("crawled"),
+        (crawled & new).alias("added"),
         nothing.alias("removed"),
         (ingested & (F.col("max_future") > 0)).alias("with_future"),
         (ingested & (F.col("max_future") <= 0)).alias("without_future"),
         stopped.alias("stopped"),
         (stopped & F.coalesce("all_failed", nothing)).alias("stopped_all_runs_failed"),
-        (~ingested).alias("not_ingested"),
+        (crawled & ~F.col("ingested")).alias("not_ingested"),
     )
     gone = F.when(
-        ~F.coalesce(F.col("after") == F.add_months("month", 1), nothing),
+        crawled & lost,
         F.struct(
             F.add_months("month", 1).alias("month"),
+            no_days.alias("crawl_days"),
+            no_days.alias("feed_days"),
             nothing.alias("crawled"),
             nothing.alias("added"),
             F.lit(True).alias("removed"),
             *[nothing.alias(name) for name in FIGURES[2:]],
         ),
     )
-    return known.select("dataset_id", F.inline(F.array_compact(F.array(here, gone))))
+    return (
+        months.withColumn("before", F.lag("month").over(history))
+        .withColumn("after", F.lead("month").over(history))
+        .select("dataset_id", F.inline(F.array(here, gone)))
+        .where(F.col("month").isNotNull())
+    )
 
 
-def _figures(all_months: DataFrame, as_of: dt.date, months: int) -> DataFrame:
+def _figures(flags: DataFrame, as_of: dt.date, months: int) -> DataFrame:
     """Reported months with their counts; every frame here has one row per month (at most 62)."""
     candidates = candidate_months(as_of, months)
     baseline = shift_month(candidates[0], -1)
-    spine = all_months.sparkSession.range(1).select(
+    spine = flags.sparkSession.range(1).select(
         F.explode(
             F.sequence(F.lit(baseline), F.lit(candidates[-1]), F.expr("interval 1 month"))
         ).alias("month")
     )
-    days = all_months.groupBy("month").agg(
-        F.bit_count(F.bit_or("crawl_days")).alias("days_with_data"),
-        F.bit_count(F.bit_or("feed_days")).alias("days_with_feed_data"),
-    )
-    counts = dataset_flags(all_months).groupBy("month").agg(
-        *[F.count_if(name).alias(name) for name in ("crawled", *FIGURES)]
+    measures = ("days_with_data", "days_with_feed_data", "crawled", *FIGURES)
+    counts = flags.groupBy("month").agg(
+        F.bit_count(F.bit_or("crawl_days")).cast("bigint").alias("days_with_data"),
+        F.bit_count(F.bit_or("feed_days")).cast("bigint").alias("days_with_feed_data"),
+        *[F.count_if(name).alias(name) for name in ("crawled", *FIGURES)],
     )
     in_order = Window.partitionBy(F.lit(1)).orderBy("month")
     everything = Window.partitionBy(F.lit(1))
     zero = F.lit(0).cast("bigint")
     evaluated = (
-        spine.join(days, "month", "left")
-        .join(counts, "month", "left")
-        .withColumn("days_with_data", F.coalesce(F.col("days_with_data").cast("bigint"), zero))
-        .withColumn("days_with_feed_data", F.coalesce(F.col("days_with_feed_data").cast("bigint"), zero))
-        .withColumns({name: F.coalesce(name, zero) for name in ("crawled", *FIGURES)})
+        spine.join(counts, "month", "left")
+        .withColumns({name: F.coalesce(name, zero) for name in measures})
         .withColumn("crawled_before", F.lag("crawled").over(in_order))
         .where(F.col("month") >= F.lit(candidates[0]))
         .withColumn("in_progress", F.last_day("month") > F.lit(as_of))
@@ -190,9 +195,9 @@ def ecosystem_growth(
     Added and removed are null without a previous month to compare with; the publishing
     figures are null in a month without any feed run.
     """
-    all_months = dataset_months(feed_ingestion, ingestion, *_months_window(as_of, months))
+    flags = dataset_flags(dataset_months(feed_ingestion, ingestion, *_months_window(as_of, months)))
     return (
-        _figures(all_months, as_of, months)
+        _figures(flags, as_of, months)
         .select(
             F.col("month").alias("period_start"),
             F.last_day("month").alias("period_end"),
@@ -219,12 +224,12 @@ def ecosystem_growth_datasets(
     months: int = DEFAULT_MONTHS,
 ) -> DataFrame:
     """The datasets behind the figures: (period_start, figure, dataset and publisher names)."""
-    all_months = dataset_months(feed_ingestion, ingestion, *_months_window(as_of, months))
-    reported = _figures(all_months, as_of, months).select(
+    flags = dataset_flags(dataset_months(feed_ingestion, ingestion, *_months_window(as_of, months)))
+    reported = _figures(flags, as_of, months).select(
         "month", _comparable().alias("comparable"), _has_feed_data().alias("has_feed_data")
     )
     # One row per reported month, at most 60.
-    rows = dataset_flags(all_months).join(F.broadcast(reported), "month")
+    rows = flags.join(F.broadcast(reported), "month")
     named = F.filter(
         F.array(
             *[

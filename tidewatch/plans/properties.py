@@ -103,47 +103,46 @@ def property_summary(assessed: DataFrame) -> DataFrame:
     )
 
 
-def _breakdown(usages: DataFrame, key: str, measures_property: bool) -> DataFrame:
-    """Feeds by (dataset, feed) pair and datasets ignoring case, per value of ``key``."""
-    measures = [
+def _reach() -> list[Column]:
+    """Feeds by (dataset, feed) pair, datasets ignoring case."""
+    return [
         F.count_distinct(F.struct("dataset_url", "feed_id")).alias("feed_count"),
         distinct_ignoring_case(F.col("dataset_url")).alias("dataset_count"),
     ]
-    if measures_property:
-        measures.insert(0, F.count_distinct("property").alias("property_count"))
-    return usages.groupBy(key).agg(*measures)
 
 
 def namespace_breakdown(assessed: DataFrame) -> DataFrame:
     namespace = strip(blank_to_null(F.col("namespace")))
-    usages = property_usages(assessed).withColumn("namespace", namespace)
-    return _breakdown(usages, "namespace", True).orderBy(
-        F.desc("feed_count"), F.asc_nulls_last("namespace")
+    return (
+        property_usages(assessed)
+        .groupBy(namespace.alias("namespace"))
+        .agg(F.count_distinct("property").alias("property_count"), *_reach())
+        .orderBy(F.desc("feed_count"), F.asc_nulls_last("namespace"))
     )
 
 
 def entity_type_breakdown(assessed: DataFrame) -> DataFrame:
     entity_type = F.coalesce(strip(blank_to_null(F.col("entity_type"))), F.lit(UNKNOWN))
-    usages = property_usages(assessed).withColumn("entity_type", entity_type)
-    return _breakdown(usages, "entity_type", True).orderBy(F.desc("feed_count"), "entity_type")
+    return (
+        property_usages(assessed)
+        .groupBy(entity_type.alias("entity_type"))
+        .agg(F.count_distinct("property").alias("property_count"), *_reach())
+        .orderBy(F.desc("feed_count"), "entity_type")
+    )
 
 
 def property_breakdown(assessed: DataFrame) -> DataFrame:
-    """Per property: smallest namespace, its entity types, feeds and datasets."""
-    usages = property_usages(assessed)
-    # Reduced to one row per (property, entity type) before the types, a short vocabulary,
-    # are listed.
-    types = (
-        usages.groupBy("property", strip(blank_to_null(F.col("entity_type"))).alias("entity_type"))
-        .agg(F.min(blank_to_null(F.col("namespace"))).alias("namespace"))
+    """Per property: smallest namespace, its entity types, feeds and datasets.
+
+    The set of types is merged on the map side and holds distinct type names only.
+    """
+    return (
+        property_usages(assessed)
         .groupBy("property")
         .agg(
-            F.min("namespace").alias("namespace"),
-            F.sort_array(F.collect_list("entity_type")).alias("entity_types"),
+            F.min(blank_to_null(F.col("namespace"))).alias("namespace"),
+            F.sort_array(F.collect_set(strip(blank_to_null(F.col("entity_type"))))).alias("entity_types"),
+            *_reach(),
         )
-    )
-    return (
-        _breakdown(usages, "property", False)
-        .join(types, "property")
         .orderBy(F.desc("feed_count"), "property")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.jsontext import json_scalars
@@ -25,10 +25,12 @@ def public_summary(summary: DataFrame, insight_runs: DataFrame) -> DataFrame:
     label_kind = F.when(F.col("is_activity"), "activity").when(~F.col("is_activity"), "facility")
 
     def entry(kind: Column, text: str) -> Column:
-        return F.struct(kind.alias("kind"), F.col(text).alias("text"))
+        return F.struct(
+            kind.alias("kind"), F.col(text).alias("text"), F.col("opportunity_count_narrow").alias("narrow")
+        )
 
-    # Few distinct texts stand behind many rows: they are made distinct as they are, in one
-    # pass, and only then is their JSON read.
+    # Each row counts once under every kind.  Few distinct texts stand behind many rows: they
+    # are grouped as they are, in one pass, and only then is their JSON read.
     texts = (
         summary.select(
             F.inline(
@@ -39,38 +41,34 @@ def public_summary(summary: DataFrame, insight_runs: DataFrame) -> DataFrame:
                 )
             )
         )
-        .where(F.col("kind").isNotNull() & F.col("text").isNotNull())
-        .distinct()
+        .where(F.col("kind").isNotNull())
+        .groupBy("kind", "text")
+        .agg(F.sum("narrow").alias("narrow"))
     )
     values = F.when(F.col("kind") == "publisher", F.array("text")).otherwise(json_scalars(F.col("text")))
     labels = (
-        texts.select("kind", F.explode(values).alias("label"))
-        .distinct()
-        .agg(
-            F.struct(
-                F.count_if(F.col("kind") == "publisher").alias("publisher"),
-                F.count_if(F.col("kind") == "activity").alias("activity"),
-                F.count_if(F.col("kind") == "facility").alias("facility"),
-                F.count_if(F.col("kind") == "organization").alias("organization"),
-            )
-        )
-        .scalar()
+        texts.select("kind", "narrow", F.posexplode_outer(values).alias("position", "label"))
+        # The text's figure stays with one of its labels.
+        .withColumn("narrow", F.when(F.coalesce("position", F.lit(0)) == 0, F.col("narrow")))
+        .groupBy("kind", "label")
+        .agg(F.sum("narrow").alias("narrow"))
     )
-    run_date = latest_insight_run(insight_runs).select("run_date").scalar()
-    narrow = F.col("opportunity_count_narrow")
-    return summary.agg(
-        F.sum(narrow).alias("number_of_opportunities"),
-        F.sum(F.when(~F.col("is_activity"), narrow)).alias("number_of_facilities"),
-    ).select(
-        "number_of_opportunities",
-        labels["publisher"].alias("number_of_publishers"),
-        labels["activity"].alias("number_of_activities"),
-        labels["facility"].alias("number_of_facility_types"),
-        "number_of_facilities",
+
+    def of_kind(kind: str) -> Column:
+        return F.col("kind") == kind
+
+    def distinct_labels(kind: str) -> Column:
+        return F.count_if(of_kind(kind) & F.col("label").isNotNull())
+
+    return labels.agg(
+        F.sum(F.when(of_kind("publisher"), F.col("narrow"))).alias("number_of_opportunities"),
+        distinct_labels("publisher").alias("number_of_publishers"),
+        distinct_labels("activity").alias("number_of_activities"),
+        distinct_labels("facility").alias("number_of_facility_types"),
+        F.sum(F.when(of_kind("facility"), F.col("narrow"))).alias("number_of_facilities"),
         F.lit(PERCENTAGE_OF_LOCAL_AUTHORITIES).alias("percentage_of_local_authorities"),
-        labels["organization"].alias("number_of_activity_providers"),
-        run_date.alias("date"),
-    )
+        distinct_labels("organization").alias("number_of_activity_providers"),
+    ).withColumn("date", latest_insight_run(insight_runs).select("run_date").scalar())
 
 
 def opportunities(summary: DataFrame, where: PublicFilter = EVERYTHING) -> DataFrame:
@@ -111,8 +109,16 @@ def opportunity_records(
     return records_page(live_records(opportunity_rows, today, where), order, offset, limit)
 
 
-def _area_tuples(summary: DataFrame, where: PublicFilter) -> DataFrame:
-    return (
+def areas(
+    summary: DataFrame, where: PublicFilter = EVERYTHING, socio_data: DataFrame | None = None
+) -> DataFrame:
+    """Countries, regions and districts as one row per node, with socio columns on request.
+
+    Districts without a region hang on their country, and a country that has such districts
+    lists no regions.  Conflicting codes of one country or region give the smallest.
+    """
+    region = F.when(not_blank(F.col("region_name")), F.col("region_name"))
+    tuples = (
         summary.where(
             F.col("country_name").isNotNull()
             & F.col("district_name").isNotNull()
@@ -122,48 +128,45 @@ def _area_tuples(summary: DataFrame, where: PublicFilter) -> DataFrame:
             "country_name", "country_code", "region_name", "region_code", "district_name", "district_code"
         )
         .distinct()
-        .withColumn("region_name", F.when(not_blank(F.col("region_name")), F.col("region_name")))
+        .withColumn("region_name", region)
+        # Only the distinct areas of a country are left by now, not its rows.
+        .withColumn(
+            "has_direct_districts",
+            F.bool_or(F.col("region_name").isNull()).over(Window.partitionBy("country_name")),
+        )
     )
+    no_text = F.lit(None).cast("string")
 
+    def node(level: str, region_name: Column, district_name: Column, key: Column, code: str) -> Column:
+        return F.struct(
+            F.lit(level).alias("level"), F.col("country_name"), region_name.alias("region_name"),
+            district_name.alias("district_name"), key.alias("key"), F.col(code).alias("code"),
+        )
 
-def areas(
-    summary: DataFrame, where: PublicFilter = EVERYTHING, socio_data: DataFrame | None = None
-) -> DataFrame:
-    """Countries, regions and districts as one row per node, with socio columns on request.
-
-    Districts without a region hang on their country, and a country that has such districts
-    lists no regions.  Conflicting codes of one country or region give the smallest.
-    """
-    tuples = _area_tuples(summary, where)
-    countries = tuples.groupBy("country_name").agg(
-        F.min("country_code").alias("country_code"),
-        F.bool_or(F.col("region_name").isNull()).alias("has_direct_districts"),
-    )
-    direct = countries.where("has_direct_districts").select("country_name")
-    no_name = F.lit(None).cast("string")
-    listed = tuples.where(F.col("region_name").isNull()).unionByName(
-        tuples.where(F.col("region_name").isNotNull()).join(direct, "country_name", "left_anti")
-    )
-    regions = listed.where(F.col("region_name").isNotNull()).groupBy("country_name", "region_name").agg(
-        F.min("region_code").alias("code")
-    )
+    has_region = F.col("region_name").isNotNull()
+    under_region = has_region & ~F.col("has_direct_districts")
+    # Each tuple offers its country, its region and its district; districts of one name and
+    # different codes are different nodes, so the code is part of their key.
     nodes = (
-        countries.select(
-            F.lit("country").alias("level"), "country_name", no_name.alias("region_name"),
-            no_name.alias("district_name"), F.col("country_code").alias("code"),
-        )
-        .unionByName(
-            regions.select(
-                F.lit("region").alias("level"), "country_name", "region_name",
-                no_name.alias("district_name"), "code",
+        tuples.select(
+            F.inline(
+                F.array(
+                    node("country", no_text, no_text, no_text, "country_code"),
+                    F.when(under_region, node("region", F.col("region_name"), no_text, no_text, "region_code")),
+                    F.when(
+                        ~has_region | under_region,
+                        node(
+                            "district", F.col("region_name"), F.col("district_name"),
+                            F.col("district_code"), "district_code",
+                        ),
+                    ),
+                )
             )
         )
-        .unionByName(
-            listed.select(
-                F.lit("district").alias("level"), "country_name", "region_name",
-                "district_name", F.col("district_code").alias("code"),
-            ).distinct()
-        )
+        .where(F.col("level").isNotNull())
+        .groupBy("level", "country_name", "region_name", "district_name", "key")
+        .agg(F.min("code").alias("code"))
+        .drop("key")
     )
     if socio_data is not None:
         measures = socio_data.select(

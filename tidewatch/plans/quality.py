@@ -64,7 +64,11 @@ def median_score(assessed: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("feeds"))
         .withColumn(
             "cell",
-            F.floor(F.greatest(F.least(F.col("score"), F.lit(101.0)), F.lit(-1.0)) * _SCORE_CELLS),
+            # Never null, so no null test is pushed below the counts and they are shared.
+            F.coalesce(
+                F.floor(F.greatest(F.least(F.col("score"), F.lit(101.0)), F.lit(-1.0)) * _SCORE_CELLS),
+                F.lit(0),
+            ),
         )
     )
     by_cell = Window.partitionBy(F.lit(1)).orderBy("cell")
