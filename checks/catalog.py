@@ -180,6 +180,31 @@ def _tiles(v: Views) -> DataFrame:
     return estate.monitor_tiles(v.ingestion, v.references, AS_OF, orphan_thresholds=ORPHANS)
 
 
+def _flat_tree(tree: DataFrame) -> DataFrame:
+    """Countries with their nested lists written out as text."""
+    def names(districts: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                districts,
+                lambda d: F.concat_ws(
+                    ":", F.lit(""), d["district_name"], d["district_code"], d["socio"]["total_population"]
+                ),
+            ),
+            ",",
+        )
+
+    regions = F.transform(
+        "regions",
+        lambda r: F.concat_ws(
+            ":", r["region_name"], r["region_code"], r["socio"]["total_population"], names(r["districts"])
+        ),
+    )
+    return tree.select(
+        "country_name", "country_code", F.col("socio.total_population").alias("population"),
+        F.array_join(regions, ";").alias("regions"), names(F.col("districts")).alias("districts"),
+    )
+
+
 SITE_COLUMNS = (
     "site_id", "site_name", "local_authority_code", "site_lat", "ap_facility_count", "oa_publisher_names",
     "oa_location_json", "distance_metres", "match_method", "spatial_match", "is_mutual_best", "oa_kinds",
@@ -224,6 +249,7 @@ _CATALOG: dict[str, Callable[[Views], DataFrame]] = {
     "live_records": lambda v: public.live_records(v.opportunities, TODAY),
     "opportunity_records": lambda v: public.opportunity_records(v.opportunities, TODAY, PLACE, 5, 20),
     "areas": lambda v: public.areas(v.summary, socio_data=v.socio),
+    "area_tree": lambda v: _flat_tree(public.area_tree(public.areas(v.summary, socio_data=v.socio))),
     "areas_filtered": lambda v: public.areas(v.summary, PublicFilter(activity=("Brand#7",), nhs_trust=("T3", "T6"))),
     "socio": lambda v: public.socio(v.socio),
     "socio_filtered": lambda v: public.socio(

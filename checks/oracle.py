@@ -486,6 +486,16 @@ nodes AS (
 _SOCIO_COLUMNS = ", ".join(["area_name", "total_population", *SOCIO_MEASURES])
 AREAS = f"""{_areas('true')}
 SELECT nodes.*, {_SOCIO_COLUMNS} FROM nodes LEFT JOIN socio ON area_code = code"""
+_DISTRICT_TEXT = "string_agg(':' || district_name || ':' || code || ':' || total_population, ',' ORDER BY upper(district_name))"
+AREA_TREE = f"""{_areas('true')}, full_nodes AS (SELECT nodes.*, total_population FROM nodes LEFT JOIN socio ON area_code = code)
+SELECT country_name, code AS country_code, total_population AS population,
+  (SELECT string_agg(r.region_name || ':' || r.code || ':' || r.total_population || ':' ||
+     (SELECT {_DISTRICT_TEXT} FROM full_nodes AS d
+      WHERE d.level = 'district' AND d.country_name = r.country_name AND d.region_name = r.region_name),
+     ';' ORDER BY upper(r.region_name)) FROM full_nodes AS r WHERE r.level = 'region' AND r.country_name = c.country_name) AS regions,
+  (SELECT {_DISTRICT_TEXT} FROM full_nodes AS d
+   WHERE d.level = 'district' AND d.country_name = c.country_name AND d.region_name IS NULL) AS districts
+FROM full_nodes AS c WHERE level = 'country'"""
 AREAS_FILTERED = f"""{_areas(has('activity_or_facility', ['Brand#7']) + " AND nhstrust_code IN ('T3', 'T6')")}
 SELECT * FROM nodes"""
 
@@ -706,6 +716,7 @@ total_num_future_opportunity_items_narrow FROM insight_runs ORDER BY insight_run
     "live_records": f"{_with(OPPORTUNITIES)} {_RECORDS}",
     "opportunity_records": RECORD_PAGE,
     "areas": AREAS,
+    "area_tree": AREA_TREE,
     "areas_filtered": AREAS_FILTERED,
     "socio": f"{_with(SOCIO)} SELECT * FROM socio",
     "socio_filtered": f"{_with(SOCIO)} SELECT * FROM socio WHERE area_code IN ('D3-1', 'R7', 'C1')",

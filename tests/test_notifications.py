@@ -110,3 +110,32 @@ def test_merge_snapshot(merged, tmp_path):
     assert merged.snapshot.sparkSession.read.parquet(path).count() == 6
     with pytest.raises(Exception, match="exist"):
         write_snapshot(merged.snapshot, path)
+
+
+def test_a_long_run_of_changes_to_one_id(spark, monkeypatch):
+    import random
+
+    from tidewatch.sources import notification_store
+
+    monkeypatch.setattr(notification_store, "STRETCH", 7)
+    rng = random.Random(2)
+    current = table(spark, "publisher_notifications", [dict(id="hot"), dict(id="x")])
+    changes = [
+        (seq, rng.choice(["insert", "update", "update", "delete"]), rng.choice(["hot", "hot", "x", "new"]))
+        for seq in range(300)
+    ]
+    stored, want = {"hot", "x"}, {}
+    for seq, op, id in changes:
+        if op == "insert":
+            want[seq] = "conflict" if id in stored else "applied"
+            stored.add(id)
+        else:
+            want[seq] = "applied" if id in stored else "not_found"
+            if op == "delete":
+                stored.discard(id)
+    frame = spark.createDataFrame(changes, "seq bigint, op string, id string").withColumns(
+        {name: F.lit(None).cast(current.schema[name].dataType) for name in WRITABLE}
+    )
+    merged = merge_notifications(current, frame, F.current_timestamp())
+    assert {r.seq: r.outcome for r in merged.outcomes.collect()} == want
+    assert {r.id for r in merged.snapshot.collect()} == stored

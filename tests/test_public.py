@@ -85,6 +85,20 @@ def test_areas(spark, summary):
     assert [r.total_population for r in rows] == [None, None, None, 5, None, None]
 
 
+def test_area_tree(spark, summary):
+    socio = table(spark, "socio_data", [dict(area_code="D1", area_name="Dover", total_population=5)])
+    england, wales = public.area_tree(public.areas(summary, socio_data=socio)).collect()
+    assert (england.country_name, england.country_code, england.districts) == ("England", "E1", None)
+    [south] = england.regions
+    assert (south.region_name, south.region_code) == ("South", "R1")
+    assert [(d.district_name, d.district_code, d.socio.total_population) for d in south.districts] == [
+        ("deal", "D2", None), ("Dover", "D1", 5),
+    ]
+    assert wales.regions is None and [d.district_name for d in wales.districts] == ["Cardiff"]
+    plain = public.area_tree(public.areas(summary)).collect()
+    assert [r.country_name for r in plain] == ["England", "Wales"] and plain[0].socio is None
+
+
 def test_socio(spark):
     data = table(spark, "socio_data", [dict(area_code=c, area_name=n) for c, n in (("D1", "z"), ("R1", "b"), ("C1", "c"))])
     assert [r.area_code for r in public.socio(data).collect()] == ["R1", "C1", "D1"]

@@ -109,6 +109,9 @@ def opportunity_records(
     return records_page(live_records(opportunity_rows, today, where), order, offset, limit)
 
 
+_NODE_KEYS = ("level", "country_name", "region_name", "district_name", "code")
+
+
 def areas(
     summary: DataFrame, where: PublicFilter = EVERYTHING, socio_data: DataFrame | None = None
 ) -> DataFrame:
@@ -180,6 +183,50 @@ def areas(
     )
 
 
+def area_tree(nodes: DataFrame) -> DataFrame:
+    """``areas`` as one row per country with its regions and districts nested, in their order.
+
+    The lists are as long as the map has areas, whatever the number of opportunities.
+    ``regions`` is null where the country lists districts of its own, and the other way round.
+    """
+    extra = [name for name in nodes.columns if name not in _NODE_KEYS]
+    context = F.when(F.col("code").isNotNull(), F.struct(*extra)) if extra else F.lit(None).cast("string")
+    labelled = nodes.withColumn("socio", context)
+
+    def listed(sort_name: str, *fields: Column) -> Column:
+        key = F.struct(fold_case(F.col(sort_name)).alias("fold"), F.col(sort_name).alias("name"))
+        entries = F.array_sort(F.collect_list(F.struct(key.alias("key"), F.struct(*fields).alias("entry"))))
+        return F.transform(entries, lambda item: item["entry"])
+
+    district = [
+        F.col("district_name"), F.col("code").alias("district_code"), F.col("socio"),
+    ]
+    districts = (
+        labelled.where(F.col("level") == "district")
+        .groupBy("country_name", "region_name")
+        .agg(listed("district_name", *district).alias("districts"))
+    )
+    regions = (
+        labelled.where(F.col("level") == "region")
+        .join(districts.where(F.col("region_name").isNotNull()), ["country_name", "region_name"])
+        .groupBy("country_name")
+        .agg(
+            listed(
+                "region_name", F.col("region_name"), F.col("code").alias("region_code"),
+                F.col("socio"), F.col("districts"),
+            ).alias("regions")
+        )
+    )
+    direct = districts.where(F.col("region_name").isNull()).drop("region_name")
+    return (
+        labelled.where(F.col("level") == "country")
+        .select("country_name", F.col("code").alias("country_code"), "socio")
+        .join(regions, "country_name", "left")
+        .join(direct, "country_name", "left")
+        .orderBy(fold_case(F.col("country_name")), "country_name")
+    )
+
+
 def socio(socio_data: DataFrame, where: PublicFilter = EVERYTHING) -> DataFrame:
     """Socio-economic rows of the wanted areas, of all areas when none is named."""
     codes = clean_values([*where.district, *where.region, *where.country])

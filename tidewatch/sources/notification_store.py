@@ -32,32 +32,48 @@ class MergeResult:
     outcomes: DataFrame
 
 
+# Changes judged together: an id with more of them is taken in stretches of this many requests.
+STRETCH = 100_000
+
+
 def _judged(current: DataFrame, changes: DataFrame) -> DataFrame:
-    """Changes with their outcome: each sees the effect of the earlier ones to its id."""
-    existing = current.select("id", F.lit(True).alias("stored"))
-    before = (
-        Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    """Changes with their outcome: each sees the effect of the earlier ones to its id.
+
+    Only an insert or a delete decides whether the id exists afterwards.  The last of them is
+    found per stretch of requests, handed on from stretch to stretch, and looked for within
+    the stretch, so the many changes of one id are not one task's work.
+    """
     leaves = F.when(F.col("op") == "insert", True).when(F.col("op") == "delete", False)
-    exists_before = F.coalesce(
-        F.last(leaves, ignorenulls=True).over(before), F.col("stored"), F.lit(False)
-    )
-    return (
-        changes.join(existing, "id", "left")
-        .withColumn("exists_before", exists_before)
+    earlier = Window.unboundedPreceding, -1
+    placed = changes.withColumn("stretch", F.floor(F.col("seq") / STRETCH)).withColumn("leaves", leaves)
+    from_before = (
+        placed.groupBy("id", "stretch")
+        .agg(F.max_by("leaves", F.when(F.col("leaves").isNotNull(), F.col("seq"))).alias("leaves"))
         .withColumn(
-            "outcome",
-            F.when((F.col("op") == "insert") & F.col("exists_before"), CONFLICT)
-            .when((F.col("op") != "insert") & ~F.col("exists_before"), NOT_FOUND)
-            .otherwise(APPLIED),
+            "before_stretch",
+            F.last("leaves", ignorenulls=True).over(
+                Window.partitionBy("id").orderBy("stretch").rowsBetween(*earlier)
+            ),
         )
+        .drop("leaves")
+        .join(current.select("id", F.lit(True).alias("stored")), "id", "left")
+    )
+    within = F.last("leaves", ignorenulls=True).over(
+        Window.partitionBy("id", "stretch").orderBy("seq").rowsBetween(*earlier)
+    )
+    exists_before = F.coalesce(within, F.col("before_stretch"), F.col("stored"), F.lit(False))
+    return placed.join(from_before, ["id", "stretch"]).withColumn(
+        "outcome",
+        F.when((F.col("op") == "insert") & exists_before, CONFLICT)
+        .when((F.col("op") != "insert") & ~exists_before, NOT_FOUND)
+        .otherwise(APPLIED),
     )
 
 
 def merge_notifications(current: DataFrame, changes: DataFrame, now: Column) -> MergeResult:
     """New snapshot and per-change outcomes.
 
-    ``changes`` has ``seq`` (order of the requests), ``op`` (insert, update or delete),
+    ``changes`` has ``seq`` (running number of the request), ``op`` (insert, update or delete),
     ``id`` and the writable columns.  An insert of a stored id is a conflict and an update
     or delete of an absent one is not found; neither changes anything.
     """
