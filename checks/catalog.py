@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,87 +64,84 @@ class Views:
     """The domain tables at one scale."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self._tables = views.Tables(spark, sf_dir)
 
-    def _view(self, sql: str) -> DataFrame:
-        return views.spark_view(self.spark, self.sf_dir, sql)
-
-    @property
+    @cached_property
     def ingestion(self):
-        return self._view(views.INGESTION)
+        return self._tables.view(views.INGESTION)
 
-    @property
+    @cached_property
     def references(self):
-        return self._view(views.REFERENCES)
+        return self._tables.view(views.REFERENCES)
 
-    @property
+    @cached_property
     def opportunities(self):
-        return self._view(views.OPPORTUNITIES)
+        return self._tables.view(views.OPPORTUNITIES)
 
-    @property
+    @cached_property
     def summary(self):
-        return self._view(views.SUMMARY)
+        return self._tables.view(views.SUMMARY)
 
-    @property
+    @cached_property
     def insight_runs(self):
-        return self._view(views.INSIGHT_RUNS)
+        return self._tables.view(views.INSIGHT_RUNS)
 
-    @property
+    @cached_property
     def crawls(self):
-        return self._view(views.GROWTH_CRAWLS)
+        return self._tables.view(views.GROWTH_CRAWLS)
 
-    @property
+    @cached_property
     def growth_ingestion(self):
-        return self._view(views.GROWTH_INGESTION)
+        return self._tables.view(views.GROWTH_INGESTION)
 
-    @property
+    @cached_property
     def feeds(self):
-        return self._view(views.FEEDS)
+        return self._tables.view(views.FEEDS)
 
-    @property
+    @cached_property
     def supplier_feeds(self):
-        return self._view(views.SUPPLIER_FEEDS)
+        return self._tables.view(views.SUPPLIER_FEEDS)
 
-    @property
+    @cached_property
     def quality(self):
-        return self._view(views.QUALITY)
+        return self._tables.view(views.QUALITY)
 
-    @property
+    @cached_property
     def supplier_quality(self):
-        # Every customer feed belongs to the dataset of one supplier here.
+        """The quality rows spread over ten datasets, which the suppliers' feeds belong to."""
         return self.quality.withColumn(
             "dataset_url", F.regexp_replace("dataset_url", r"d\d*(\d)\.example", "d$1.example")
         )
 
-    @property
+    @cached_property
     def socio(self):
-        return self._view(views.SOCIO)
+        return self._tables.view(views.SOCIO)
 
-    @property
+    @cached_property
     def custom_properties(self):
-        return views.custom_properties(self.spark, self.sf_dir)
+        return views.custom_properties(self._tables)
 
-    @property
+    @cached_property
     def notifications(self):
-        return views.notifications(self.spark, self.sf_dir)
+        return views.notifications(self._tables)
 
-    @property
+    @cached_property
     def site_cells(self):
-        return self._view(views.SITE_CELLS)
+        return self._tables.view(views.SITE_CELLS)
 
-    @property
+    @cached_property
     def dataset_names(self):
         return hydrate.dataset_names(self.feeds, self.quality)
 
-    @property
+    @cached_property
     def feed_names(self):
         return hydrate.feed_names(self.feeds, self.quality)
 
-    @property
+    @cached_property
     def assessed(self):
         return quality.assessed_feeds(self.quality, self.feeds)
 
-    @property
+    @cached_property
     def assessed_properties(self):
         return properties.assessed_properties(self.custom_properties)
 

@@ -262,30 +262,37 @@ DRIVER_TABLES = (
 )
 
 
-def spark_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    used = {
-        name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        for name in DRIVER_TABLES
-        if "{" + name + "}" in sql
-    }
-    return spark.sql(sql, **used)
+class Tables:
+    """The driver's tables at one scale, each opened once, and views over them."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._opened: dict[str, DataFrame] = {}
 
-def custom_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def table(self, name: str) -> DataFrame:
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._opened[name]
+
+    def view(self, sql: str) -> DataFrame:
+        used = {name: self.table(name) for name in DRIVER_TABLES if "{" + name + "}" in sql}
+        return self.spark.sql(sql, **used)
+
+
+def custom_properties(tables: Tables) -> DataFrame:
     """The usages of each feed as its repeated record."""
-    usages = spark_view(spark, sf_dir, USAGES).groupBy("custkey").agg(
+    usages = tables.view(USAGES).groupBy("custkey").agg(
         F.collect_list(F.struct("property", "namespace", "entity_type", "presence_pct")).alias(
             "custom_properties"
         )
     )
-    feeds = spark_view(spark, sf_dir, PROPERTY_FEEDS)
+    feeds = tables.view(PROPERTY_FEEDS)
     return feeds.join(usages, F.col("custkey") == F.col("c_custkey"), "left").drop("c_custkey", "custkey")
 
 
-def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark_view(spark, sf_dir, NOTIFICATIONS)
+def notifications(tables: Tables) -> DataFrame:
     text = F.lit(None).cast("string")
-    return rows.withColumns(
+    return tables.view(NOTIFICATIONS).withColumns(
         {
             "monitors": F.array(F.lit("dataset_stall")),
             "stakeholder": text,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.functions.text import blank_to_null, not_blank, strip
+from tidewatch.functions.text import blank_to_null, strip
 
 # The served columns of the published file, by how their cells are read.
 TEXT, NUMBER, INTEGER, COUNT, LIST, DOCUMENTS, FLAG = (
@@ -94,7 +94,7 @@ def load_site_mappings(spark: SparkSession, path: str) -> DataFrame:
         return site_mappings_from_text(spark.createDataFrame([], empty))
     names: list[str] = []
     for position, cell in enumerate(header):
-        name = (cell or "").lstrip("﻿").strip().lower()
+        name = (cell or "").lstrip("\ufeff").strip().lower()
         names.append(name if name and name not in names else f"_ignored_{position}")
     if "site_id" not in names:
         raise ValueError(f"the site mapping CSV has no site_id column; its header is: {list(header)}")
