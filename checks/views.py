@@ -2,6 +2,10 @@
 
 One SQL text per table, kept to the dialect both engines share, so the Spark query and its
 oracle read the same rows.  ``{name}`` is a driver table.
+
+Every view reads its tables whole.  Conditions on remainders only hand out attribute values and
+memberships (a parent that is not published, a feed nobody describes, a dataset that comes and
+goes), so that each rule meets rows on both sides of it.
 """
 
 from __future__ import annotations

@@ -66,10 +66,10 @@ def test_the_median_is_exact(spark, seed):
 
 
 def test_score_buckets(spark):
-    scores = [-5.0, 0.0, 19.99, 20.0, 40.0, 59.9, 60.0, 80.0, 100.0, 140.0, None]
+    scores = [-5.0, 0.0, 19.99, 20.0, 40.0, 59.9, 60.0, 80.0, 100.0, 140.0, 1e15, -1e15, None]
     got = quality.score_histogram(assessed(spark, [dict(score=s) for s in scores])).collect()
     assert [(r.lower, r.upper, r.feed_count) for r in got] == [
-        (0, 20, 3), (20, 40, 1), (40, 60, 2), (60, 80, 1), (80, 100, 3),
+        (0, 20, 4), (20, 40, 1), (40, 60, 2), (60, 80, 1), (80, 100, 4),
     ]
 
 

@@ -10,7 +10,8 @@ UNKNOWN = "unknown"
 
 def not_blank(value: Column) -> Column:
     """True when the text holds at least one non-white-space character; null counts as blank."""
-    return F.coalesce(value.rlike(r"(?U)\S"), F.lit(False))
+    # A visible ASCII character in front settles nearly every text without the pattern.
+    return F.coalesce(F.ascii(value).between(33, 126) | value.rlike(r"(?U)\S"), F.lit(False))
 
 
 def strip(value: Column) -> Column:

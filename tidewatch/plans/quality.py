@@ -152,7 +152,8 @@ def completeness_averages(assessed: DataFrame) -> DataFrame:
 
 def score_histogram(assessed: DataFrame) -> DataFrame:
     """Five buckets of twenty points, empty ones included; out-of-range scores join the ends."""
-    position = F.least(F.greatest((F.col("score") / BUCKET_WIDTH).cast("int"), F.lit(0)), F.lit(BUCKETS - 1))
+    # Held in range before the cast, which a score far outside would overflow.
+    position = F.least(F.greatest(F.col("score") / BUCKET_WIDTH, F.lit(0.0)), F.lit(BUCKETS - 1.0)).cast("int")
     counts = assessed.where(F.col("score").isNotNull()).agg(
         *[F.count_if(position == i).alias(f"bucket_{i}") for i in range(BUCKETS)]
     )
