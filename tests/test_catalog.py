@@ -10,7 +10,7 @@ from checks.compare import difference
 from tests.conftest import AS_OF, table
 from tidewatch.operators import decline, errors, orphans, stalls
 from tidewatch.operators.filters import PublicFilter
-from tidewatch.plans import public
+from tidewatch.plans import growth, public
 from tidewatch.sources.warehouse import Warehouse
 
 SMALL = "/root/testdata/sf0.001"
@@ -37,7 +37,7 @@ def plan(frame):
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("warehouse")
-    for name in ("opportunity_ingestion", "opportunities", "active_opportunities_summary"):
+    for name in ("opportunity_ingestion", "feed_ingestion", "opportunities", "active_opportunities_summary"):
         table(spark, name, []).write.parquet(f"{root}/{name}")
     return Warehouse(spark, root=str(root))
 
@@ -89,6 +89,24 @@ def test_stalls_read_the_log_once_for_days(spark, stored, no_names):
     assert text.count("FileScan") == 3
 
 
+def test_summaries_areas_and_growth_scan_once(spark, stored, no_names):
+    rows = stored.table("active_opportunities_summary")
+    log, crawls = stored.table("opportunity_ingestion"), stored.table("feed_ingestion")
+    runs = table(spark, "insight_run_summary", [])
+    frames = {
+        "public summary": (public.public_summary(rows, runs), 1),
+        "areas": (public.areas(rows), 1),
+        "growth": (growth.ecosystem_growth(crawls, log, AS_OF), 2),
+        "growth datasets": (growth.ecosystem_growth_datasets(crawls, log, no_names[1], AS_OF), 2),
+    }
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        scans = {name: plan(frame).count("FileScan") for name, (frame, _) in frames.items()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert scans == {name: expected for name, (_, expected) in frames.items()}
+
+
 def test_unknown_tables_are_refused(stored):
     with pytest.raises(KeyError, match="unknown table"):
         stored.table("nothing")
