@@ -3,7 +3,8 @@
 Each row has a 63-bit hash. A source whose target is below its size takes the rows whose hash is under the
 source's threshold; above it, whole passes come first and the threshold decides on one more. The threshold is
 found from token sums by (source, 12 hash bits): the bucket in which the budget ends is refined by the next 12
-bits, and only its rows are read for that. Nothing is sorted but the few buckets of each source.
+bits, and only its rows are read for that. Of the rows above the threshold, the one whose size comes nearest to
+what is left of the budget is taken too. Nothing is sorted but the few buckets of each source.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_passes: float
 
 
 def thresholds(slim: DataFrame, weights: Sequence[float], max_passes: float) -> DataFrame:
-    """(source, size, hashed) to one row per source: source_size, target, passes, cut."""
+    """(source, size, hashed) to one row per source: source_size, target, passes, cut, extra."""
     hist = shared.written(
         slim.groupBy("source", _prefix(F.col("hashed"), 1).alias("prefix")).agg(F.sum("size").alias("tokens")), "hist")
     sizes = hist.groupBy("source").agg(F.sum("tokens").alias("source_size"))
@@ -73,12 +74,21 @@ def thresholds(slim: DataFrame, weights: Sequence[float], max_passes: float) ->
             "s.source", "s.size", _prefix(F.col("s.hashed"), level).alias("prefix"))
         finer = inside.groupBy("source", "prefix").agg(F.sum("size").alias("tokens"))
         boundary = _boundary(finer, boundary.select("source", "budget"))
-    width = HASH_BITS - LEVEL_BITS * LEVELS
-    nearer = (F.col("b.tokens") - F.col("b.budget") < F.col("b.budget")).cast("long")
-    cut = F.shiftleft(F.col("b.prefix") + nearer, width)
+    cut = F.shiftleft("b.prefix", HASH_BITS - LEVEL_BITS * LEVELS)
+    cuts = shared.written(boundary.alias("b").select("source", cut.alias("cut"), F.col("budget").alias("left")), "cuts")
+    off = F.abs(F.col("s.size") - F.col("c.left"))
+    filling = slim.alias("s").join(
+        cuts.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")) & (F.col("s.hashed") >= F.col("c.cut"))).where(
+        off < F.col("c.left")).groupBy("s.source").agg(F.min(F.struct(off.alias("off"), "s.hashed")).alias("best"))
     return shared.written(
-        state.alias("t").join(boundary.alias("b"), F.col("t.source").eqNullSafe(F.col("b.source")), "left").select(
-            "t.source", "t.source_size", "t.target", "t.passes", F.coalesce(cut, F.lit(0)).alias("cut")), "cuts")
+        state.alias("t").join(cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").join(
+            filling.alias("f"), F.col("t.source").eqNullSafe(F.col("f.source")), "left").select(
+            "t.source", "t.source_size", "t.target", "t.passes", F.coalesce("c.cut", F.lit(0)).alias("cut"),
+            F.coalesce("f.best.hashed", F.lit(-1)).alias("extra")), "thresholds")
+
+
+def _once_more(hashed: Column, cut: Column, extra: Column) -> Column:
+    return ((hashed < cut) | (hashed == extra)).cast("long")
 
 
 def _boundary(hist: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -103,7 +113,7 @@ def taken_sizes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         shared.word_count(shared.text_or_empty(text_col)).alias("size"),
         hashed_rows(docs, id_col, text_col, seed).alias("hashed")), "sizes")
     cuts = thresholds(slim, weights, max_passes)
-    copies = F.col("c.passes") + (F.col("s.hashed") < F.col("c.cut")).cast("long")
+    copies = F.col("c.passes") + _once_more(F.col("s.hashed"), F.col("c.cut"), F.col("c.extra"))
     return slim.alias("s").join(cuts.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source"))).select(
         "s.id", "s.source", "s.size", "c.source_size", "c.target", (F.col("s.size") * copies).alias("taken"))
 
@@ -115,11 +125,11 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     slim = shared.written(docs.select(
         F.col(source_col).alias("source"), shared.word_count(shared.text_or_empty(text_col)).alias("size"),
         hashed.alias("hashed")), "sizes")
-    source, passes, cut, mark, copy = (shared.free_name(n, docs) for n in ("mix_source", "mix_passes", "mix_cut",
-                                                                           "mix_hash", "mix_copy"))
-    cuts = thresholds(slim, weights, max_passes).select(
-        F.col("source").alias(source), F.col("passes").alias(passes), F.col("cut").alias(cut))
+    source, passes, cut, extra, mark, copy = (
+        shared.free_name(f"mix_{n}", docs) for n in ("source", "passes", "cut", "extra", "hash", "copy"))
+    cuts = thresholds(slim, weights, max_passes).select(*(F.col(old).alias(new) for old, new in (
+        ("source", source), ("passes", passes), ("cut", cut), ("extra", extra))))
     rows = docs.withColumn(mark, hashed).join(cuts, F.col(source_col).eqNullSafe(F.col(source)))
-    times = F.col(passes) + (F.col(mark) < F.col(cut)).cast("long")
+    times = F.col(passes) + _once_more(F.col(mark), F.col(cut), F.col(extra))
     return rows.where(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(
         *(F.col(f"`{c}`") for c in docs.columns))

@@ -9,8 +9,11 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ASCII white space, the separators of words: space and tab to carriage return.
 BLANKS = " \t\n\x0b\f\r"
@@ -68,6 +71,11 @@ def positive_hash(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 1)
 
 
+def arrow_schema(kind: str | T.StructType) -> pa.Schema:
+    """The Arrow schema of a schema string; the driver's session parses it, so not for use in tasks."""
+    return to_arrow_schema(T.StructType.fromDDL(kind) if isinstance(kind, str) else kind)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, whether or not it is installed there."""
     context = spark.sparkContext
