@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as contract
 from checks.catalog import QUERIES
 from checks.compare import difference
+from checks.oracle import ORACLE
 from tests.conftest import AS_OF, table
 from tidewatch.operators import decline, errors, orphans, stalls
 from tidewatch.operators.filters import PublicFilter
@@ -17,7 +18,8 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE.keys()
+    assert QUERIES.keys() <= contract.queries().keys() and ORACLE.keys() <= contract.oracle_sql().keys()
 
 
 def test_entry(spark):
@@ -96,6 +98,7 @@ def test_summaries_areas_and_growth_scan_once(spark, stored, no_names):
     frames = {
         "public summary": (public.public_summary(rows, runs), 1),
         "areas": (public.areas(rows), 1),
+        "area tree": (public.area_tree(public.areas(rows, socio_data=table(spark, "socio_data", []))), 1),
         "growth": (growth.ecosystem_growth(crawls, log, AS_OF), 2),
         "growth datasets": (growth.ecosystem_growth_datasets(crawls, log, no_names[1], AS_OF), 2),
     }

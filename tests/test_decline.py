@@ -47,11 +47,12 @@ def test_defaults():
 
 
 def test_the_worked_example(spark):
-    days = [(4, 1000, 10, 0)] + [(4 - i, 1000 - 10 * i, 0, 15) for i in range(1, 5)]
+    # 640, 616, 592, 568 on four days in a row: 72 of 640 are gone, 11.25 percent, in steps under ten percent.
+    days = [(3, 640, 0, 0), (2, 616, 7, 31), (1, 592, 0, 24), (0, 568, 2, 26)]
     got = found(spark, {"f": ("d", days)})["f"]
     assert got.reason == "monotonic_decline"
-    assert (got.drop, got.drop_percent, got.delta_in_window) == (40, 4.0, -50)
-    assert got.decline_start == day(4) and got.qualify_start_future == 1000
+    assert (got.drop, got.drop_percent, got.delta_in_window) == (72, 11.25, -72)
+    assert got.decline_start == day(3) and got.qualify_start_future == 640
 
 
 def test_rules(spark):

@@ -42,8 +42,9 @@ def test_candidate_months():
     assert growth.candidate_months(D(2026, 9, 15), 2) == [D(2026, 7, 1), D(2026, 8, 1), D(2026, 9, 1)]
     assert growth.candidate_months(D(2026, 9, 30), 2) == [D(2026, 8, 1), D(2026, 9, 1)]
     assert growth.candidate_months(D(2026, 1, 31), 3) == [D(2025, 11, 1), D(2025, 12, 1), D(2026, 1, 1)]
-    assert len(growth.candidate_months(D(2026, 9, 30), 0)) == 1
-    assert len(growth.candidate_months(D(2026, 9, 30), 500)) == 60
+    assert len(growth.candidate_months(D(2026, 9, 30), 500)) == 500
+    with pytest.raises(ValueError, match="months"):
+        growth.candidate_months(D(2026, 9, 30), 0)
     assert growth.month_end(D(2024, 2, 10)) == D(2024, 2, 29)
     assert growth.shift_month(D(2026, 1, 1), -13) == D(2024, 12, 1)
 
@@ -107,6 +108,14 @@ def test_the_running_month_needs_five_crawl_days(spark, days, reported):
     assert got[want[0]].datasets_added == 0
 
 
+def test_ten_years_are_reported_when_asked_for(spark):
+    crawls = [crawl(D(2016, 6, 2), "a"), crawl(D(2026, 5, 2), "a")]
+    got = months(spark, crawls, [], D(2026, 5, 31), 120)
+    assert len(got) == 120 and min(got) == D(2016, 6, 1)
+    # Months before the first one with data are not reported.
+    assert len(months(spark, crawls[1:], [], D(2026, 5, 31), 120)) == 1
+
+
 def test_rows_after_the_snapshot_are_not_read(spark):
     crawls = [crawl(D(2026, 4, 1), "a"), crawl(D(2026, 5, 10), "late")]
     assert sorted(months(spark, crawls, [], D(2026, 5, 5))) == [D(2026, 4, 1)]

@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from tests.conftest import table
 from tidewatch.operators import orphans
 from tidewatch.thresholds import OrphanThresholds
@@ -30,9 +32,9 @@ def test_defaults():
     assert OrphanThresholds(min_orphans=50_000).past_orphans == 50_000
     assert OrphanThresholds(min_share=math.nan).share_gate == 0
     assert OrphanThresholds(min_share=7).share_gate == 1 and OrphanThresholds(min_share=-1).share_gate == 0
-    assert OrphanThresholds(min_orphans=0, past_threshold_orphans=10**9).clamped() == OrphanThresholds(
-        1, 0.10, 1_000_000
-    )
+    assert OrphanThresholds(min_orphans=10**12).past_orphans == 10**12
+    with pytest.raises(ValueError, match="min_orphans"):
+        OrphanThresholds(min_orphans=0)
     assert orphans.CHILD_KINDS == ("Slot", "ScheduledSession")
 
 
@@ -105,6 +107,16 @@ def test_evidence_is_the_worst_five_with_blanks_dropped_late(spark):
     ]
 
 
+    three = orphans.missing_parents(opportunities(spark, rows), OPEN, evidence_size=3).collect()
+    assert [r.missing_id for r in three] == ["s0", "k0", "s1"]
+    every = orphans.missing_parents(opportunities(spark, rows), OPEN, evidence_size=None).collect()
+    assert sorted((r.missing_id, r.child_count) for r in every) == sorted(
+        [(f"s{i}", 20 - i) for i in range(9)] + [(f"k{i}", 19 - i) for i in range(9)]
+    )
+    with pytest.raises(ValueError, match="evidence_size"):
+        orphans.missing_parents(opportunities(spark, rows), OPEN, evidence_size=0)
+
+
 def test_counts_equal_a_plain_evaluation(spark, no_names):
     import random
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import table
 from tidewatch.operators.filters import PublicFilter
-from tidewatch.operators.paging import page, records_page
+from tidewatch.operators.paging import SortKey, page, page_after, records_page
 from tidewatch.plans import public
 
 TODAY = dt.date(2026, 9, 1)
@@ -91,7 +91,8 @@ def test_area_tree(spark, summary):
     assert (england.country_name, england.country_code, england.districts) == ("England", "E1", None)
     [south] = england.regions
     assert (south.region_name, south.region_code) == ("South", "R1")
-    assert [(d.district_name, d.district_code, d.socio.total_population) for d in south.districts] == [
+    # Nothing is known about D2, so it has no socio at all.
+    assert [(d.district_name, d.district_code, d.socio and d.socio.total_population) for d in south.districts] == [
         ("deal", "D2", None), ("Dover", "D1", 5),
     ]
     assert wales.regions is None and [d.district_name for d in wales.districts] == ["Cardiff"]
@@ -99,6 +100,18 @@ def test_area_tree(spark, summary):
     assert [r.country_name for r in plain] == ["England", "Wales"] and plain[0].socio is None
 
 
+def test_areas_of_repeated_and_unmatched_codes(spark, summary):
+    socio = table(spark, "socio_data", [
+        dict(area_code="E1", area_name="Z", total_population=9), dict(area_code="E1", area_name="A", total_population=7),
+        dict(area_code="D1", area_name="Dover"), dict(area_code=None, area_name="nowhere"),
+    ])
+    rows = public.areas(summary, socio_data=socio).collect()
+    assert len(rows) == 6 and [r.total_population for r in rows if r.code == "E1"] == [7]
+    england, wales = public.area_tree(public.areas(summary, socio_data=socio)).collect()
+    assert (england.socio.area_name, wales.socio) == ("A", None)
+    assert [d.socio and d.socio.area_name for d in england.regions[0].districts] == [None, "Dover"]
+
+
 def test_socio(spark):
     data = table(spark, "socio_data", [dict(area_code=c, area_name=n) for c, n in (("D1", "z"), ("R1", "b"), ("C1", "c"))])
     assert [r.area_code for r in public.socio(data).collect()] == ["R1", "C1", "D1"]
@@ -150,9 +163,32 @@ def test_pages(spark):
     numbers = spark.range(2500).select(F.col("id").alias("n"))
     order = [F.asc("n")]
     assert [r.n for r in page(numbers, order, 3, 2).collect()] == [4, 5]
-    assert [r.n for r in page(numbers, order, 0, 0).collect()] == [0]
-    assert page(numbers, order, 1, 9999).count() == 1000 and page(numbers, order).count() == 500
+    assert page(numbers, order, 1, 9999).count() == 2500 and page(numbers, order).count() == 500
     assert page(numbers, order, 99).count() == 0
-    last = records_page(numbers, order, -5, 999).collect()
-    assert len(last) == 100 and last[0].has_more
+    many = records_page(numbers, order, 5, 999).collect()
+    assert len(many) == 999 and many[0].n == 5 and many[0].has_more
+    for call in (lambda: page(numbers, order, 0), lambda: page(numbers, order, 1, 0),
+                 lambda: records_page(numbers, order, -1), lambda: records_page(numbers, order, 0, 0)):
+        with pytest.raises(ValueError, match="at least"):
+            call()
     assert [(r.n, r.has_more) for r in records_page(numbers, order, 2499, 1).collect()] == [(2499, False)]
+
+
+def test_pages_after_a_key_make_up_the_whole_list(spark):
+    rows = [(n % 4 if n % 5 else None, f"k{n:03}" if n % 7 else None, n) for n in range(60)]
+    frame = spark.createDataFrame(rows, "a int, b string, n int")
+    for keys in (
+        (SortKey("a", descending=True, nulls_last=True), SortKey("b"), SortKey("n")),
+        (SortKey("a"), SortKey("b", descending=True), SortKey("n", nulls_last=True)),
+    ):
+        whole = [tuple(r) for r in frame.orderBy(*[k.order() for k in keys]).collect()]
+        seen, after = [], None
+        while got := [tuple(r) for r in page_after(frame, keys, after, 7).collect()]:
+            seen += got
+            after = got[-1]
+        assert seen == whole
+    with pytest.raises(ValueError, match="3 values"):
+        page_after(frame, keys, (1, "a"))
+    late = page_after(frame, keys, whole[50], 7)
+    text = late._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=7" in text and "Sort " not in text and "Window" not in text

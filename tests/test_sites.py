@@ -27,7 +27,7 @@ def test_columns_are_found_by_name(load):
 
 def test_a_missing_id_column_is_an_error(load):
     with pytest.raises(ValueError, match="site_id"):
-        load("site_name,distance_metres\nSOMEWHERE,10")
+        load("match_method,site_lat\nspatial,1.5")
 
 
 def test_blank_cells_are_null_or_empty(load):
@@ -51,13 +51,13 @@ def test_numbers_and_flags(load):
 
 
 def test_lists(load):
-    first = '{"address":"Unit 3 | Rear of 12","latitude":53.0, "longitude":-1.40}'
-    second = '{"latitude":53.04}'
-    awkward = '{"address":"Miners\\" Welfare | Annexe"}'
+    first = '{"door":"left|right|both","floor":-2,  "lift":false}'
+    second = '{"seats":80}'
+    awkward = '{"sign":"say \\"no|yes\\" twice"}'
     text = "site_id,oa_location_names,oa_location_json\n"
-    text += f"1,Leisure Centre | Studio |,{cell(first + '|' + second)}\n2,|,{cell(awkward)}\n3,,\n"
+    text += f"1,|Velodrome ||  Ice rink,{cell(first + '|' + second)}\n2,|,{cell(awkward)}\n3,,\n"
     got = load(text).orderBy("site_id").collect()
-    assert got[0].oa_location_names == ["Leisure Centre", "Studio"]
+    assert got[0].oa_location_names == ["Velodrome", "Ice rink"]
     assert got[0].oa_location_json == [first, second]
     assert got[1].oa_location_names == [] and got[1].oa_location_json == [awkward]
     assert got[2].oa_location_json == []
@@ -66,10 +66,10 @@ def test_lists(load):
 @pytest.mark.parametrize("newline", ["\n", "\r\n"])
 def test_file_shape(load, newline):
     text = "﻿site_id,oa_location_names,match_method\n"
-    text += '1,"Quayside Centre\nUpper Lane, next left\n""The Barn""",spatial\n\n,skipped,name\n2,Short\n'
+    text += '1,"Track, north gate\n""Shed"" 9\nring twice",spatial\n\n,no id,name\n2,Pool\n'
     got = load(text, newline).orderBy("site_id").collect()
     assert [r.site_id for r in got] == ["1", "2"]
-    assert got[0].oa_location_names[0].replace("\r\n", "\n") == 'Quayside Centre\nUpper Lane, next left\n"The Barn"'
+    assert got[0].oa_location_names[0].replace("\r\n", "\n") == 'Track, north gate\n"Shed" 9\nring twice'
     assert got[0].match_method == "spatial" and got[1].match_method is None
 
 

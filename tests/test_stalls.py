@@ -38,8 +38,10 @@ def test_defaults():
     assert (DEFAULTS.lookback_days, DEFAULTS.stall_days, DEFAULTS.past_threshold_days) == (120, 5, 7)
     assert (DEFAULTS.trend_days, DEFAULTS.incident_trend_days) == (30, 10)
     assert StallThresholds(stall_days=20).past_days == 20
-    clamped = StallThresholds(lookback_days=9999, stall_days=0, trend_days=0).clamped()
-    assert (clamped.lookback_days, clamped.stall_days, clamped.trend_days) == (730, 1, 1)
+    assert StallThresholds(lookback_days=9999).incident_history_days == 10_009
+    for wrong in (dict(lookback_days=0), dict(stall_days=0), dict(trend_days=-1)):
+        with pytest.raises(ValueError, match="at least 1"):
+            StallThresholds(**wrong)
 
 
 def test_single_feed_rules(spark, no_names):

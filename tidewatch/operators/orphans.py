@@ -149,26 +149,38 @@ def orphaned_children_by_kind(
 
 
 def missing_parents(
-    opportunities: DataFrame, thresholds: OrphanThresholds = OrphanThresholds()
+    opportunities: DataFrame,
+    thresholds: OrphanThresholds = OrphanThresholds(),
+    evidence_size: int | None = EVIDENCE_SIZE,
 ) -> DataFrame:
-    """The worst missing parents of each reported dataset, at most five a dataset.
+    """The worst missing parents of each reported dataset, ``evidence_size`` a dataset.
 
-    Five are taken per (dataset, kind) first and blank ids dropped after that.  Both
+    So many are taken per (dataset, kind) first and blank ids dropped after that.  Both
     windows are rank filters, which Spark also applies before the shuffle, so a dataset
-    with very many missing parents sends only a few rows per task.
+    with very many missing parents sends only a few rows per task.  ``None`` gives every
+    missing parent, without a position: ranking all of a dataset would bring it together.
     """
+    if evidence_size is not None and evidence_size < 1:
+        raise ValueError(f"evidence_size must be at least 1, not {evidence_size}")
     edges = reference_edges(opportunities)
     reported = orphaned_datasets(kind_counts(edges), thresholds).select("dataset_id")
     worst_first = [F.desc("unplaced"), F.asc("ref_id")]
     of_kind = Window.partitionBy("dataset_id", "kind").orderBy(*worst_first)
     of_dataset = Window.partitionBy("dataset_id").orderBy(*worst_first, F.asc("kind"))
+    if evidence_size is None:
+        return edges.where(_missing() & (F.col("ref_id") != "")).join(reported, "dataset_id", "left_semi").select(
+            F.col("dataset_id").alias("dataset_url"),
+            "kind",
+            F.col("ref_id").alias("missing_id"),
+            F.col("unplaced").alias("child_count"),
+        )
     evidence = (
         edges.where(_missing())
         .withColumn("rank", F.row_number().over(of_kind))
-        .where((F.col("rank") <= EVIDENCE_SIZE))
+        .where(F.col("rank") <= evidence_size)
         .where(F.col("ref_id") != "")
         .withColumn("position", F.row_number().over(of_dataset))
-        .where(F.col("position") <= EVIDENCE_SIZE)
+        .where(F.col("position") <= evidence_size)
     )
     return (
         evidence.join(reported, "dataset_id", "left_semi")

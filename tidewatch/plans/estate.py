@@ -12,7 +12,6 @@ from tidewatch.sources.snapshots import latest_crawl
 from tidewatch.thresholds import DeclineThresholds, ErrorThresholds, OrphanThresholds, StallThresholds
 
 SPARKLINE_DAYS = 7
-MAX_TILE_COUNT = 2_147_483_647
 MONITOR_ORDER = (
     stalls.SINGLE_FEED, stalls.DATASET, errors.MONITOR_ID, decline.MONITOR_ID, orphans.MONITOR_ID,
 )
@@ -53,7 +52,7 @@ def orphan_tile(
         orphans.kind_counts(orphans.reference_edges(opportunities)), thresholds
     )
     total = F.coalesce(F.sum("orphan_count"), F.lit(0))
-    return found.agg(F.least(total, F.lit(MAX_TILE_COUNT)).cast("bigint").alias("count")).select(
+    return found.agg(total.cast("bigint").alias("count")).select(
         F.lit(orphans.MONITOR_ID).alias("monitor_id"),
         "count",
         F.lit(0).cast("bigint").alias("past_threshold_count"),

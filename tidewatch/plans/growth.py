@@ -14,7 +14,6 @@ from tidewatch.operators.filters import within_days
 from tidewatch.operators.hydrate import with_dataset_identity
 
 DEFAULT_MONTHS = 12
-MAX_MONTHS = 60
 MIN_DAYS_IN_PROGRESS = 5
 
 
@@ -31,16 +30,14 @@ def shift_month(month: dt.date, by: int) -> dt.date:
     return dt.date(index // 12, index % 12 + 1, 1)
 
 
-def clamp_months(months: int) -> int:
-    return max(1, min(MAX_MONTHS, months))
-
-
 def candidate_months(as_of: dt.date, months: int = DEFAULT_MONTHS) -> list[dt.date]:
     """The last ``months`` complete months, and the running one when it is not complete."""
+    if months < 1:
+        raise ValueError(f"months must be at least 1, not {months}")
     current = month_start(as_of)
     complete = as_of == month_end(as_of)
     last = current if complete else shift_month(current, -1)
-    candidates = [shift_month(last, -back) for back in range(clamp_months(months) - 1, -1, -1)]
+    candidates = [shift_month(last, -back) for back in range(months - 1, -1, -1)]
     return candidates if complete else [*candidates, current]
 
 
@@ -93,8 +90,8 @@ LISTED_FIGURES = ("added", "removed", "without_future", "stopped", "stopped_all_
 def dataset_flags(months: DataFrame) -> DataFrame:
     """(month, dataset_id, day masks, crawled and the figure flags) of ``dataset_months``.
 
-    A removal counts in the next month.  A dataset has at most 62 months, which its window
-    reads in order; the rows without a dataset only carry their days.
+    A removal counts in the next month.  A dataset has a row per reported month at most, which its
+    window reads in order; the rows without a dataset only carry their days.
     """
     history = Window.partitionBy("dataset_id").orderBy("month")
     crawled = F.col("dataset_id").isNotNull()
@@ -138,7 +135,7 @@ def dataset_flags(months: DataFrame) -> DataFrame:
 
 
 def _figures(flags: DataFrame, as_of: dt.date, months: int) -> DataFrame:
-    """Reported months with their counts; every frame here has one row per month (at most 62)."""
+    """Reported months with their counts; every frame here has one row per month."""
     candidates = candidate_months(as_of, months)
     baseline = shift_month(candidates[0], -1)
     spine = flags.sparkSession.range(1).select(
@@ -169,7 +166,7 @@ def _figures(flags: DataFrame, as_of: dt.date, months: int) -> DataFrame:
         evaluated.withColumn("first_month", F.min(F.when(has_data, F.col("month"))).over(everything))
         .where(F.col("month") >= F.col("first_month"))
         .withColumn("recency", F.row_number().over(newest_first))
-        .where(F.col("recency") <= clamp_months(months))
+        .where(F.col("recency") <= months)
         .drop("recency", "first_month")
     )
 
@@ -228,8 +225,7 @@ def ecosystem_growth_datasets(
     reported = _figures(flags, as_of, months).select(
         "month", _comparable().alias("comparable"), _has_feed_data().alias("has_feed_data")
     )
-    # One row per reported month, at most 60.
-    rows = flags.join(F.broadcast(reported), "month")
+    rows = flags.join(reported, "month")
     named = F.filter(
         F.array(
             *[

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.jsontext import json_scalars
 from tidewatch.functions.text import fold_case, not_blank
 from tidewatch.operators.filters import PublicFilter, clean_values, live_opportunity
-from tidewatch.operators.paging import records_page
+from tidewatch.operators.paging import SortKey, records_after, records_page
 from tidewatch.schemas import COMPLETENESS_COLUMNS, SOCIO_MEASURES
 from tidewatch.sources.snapshots import latest_insight_run
 
@@ -80,6 +80,9 @@ def opportunities(summary: DataFrame, where: PublicFilter = EVERYTHING) -> DataF
     )
 
 
+RECORD_KEYS = (SortKey("startDate"), SortKey("feed_id"), SortKey("id"))
+
+# The columns of a record.
 RECORD_COLUMNS = (
     "publisher_name", "feed_id", "id", "kind", "startDate", "endDate", "last_updated", "location",
     "district_name", "district_code", "region_name", "region_code", "country_name", "country_code",
@@ -104,11 +107,25 @@ def opportunity_records(
     offset: int = 0,
     limit: int = 20,
 ) -> DataFrame:
-    """A page of live records by start, feed and id, with ``has_more``."""
-    order = [F.asc("startDate"), F.asc("feed_id"), F.asc("id")]
+    """A page of live records by start, feed and id, with ``has_more``.
+
+    Everything before ``offset`` is ordered too; ``opportunity_records_after`` costs its own page.
+    """
+    order = [key.order() for key in RECORD_KEYS]
     return records_page(live_records(opportunity_rows, today, where), order, offset, limit)
 
 
+def opportunity_records_after(
+    opportunity_rows: DataFrame,
+    today: dt.date,
+    where: PublicFilter = EVERYTHING,
+    after: tuple | None = None,
+    limit: int = 20,
+) -> DataFrame:
+    """The live records that follow the (start, feed, id) of the last one seen, with ``has_more``."""
+    return records_after(live_records(opportunity_rows, today, where), RECORD_KEYS, after, limit)
+
+
 _NODE_KEYS = ("level", "country_name", "region_name", "district_name", "code")
 
 
@@ -172,10 +189,14 @@ def areas(
         .drop("key")
     )
     if socio_data is not None:
-        measures = socio_data.select(
-            F.col("area_code").alias("code"), "area_name", "total_population", *SOCIO_MEASURES
+        # One row per code: of conflicting ones the smallest, as for codes.
+        names = ("area_name", "total_population", *SOCIO_MEASURES)
+        measures = socio_data.where(F.col("area_code").isNotNull()).groupBy(F.col("area_code").alias("code")).agg(
+            F.min(F.struct(*names)).alias("socio")
+        )
+        nodes = nodes.join(measures, "code", "left").select(
+            *nodes.columns, *[F.col("socio")[name].alias(name) for name in names]
         )
-        nodes = nodes.join(measures, "code", "left")
     return nodes.orderBy(
         fold_case(F.col("country_name")), "country_name",
         fold_case(F.col("region_name")), "region_name",
@@ -187,42 +208,46 @@ def area_tree(nodes: DataFrame) -> DataFrame:
     """``areas`` as one row per country with its regions and districts nested, in their order.
 
     The lists are as long as the map has areas, whatever the number of opportunities.
-    ``regions`` is null where the country lists districts of its own, and the other way round.
+    ``regions`` is null where the country lists districts of its own, and the other way round;
+    ``socio`` is null where nothing is known about the area.  Two aggregates fold the nodes:
+    districts and the region above them by (country, region), then both by country.
     """
     extra = [name for name in nodes.columns if name not in _NODE_KEYS]
-    context = F.when(F.col("code").isNotNull(), F.struct(*extra)) if extra else F.lit(None).cast("string")
+    known = F.coalesce(*[F.col(name).cast("string") for name in extra]).isNotNull() if extra else F.lit(False)
+    context = F.when(known, F.struct(*extra)) if extra else F.lit(None).cast("string")
     labelled = nodes.withColumn("socio", context)
 
-    def listed(sort_name: str, *fields: Column) -> Column:
-        key = F.struct(fold_case(F.col(sort_name)).alias("fold"), F.col(sort_name).alias("name"))
-        entries = F.array_sort(F.collect_list(F.struct(key.alias("key"), F.struct(*fields).alias("entry"))))
-        return F.transform(entries, lambda item: item["entry"])
-
-    district = [
-        F.col("district_name"), F.col("code").alias("district_code"), F.col("socio"),
-    ]
-    districts = (
-        labelled.where(F.col("level") == "district")
-        .groupBy("country_name", "region_name")
-        .agg(listed("district_name", *district).alias("districts"))
+    def sort_key(name: str) -> Column:
+        return F.struct(fold_case(F.col(name)).alias("fold"), F.col(name).alias("name")).alias("key")
+
+    def listed(entry: Column) -> Column:
+        """The entries that are not null in the order of their keys; null where there are none."""
+        entries = F.transform(F.array_sort(F.collect_list(entry)), lambda item: item["entry"])
+        return F.when(F.size(entries) > 0, entries)
+
+    def of_level(level: str, value: Column) -> Column:
+        return F.when(F.col("level") == level, value)
+
+    code_and_socio = F.struct("code", "socio")
+    district = F.struct("district_name", F.col("code").alias("district_code"), "socio").alias("entry")
+    folded = labelled.groupBy("country_name", "region_name").agg(
+        F.first(of_level("country", code_and_socio), ignorenulls=True).alias("country"),
+        F.first(of_level("region", code_and_socio), ignorenulls=True).alias("region"),
+        listed(of_level("district", F.struct(sort_key("district_name"), district))).alias("districts"),
     )
-    regions = (
-        labelled.where(F.col("level") == "region")
-        .join(districts.where(F.col("region_name").isNotNull()), ["country_name", "region_name"])
-        .groupBy("country_name")
+    region = F.struct(
+        "region_name", F.col("region.code").alias("region_code"), F.col("region.socio").alias("socio"), "districts"
+    ).alias("entry")
+    return (
+        folded.groupBy("country_name")
         .agg(
+            F.first("country", ignorenulls=True).alias("country"),
             listed(
-                "region_name", F.col("region_name"), F.col("code").alias("region_code"),
-                F.col("socio"), F.col("districts"),
-            ).alias("regions")
+                F.when(F.col("region").isNotNull(), F.struct(sort_key("region_name"), region))
+            ).alias("regions"),
+            F.first(F.when(F.col("region_name").isNull(), F.col("districts")), ignorenulls=True).alias("districts"),
         )
-    )
-    direct = districts.where(F.col("region_name").isNull()).drop("region_name")
-    return (
-        labelled.where(F.col("level") == "country")
-        .select("country_name", F.col("code").alias("country_code"), "socio")
-        .join(regions, "country_name", "left")
-        .join(direct, "country_name", "left")
+        .select("country_name", F.col("country.code").alias("country_code"), "country.socio", "regions", "districts")
         .orderBy(fold_case(F.col("country_name")), "country_name")
     )
 

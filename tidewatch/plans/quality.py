@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.text import UNKNOWN, dataset_display_name, fold_case, not_blank, publisher_id, strip
 from tidewatch.operators.filters import all_of, value_in
+from tidewatch.operators.paging import SortKey
 from tidewatch.schemas import COMPLETENESS_COLUMNS
 
 BUCKET_WIDTH = 20
@@ -30,8 +31,12 @@ def assessed_feeds(
     )
 
 
+#: Best score first.
+ROW_KEYS = (SortKey("score", descending=True, nulls_last=True), SortKey("dataset_url"), SortKey("feed_id"))
+
+
 def row_order() -> list[Column]:
-    return [F.desc_nulls_last("score"), F.asc("dataset_url"), F.asc("feed_id")]
+    return [key.order() for key in ROW_KEYS]
 
 
 def quality_rows(assessed: DataFrame) -> DataFrame:

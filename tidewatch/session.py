@@ -13,8 +13,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # A page far down a total order is sorted and skipped to, not kept in one task's memory.
-    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # Recording the Python line of every column costs more than building these plans does.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

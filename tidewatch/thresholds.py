@@ -1,17 +1,21 @@
 """Tunable limits of the five monitors.
 
-Field defaults are the published ones; ``clamped()`` returns a copy with every caller
-supplied value forced into its accepted range.
+Field defaults are fixed values, the published ones.  A value that makes no sense is refused when
+the limits are made; there are no upper bounds but those of a percentage.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 
-def _clamp(value, low, high):
-    return max(low, min(high, value))
+def _require(limits: object, least: int, most: int | None, *names: str) -> None:
+    for name in names:
+        value = getattr(limits, name)
+        if value < least or (most is not None and value > most):
+            bound = f"at least {least}" if most is None else f"between {least} and {most}"
+            raise ValueError(f"{name} must be {bound}, not {value}")
 
 
 @dataclass(frozen=True)
@@ -36,14 +40,8 @@ class StallThresholds:
     def trend_history_days(self) -> int:
         return self.lookback_days + max(self.trend_days, self.incident_trend_days)
 
-    def clamped(self) -> StallThresholds:
-        return replace(
-            self,
-            lookback_days=_clamp(self.lookback_days, 1, 730),
-            stall_days=_clamp(self.stall_days, 1, 365),
-            past_threshold_days=_clamp(self.past_threshold_days, 1, 365),
-            trend_days=_clamp(self.trend_days, 1, 365),
-        )
+    def __post_init__(self) -> None:
+        _require(self, 1, None, "lookback_days", "stall_days", "past_threshold_days", "trend_days", "incident_trend_days")
 
 
 @dataclass(frozen=True)
@@ -66,13 +64,9 @@ class ErrorThresholds:
     def trend_history_days(self) -> int:
         return self.trend_days - 1 + self.incident_history_days
 
-    def clamped(self) -> ErrorThresholds:
-        return replace(
-            self,
-            success_lookback_days=_clamp(self.success_lookback_days, 1, 730),
-            error_days=_clamp(self.error_days, 1, 365),
-            past_threshold_days=_clamp(self.past_threshold_days, 1, 365),
-            trend_days=_clamp(self.trend_days, 1, 365),
+    def __post_init__(self) -> None:
+        _require(
+            self, 1, None, "success_lookback_days", "error_days", "past_threshold_days", "trend_days", "incident_trend_days"
         )
 
 
@@ -107,17 +101,10 @@ class DeclineThresholds:
     def trend_history_days(self) -> int:
         return self.trend_days - 1 + self.incident_history_days
 
-    def clamped(self) -> DeclineThresholds:
-        return replace(
-            self,
-            window_days=_clamp(self.window_days, 1, 90),
-            drop_percent=_clamp(self.drop_percent, 1, 100),
-            past_threshold_drop_percent=_clamp(self.past_threshold_drop_percent, 1, 100),
-            min_future_opportunities=_clamp(self.min_future_opportunities, 0, 1_000_000_000),
-            qualify_window_days=_clamp(self.qualify_window_days, 1, 365),
-            qualify_drop_percent=_clamp(self.qualify_drop_percent, 1, 100),
-            trend_days=_clamp(self.trend_days, 1, 365),
-        )
+    def __post_init__(self) -> None:
+        _require(self, 1, None, "window_days", "qualify_window_days", "trend_days", "incident_trend_days")
+        _require(self, 1, 100, "drop_percent", "past_threshold_drop_percent", "qualify_drop_percent")
+        _require(self, 0, None, "min_future_opportunities")
 
 
 @dataclass(frozen=True)
@@ -132,12 +119,7 @@ class OrphanThresholds:
 
     @property
     def share_gate(self) -> float:
-        return 0.0 if math.isnan(self.min_share) else _clamp(self.min_share, 0.0, 1.0)
-
-    def clamped(self) -> OrphanThresholds:
-        return replace(
-            self,
-            min_orphans=_clamp(self.min_orphans, 1, 1_000_000),
-            min_share=self.share_gate,
-            past_threshold_orphans=_clamp(self.past_threshold_orphans, 1, 1_000_000),
-        )
+        return 0.0 if math.isnan(self.min_share) else max(0.0, min(1.0, self.min_share))
+
+    def __post_init__(self) -> None:
+        _require(self, 1, None, "min_orphans", "past_threshold_orphans")
