@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from checks import views
 from tidewatch.operators import decline, errors, hydrate, orphans, stalls
 from tidewatch.operators.filters import PublicFilter
-from tidewatch.operators.paging import page
+from tidewatch.operators.paging import page, page_after
 from tidewatch.plans import estate, growth, notifications, properties, public, quality, sites
 from tidewatch.sources import snapshots
 from tidewatch.sources.notification_store import WRITABLE, merge_notifications
@@ -26,6 +26,8 @@ from tidewatch.thresholds import DeclineThresholds, ErrorThresholds, OrphanThres
 
 AS_OF = dt.date(2024, 1, 30)
 GROWTH_AS_OF = dt.date(2001, 8, 1)
+# A running month with enough crawls, and a window that begins before the first crawl.
+EARLY_AS_OF = dt.date(1995, 5, 20)
 TODAY = dt.date(2001, 1, 1)
 CONTACT_TODAY = dt.date(2001, 8, 1)
 STALLS = StallThresholds(stall_days=3)
@@ -38,6 +40,13 @@ NARROW = PublicFilter(
 )
 PLACE = PublicFilter(region=("R9", "R3"), activity=("Brand#7", "Brand#12", "ECONOMY"), nhs_trust=("T3", "T9"))
 ANY_TRUST = PublicFilter(nhs_trust=("ALL", "T3"))
+SOME_PUBLISHERS = PublicFilter(district=("D3-1", "D4-2"), activity=("Brand#7",))
+SOME_ACTIVITIES = PublicFilter(district=("D3-1", "D4-2"), activity=("Brand#7", "Brand#12"))
+SOME_PROVIDERS = PublicFilter(country=("C1", "C2"), activity=("ECONOMY",), nhs_trust=("all",))
+ONE_TRUST = PublicFilter(publisher=tuple(f"Supplier#{n:09d}" for n in range(1, 5)), nhs_trust=("T3",))
+ONE_PROVIDER = PublicFilter(organization=("BUILDING 3", "MACHINERY 3", "HOUSEHOLD 7", "AUTOMOBILE 7", "FURNITURE 7"))
+AFTER_RECORD = (dt.datetime(2001, 3, 1), "feed-3", "5")
+AFTER_SCORE = (55.0, "https://d3.example/data/", "feed-6")
 
 
 def _plain(name: str, kind: T.DataType) -> Column:
@@ -213,6 +222,7 @@ _CATALOG: dict[str, Callable[[Views], DataFrame]] = {
     "orphaned_children": lambda v: orphans.orphaned_children(v.references, v.dataset_names, ORPHANS),
     "orphaned_children_by_kind": lambda v: orphans.orphaned_children_by_kind(v.references, ORPHANS),
     "orphaned_missing_parents": lambda v: orphans.missing_parents(v.references, ORPHANS),
+    "orphaned_missing_parents_all": lambda v: orphans.missing_parents(v.references, ORPHANS, evidence_size=None),
     "single_feed_stalls": lambda v: stalls.single_feed_stalls(
         v.ingestion, v.feed_names, v.dataset_names, AS_OF, STALLS
     ),
@@ -245,6 +255,10 @@ _CATALOG: dict[str, Callable[[Views], DataFrame]] = {
     "opportunities_filtered": lambda v: public.opportunities(v.summary, NARROW),
     "opportunities_any_trust": lambda v: public.opportunities(v.summary, ANY_TRUST),
     "live_records": lambda v: public.live_records(v.opportunities, TODAY),
+    "live_records_by_organization": lambda v: public.live_records(v.opportunities, TODAY, ONE_PROVIDER),
+    "opportunity_records_after": lambda v: public.opportunity_records_after(
+        v.opportunities, TODAY, PLACE, AFTER_RECORD, 20
+    ),
     "opportunity_records": lambda v: public.opportunity_records(v.opportunities, TODAY, PLACE, 5, 20),
     "areas": lambda v: public.areas(v.summary, socio_data=v.socio),
     "area_tree": lambda v: _flat_tree(public.area_tree(public.areas(v.summary, socio_data=v.socio))),
@@ -254,17 +268,13 @@ _CATALOG: dict[str, Callable[[Views], DataFrame]] = {
         v.socio, PublicFilter(district=("D3-1",), region=("R7",), country=("C1", " "))
     ),
     "publishers": lambda v: public.publishers(v.summary),
-    "publishers_filtered": lambda v: public.publishers(v.summary, PLACE),
+    "publishers_filtered": lambda v: public.publishers(v.summary, SOME_PUBLISHERS),
     "activities": lambda v: public.activities(v.summary),
-    "activities_filtered": lambda v: public.activities(
-        v.summary, PublicFilter(district=("D3-1",), organization=("MACHINERY",))
-    ),
+    "activities_filtered": lambda v: public.activities(v.summary, SOME_ACTIVITIES),
     "nhs_trusts": lambda v: public.nhs_trusts(v.summary),
     "organizations": lambda v: public.organizations(v.opportunities, TODAY),
-    "organizations_filtered": lambda v: public.organizations(
-        v.opportunities, TODAY, PublicFilter(country=("C1", "C2"), activity=("Brand#7",), nhs_trust=("all",))
-    ),
-    "public_feed_quality": lambda v: public.feed_quality(v.quality, v.feeds, v.summary, ANY_TRUST),
+    "organizations_filtered": lambda v: public.organizations(v.opportunities, TODAY, SOME_PROVIDERS),
+    "public_feed_quality": lambda v: public.feed_quality(v.supplier_quality, v.supplier_feeds, v.summary, ONE_TRUST),
     "public_feed_quality_filtered": lambda v: public.feed_quality(
         v.supplier_quality, v.supplier_feeds, v.summary,
         PublicFilter(
@@ -274,6 +284,9 @@ _CATALOG: dict[str, Callable[[Views], DataFrame]] = {
     # Quality and drift
     "feed_quality_rows": lambda v: quality.quality_rows(v.assessed),
     "feed_quality_page": lambda v: page(v.assessed, quality.row_order(), 3, 40).select("feed_id", "score"),
+    "feed_quality_page_after": lambda v: page_after(v.assessed, quality.ROW_KEYS, AFTER_SCORE, 40).select(
+        "feed_id", "score"
+    ),
     "feed_quality_filtered": lambda v: quality.quality_rows(
         quality.assessed_feeds(
             v.quality, v.feeds,
@@ -286,6 +299,13 @@ _CATALOG: dict[str, Callable[[Views], DataFrame]] = {
     "feed_quality_histogram": lambda v: quality.score_histogram(v.assessed),
     "feed_quality_breakdowns": lambda v: quality.quality_breakdowns(v.assessed),
     "custom_property_rows": lambda v: properties.property_rows(v.assessed_properties),
+    "custom_property_rows_filtered": lambda v: properties.property_rows(
+        properties.assessed_properties(
+            v.custom_properties,
+            dataset_urls=tuple(f"https://d{n}.example/data/" for n in range(0, 60)),
+            publishers=tuple(f"Customer#{n:09d}" for n in range(0, 80, 2)),
+        )
+    ),
     "custom_property_summary": lambda v: properties.property_summary(v.assessed_properties),
     "custom_property_namespaces": lambda v: properties.namespace_breakdown(v.assessed_properties),
     "custom_property_entity_types": lambda v: properties.entity_type_breakdown(v.assessed_properties),
@@ -295,6 +315,7 @@ _CATALOG: dict[str, Callable[[Views], DataFrame]] = {
     "ecosystem_growth_datasets": lambda v: growth.ecosystem_growth_datasets(
         v.crawls, v.growth_ingestion, v.dataset_names, GROWTH_AS_OF
     ),
+    "ecosystem_growth_in_progress": lambda v: growth.ecosystem_growth(v.crawls, v.growth_ingestion, EARLY_AS_OF),
     # Sites and notifications
     "site_mappings": lambda v: sites.site_mappings(site_mappings_from_text(v.site_cells)).select(*SITE_COLUMNS),
     "site_mappings_filtered": lambda v: sites.site_mappings(
@@ -302,6 +323,9 @@ _CATALOG: dict[str, Callable[[Views], DataFrame]] = {
         local_authority_codes=("e3", "E4", "e15", "e20"), publishers=("Brand#7", "ECONOMY"),
         match_methods=("postCODE",),
     ).select(*SITE_COLUMNS),
+    "site_mappings_by_id": lambda v: sites.site_mappings(
+        site_mappings_from_text(v.site_cells), site_ids=("1", "3", " ", "none")
+    ).select(*SITE_COLUMNS),
     "notification_list": lambda v: notifications.notification_list(v.notifications),
     "notification_summary": lambda v: notifications.notification_summary(v.notifications, CONTACT_TODAY),
     "notification_merge": lambda v: _merged(v).snapshot.select(

@@ -7,7 +7,7 @@ observations, growth from month lists with EXCEPT-style tests.
 from __future__ import annotations
 
 from checks import views
-from checks.catalog import NARROW, PLACE
+from checks.catalog import NARROW, ONE_PROVIDER, ONE_TRUST, PLACE
 from tidewatch.schemas import COMPLETENESS_COLUMNS, SOCIO_MEASURES
 
 AS_OF = "DATE '2024-01-30'"
@@ -153,6 +153,10 @@ FROM sampled
 WHERE parent_id <> '' AND dataset_url IN (SELECT dataset_id FROM found)
 QUALIFY position <= 5"""
 
+MISSING_PARENTS_ALL = f"""{_with(*ORPHAN_BASE)}
+SELECT dataset_url, kind, parent_id AS missing_id, count(*) AS child_count FROM judged
+WHERE orphan AND parent_id <> '' AND dataset_url IN (SELECT dataset_id FROM found) GROUP BY ALL"""
+
 # ---------------------------------------------------------------- stalls
 
 DAYS = f"""days AS (
@@ -465,6 +469,17 @@ SELECT * EXCLUDE (nhstrust_code) REPLACE (strftime(startDate, {_HOUR}) AS startD
 FROM hits"""
 
 
+_PLACE_HITS = f"""{_LIVE} AND kind <> 'Slot' AND {_PLACE}
+    ({has('activity', PLACE.activity)} OR {has('facility', PLACE.activity)})"""
+RECORDS_AFTER = f"""{_with(OPPORTUNITIES)}, later AS (
+  SELECT * FROM opportunities WHERE {_PLACE_HITS} AND (startDate, feed_id, id) > (TIMESTAMP '2001-03-01', 'feed-3', '5')
+)
+SELECT * EXCLUDE (nhstrust_code) REPLACE (strftime(startDate, {_HOUR}) AS startDate,
+       strftime(endDate, {_HOUR}) AS endDate, last_updated::VARCHAR AS last_updated),
+       (SELECT count(*) FROM later) > 20 AS has_more
+FROM later ORDER BY later.startDate, feed_id, id LIMIT 20"""
+
+
 def _areas(where: str) -> str:
     return f"""{_with(SUMMARY, SOCIO)}, tuples AS (
   SELECT DISTINCT country_name, country_code, region_name, region_code, district_name, district_code FROM summary
@@ -578,26 +593,40 @@ PROPERTIES = f"""{_USED} SELECT property, min(namespace) AS namespace, {_USED_CO
 
 # ---------------------------------------------------------------- growth
 
-_WINDOW = "ingestion_date >= DATE '2000-07-01' AND ingestion_date < DATE '2001-08-02'"
-GROWTH_BASE = (
-    CRAWLS,
-    RUNS,
-    f"""listings AS (
+_FIGURES = ("added", "removed", "with_future", "without_future", "stopped", "stopped_all_runs_failed", "not_ingested")
+
+
+def _growth(first: str, as_of: str) -> tuple[str, ...]:
+    """Candidate months from ``first`` on, the history from one month before it."""
+    window = f"ingestion_date >= DATE '{first}' - INTERVAL 1 MONTH AND ingestion_date < DATE '{as_of}' + 1"
+    return (
+        CRAWLS,
+        RUNS,
+        f"""listings AS (
   SELECT DISTINCT date_trunc('month', ingestion_date)::DATE AS m, json_extract_string(x, '$') AS dataset_id
-  FROM (SELECT ingestion_date, unnest(json_extract(datasets, '$[*]')) AS x FROM crawls WHERE {_WINDOW})
+  FROM (SELECT ingestion_date, unnest(json_extract(datasets, '$[*]')) AS x FROM crawls WHERE {window})
 )""",
-    f"""activity AS (
+        f"""activity AS (
   SELECT date_trunc('month', ingestion_date)::DATE AS m, dataset_id, sum(coalesce(updated, 0) + coalesce(deleted, 0)) AS changes,
          max(coalesce(total_future_opportunities, 0)) AS future, bool_and(status = 'ERROR') AS all_failed
-  FROM runs WHERE {_WINDOW} GROUP BY ALL
+  FROM runs WHERE {window} AND dataset_id IS NOT NULL GROUP BY ALL
+)""",
+        "crawled AS (SELECT m, dataset_id FROM listings UNION SELECT m, dataset_id FROM activity)",
+        f"""candidates AS (
+  SELECT m, last_day(m) > DATE '{as_of}' AS in_progress,
+         (SELECT count(DISTINCT ingestion_date::DATE) FROM crawls WHERE date_trunc('month', ingestion_date) = m AND {window}) AS crawl_days,
+         (SELECT count(DISTINCT ingestion_date::DATE) FROM runs WHERE date_trunc('month', ingestion_date) = m AND {window}) AS feed_days,
+         (SELECT count(*) FROM crawled AS c WHERE c.m = t.m) AS datasets_crawled,
+         (SELECT count(*) FROM crawled AS c WHERE c.m = t.m - INTERVAL 1 MONTH) AS crawled_before
+  FROM (SELECT unnest(generate_series(DATE '{first}', DATE '{as_of}', INTERVAL 1 MONTH))::DATE AS m) AS t
 )""",
-    "crawled AS (SELECT m, dataset_id FROM listings UNION SELECT m, dataset_id FROM activity)",
-    f"""months AS (
-  SELECT m, (SELECT count(DISTINCT ingestion_date::DATE) FROM crawls WHERE date_trunc('month', ingestion_date) = m AND {_WINDOW}) AS crawl_days,
-         (SELECT count(DISTINCT ingestion_date::DATE) FROM runs WHERE date_trunc('month', ingestion_date) = m AND {_WINDOW}) AS feed_days
-  FROM (SELECT unnest(generate_series(DATE '2000-08-01', DATE '2001-07-01', INTERVAL 1 MONTH))::DATE AS m)
+        """months AS (
+  SELECT * FROM candidates WHERE (NOT in_progress OR crawl_days >= 5)
+    AND m >= (SELECT min(m) FROM candidates WHERE crawl_days + feed_days + datasets_crawled > 0
+              AND (NOT in_progress OR crawl_days >= 5))
+  ORDER BY m DESC LIMIT 12
 )""",
-    """figures AS (
+        """figures AS (
   SELECT m, 'added' AS figure, dataset_id FROM crawled AS c
   WHERE NOT EXISTS (SELECT 1 FROM crawled AS p WHERE p.dataset_id = c.dataset_id AND p.m = c.m - INTERVAL 1 MONTH)
   UNION ALL
@@ -610,15 +639,28 @@ GROWTH_BASE = (
   UNION ALL SELECT m, 'not_ingested', dataset_id FROM crawled AS c
   WHERE NOT EXISTS (SELECT 1 FROM activity AS a WHERE a.m = c.m AND a.dataset_id = c.dataset_id)
 )""",
-)
-_FIGURES = ("added", "removed", "with_future", "without_future", "stopped", "stopped_all_runs_failed", "not_ingested")
-GROWTH = f"""{_with(*GROWTH_BASE)}
-SELECT m::VARCHAR AS period_start, last_day(m)::VARCHAR AS period_end, false AS in_progress,
-       crawl_days AS days_with_data, feed_days AS days_with_feed_data,
-       (SELECT count(*) FROM crawled AS c WHERE c.m = months.m) AS datasets_crawled,
-       {", ".join(f"(SELECT count(*) FROM figures AS f WHERE f.m = months.m AND figure = '{name}') AS datasets_{name}" for name in _FIGURES)}
+    )
+
+
+def _figure(name: str) -> str:
+    known = "crawled_before > 0" if name in ("added", "removed") else "feed_days > 0"
+    return (
+        f"CASE WHEN {known} THEN (SELECT count(*) FROM figures AS f WHERE f.m = months.m AND figure = '{name}') END "
+        f"AS datasets_{name}"
+    )
+
+
+def _growth_rows(first: str, as_of: str) -> str:
+    return f"""{_with(*_growth(first, as_of))}
+SELECT m::VARCHAR AS period_start, last_day(m)::VARCHAR AS period_end, in_progress,
+       crawl_days AS days_with_data, feed_days AS days_with_feed_data, datasets_crawled,
+       {", ".join(_figure(name) for name in _FIGURES)}
 FROM months"""
-GROWTH_DATASETS = f"""{_with(*GROWTH_BASE, *NAMES)}
+
+
+GROWTH = _growth_rows("2000-08-01", "2001-08-01")
+GROWTH_IN_PROGRESS = _growth_rows("1994-05-01", "1995-05-20")
+GROWTH_DATASETS = f"""{_with(*_growth("2000-08-01", "2001-08-01"), *NAMES)}
 SELECT i.m::VARCHAR AS period_start, i.figure, i.dataset_id AS dataset_url, {pub_id('n.publisher_name')} AS publisher_id,
        coalesce(n.publisher_name, '') AS publisher_name, {dataset_name('i.dataset_id', 'n.dataset_name')} AS dataset_name
 FROM figures AS i LEFT JOIN names AS n USING (dataset_id)
@@ -690,6 +732,7 @@ ORACLE: dict[str, str] = {
     "orphaned_children": ORPHANED_CHILDREN,
     "orphaned_children_by_kind": ORPHANS_BY_KIND,
     "orphaned_missing_parents": MISSING_PARENTS,
+    "orphaned_missing_parents_all": MISSING_PARENTS_ALL,
     "single_feed_stalls": SINGLE_FEED_STALLS,
     "single_feed_stall_trend": SINGLE_FEED_TREND,
     "dataset_stalls": DATASET_STALLS,
@@ -714,7 +757,9 @@ total_num_future_opportunity_items_narrow FROM insight_runs ORDER BY insight_run
     "opportunities_filtered": f"{_with(SUMMARY)} {_SUMMARY_ROWS} WHERE {_NARROW}",
     "opportunities_any_trust": f"{_with(SUMMARY)} {_SUMMARY_ROWS} WHERE nhstrust_code IS NOT NULL",
     "live_records": f"{_with(OPPORTUNITIES)} {_RECORDS}",
+    "live_records_by_organization": f"{_with(OPPORTUNITIES)} {_RECORDS} AND organization_name IN ({quoted(ONE_PROVIDER.organization)})",
     "opportunity_records": RECORD_PAGE,
+    "opportunity_records_after": RECORDS_AFTER,
     "areas": AREAS,
     "area_tree": AREA_TREE,
     "areas_filtered": AREAS_FILTERED,
@@ -722,17 +767,19 @@ total_num_future_opportunity_items_narrow FROM insight_runs ORDER BY insight_run
     "socio_filtered": f"{_with(SOCIO)} SELECT * FROM socio WHERE area_code IN ('D3-1', 'R7', 'C1')",
     "publishers": f"{_with(SUMMARY)} SELECT DISTINCT publisher FROM summary WHERE publisher IS NOT NULL",
     "publishers_filtered": f"""{_with(SUMMARY)} SELECT DISTINCT publisher FROM summary
-WHERE {_PLACE} {has('activity_or_facility', PLACE.activity)}""",
+WHERE district_code IN ('D3-1', 'D4-2') AND {has('activity_or_facility', ['Brand#7'])}""",
     "activities": f"{_with(SUMMARY)} SELECT DISTINCT unnest({labels('activity_or_facility')}) AS activity FROM summary",
     "activities_filtered": f"""{_with(SUMMARY)} SELECT DISTINCT unnest({labels('activity_or_facility')}) AS activity FROM summary
-WHERE district_code = 'D3-1' AND {has('organization_names', ['MACHINERY'])}""",
+WHERE district_code IN ('D3-1', 'D4-2') AND {has('activity_or_facility', ['Brand#7', 'Brand#12'])}""",
     "nhs_trusts": f"{_with(SUMMARY)} SELECT DISTINCT nhstrust_name, nhstrust_code FROM summary WHERE nhstrust_name IS NOT NULL",
     "organizations": f"""{_with(OPPORTUNITIES)} SELECT DISTINCT organization_name AS organization FROM opportunities
 WHERE coalesce(organization_name, '') <> '' AND {_LIVE}""",
     "organizations_filtered": f"""{_with(OPPORTUNITIES)} SELECT DISTINCT organization_name AS organization FROM opportunities
 WHERE coalesce(organization_name, '') <> '' AND {_LIVE} AND country_code IN ('C1', 'C2') AND nhstrust_code IS NOT NULL
-  AND ({has('activity', ['Brand#7'])} OR {has('facility', ['Brand#7'])})""",
-    "public_feed_quality": f"{_with(QUALITY)} {QUALITY_PUBLIC.format(url='dataset_url')}",
+  AND ({has('activity', ['ECONOMY'])} OR {has('facility', ['ECONOMY'])})""",
+    "public_feed_quality": f"""{_with(QUALITY, SUMMARY, SUPPLIER_FEEDS)} {QUALITY_PUBLIC.format(url=_SHORT_URL)}
+WHERE {_SHORT_URL} IN (SELECT dataset_url FROM supplier_feeds WHERE publisher_name IN (
+  SELECT publisher FROM summary WHERE publisher IN ({quoted(ONE_TRUST.publisher)}) AND nhstrust_code = 'T3'))""",
     "public_feed_quality_filtered": f"""{_with(QUALITY, SUMMARY, SUPPLIER_FEEDS)} {QUALITY_PUBLIC.format(url=_SHORT_URL)}
 WHERE {_SHORT_URL} IN (SELECT dataset_url FROM supplier_feeds WHERE publisher_name IN (
   SELECT publisher FROM summary WHERE publisher <= 'Supplier#000000005' AND district_code = 'D3-1'
@@ -740,6 +787,9 @@ WHERE {_SHORT_URL} IN (SELECT dataset_url FROM supplier_feeds WHERE publisher_na
     "feed_quality_rows": f"{_with(FEEDS, QUALITY, ASSESSED)} {_QUALITY_ROW}",
     "feed_quality_page": f"""{_with(QUALITY)} SELECT feed_id, round(q.score, 6) AS score FROM quality AS q
 ORDER BY q.score DESC NULLS LAST, dataset_url, feed_id LIMIT 40 OFFSET 80""",
+    "feed_quality_page_after": f"""{_with(QUALITY)} SELECT feed_id, round(q.score, 6) AS score FROM quality AS q
+WHERE q.score IS NULL OR q.score < 55 OR q.score = 55 AND (dataset_url, feed_id) > ('https://d3.example/data/', 'feed-6')
+ORDER BY q.score DESC NULLS LAST, dataset_url, feed_id LIMIT 40""",
     "feed_quality_filtered": f"""{_with(FEEDS, QUALITY, ASSESSED)} {_QUALITY_ROW} AS a
 WHERE dataset_url IN (SELECT 'https://d' || n || '.example/data/' FROM range(60) AS t(n))
   AND a.publisher_name IN (SELECT 'Customer#' || lpad(n::VARCHAR, 9, '0') FROM range(0, 80, 2) AS t(n))""",
@@ -748,14 +798,19 @@ WHERE dataset_url IN (SELECT 'https://d' || n || '.example/data/' FROM range(60)
     "feed_quality_histogram": HISTOGRAM,
     "feed_quality_breakdowns": BREAKDOWNS,
     "custom_property_rows": PROPERTY_ROWS,
+    "custom_property_rows_filtered": f"""{PROPERTY_ROWS}
+  AND dataset_url IN (SELECT 'https://d' || n || '.example/data/' FROM range(60) AS t(n))
+  AND property_feeds.publisher_name IN (SELECT 'Customer#' || lpad(n::VARCHAR, 9, '0') FROM range(0, 80, 2) AS t(n))""",
     "custom_property_summary": PROPERTY_SUMMARY,
     "custom_property_namespaces": NAMESPACES,
     "custom_property_entity_types": ENTITY_TYPES,
     "custom_property_properties": PROPERTIES,
     "ecosystem_growth": GROWTH,
     "ecosystem_growth_datasets": GROWTH_DATASETS,
+    "ecosystem_growth_in_progress": GROWTH_IN_PROGRESS,
     "site_mappings": SITES,
     "site_mappings_filtered": SITES_FILTERED,
+    "site_mappings_by_id": f"{SITES} WHERE site_id IN ('1', '3', 'none')",
     "notification_list": NOTIFICATION_LIST,
     "notification_summary": NOTIFICATION_SUMMARY,
     "notification_merge": MERGE_SNAPSHOT,

@@ -3,9 +3,10 @@
 One SQL text per table, kept to the dialect both engines share, so the Spark query and its
 oracle read the same rows.  ``{name}`` is a driver table.
 
-Every view reads its tables whole.  Conditions on remainders only hand out attribute values and
-memberships (a parent that is not published, a feed nobody describes, a dataset that comes and
-goes), so that each rule meets rows on both sides of it.
+Every view reads its tables whole and keeps all their rows.  Conditions on remainders only hand out
+attribute values, a null among them where a membership is wanted (a feed nobody describes, a run without
+a dataset), so that each rule meets rows on both sides of it.  The one exception is a derived row: a
+parent that is not published.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ SELECT s_name AS publisher_name, 'feed-' || {_text('l_suppkey')} AS feed_id,
        CASE WHEN l_linenumber % 2 = 0 THEN '16+' END AS ageRange,
        CAST(NULL AS STRING) AS level, '[]' AS accessibilitySupport,
        CASE WHEN l_linenumber % 4 = 0 THEN 'None' END AS genderRestriction,
-       CASE o_orderkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE c_mktsegment END AS organization_name,
+       CASE o_orderkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE c_mktsegment || ' ' || {_text('n_nationkey')} END AS organization_name,
        CASE WHEN n_nationkey % 3 = 0 THEN 'T' || {_text('n_nationkey')} END AS nhstrust_code
 {_LINE_JOINS}
 """
@@ -115,26 +116,26 @@ SELECT o_orderdate AS run_date, count(*) AS total_num_future_opportunity_items_n
 FROM {orders} GROUP BY o_orderdate
 """
 
-_GROWTH_DATASET = f"'https://d' || {_text('o_custkey % 120')} || '.example/data/'"
-_GROWTH_ROWS = "(o_custkey % 120 + month(o_orderdate)) % 6 <> 0"
+_GROWTH_DATASET = f"'https://d' || {_text('o_custkey')} || '.example/data/'"
 
 GROWTH_CRAWLS = f"""
 SELECT o_orderdate AS ingestion_date,
-       '["' || string_agg({_GROWTH_DATASET}, '","') || '"]' AS datasets,
-       count(DISTINCT o_custkey % 120) AS number_of_datasets,
+       '["' || string_agg(DISTINCT CASE WHEN o_orderkey % 13 <> 0 THEN {_GROWTH_DATASET} END, '","') || '"]' AS datasets,
+       count(DISTINCT o_custkey) AS number_of_datasets,
        count(*) AS number_of_feeds
-FROM {{orders}} WHERE {_GROWTH_ROWS} AND o_orderkey % 13 <> 0
+FROM {{orders}}
 GROUP BY o_orderdate
 """
 
 GROWTH_INGESTION = f"""
-SELECT 'feed-' || {_text('o_custkey')} AS feed_id, {_GROWTH_DATASET} AS dataset_id,
+SELECT 'feed-' || {_text('o_custkey')} AS feed_id,
+       CASE WHEN o_custkey % 11 <> 0 THEN {_GROWTH_DATASET} END AS dataset_id,
        o_orderdate AS ingestion_date,
        CASE WHEN o_orderpriority = '1-URGENT' THEN 'ERROR' ELSE 'COMPLETE' END AS status,
        CASE WHEN o_orderstatus = 'O' THEN CAST(0 AS BIGINT) ELSE o_orderkey % 5 END AS updated,
        CAST(0 AS BIGINT) AS deleted,
        CASE WHEN o_custkey % 7 = 0 THEN CAST(0 AS BIGINT) ELSE o_orderkey % 50 END AS total_future_opportunities
-FROM {{orders}} WHERE {_GROWTH_ROWS} AND o_custkey % 11 <> 0
+FROM {{orders}}
 """
 
 _CUSTOMER_DATASET = f"'https://D' || {_text('CAST(floor(c_custkey / 2) AS BIGINT)')} || '.Example/data/'"
@@ -146,11 +147,11 @@ _FEED_URL = (
 _DATASET_NAME = "CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE 'Dataset ' || c_name END"
 
 FEEDS = f"""
-SELECT 'feed-' || {_text('c_custkey')} AS id, {_FEED_URL} AS url,
+SELECT CASE WHEN c_custkey % 17 <> 0 THEN 'feed-' || {_text('c_custkey')} END AS id, {_FEED_URL} AS url,
        CASE c_nationkey % 4 WHEN 0 THEN 'ScheduledSession' WHEN 1 THEN 'Slot' WHEN 2 THEN 'SessionSeries' END AS type,
        CASE WHEN c_custkey % 13 <> 0 THEN c_name END AS publisher_name,
        {_LOWER_DATASET} AS dataset_url
-FROM {{customer}} WHERE c_custkey % 17 <> 0
+FROM {{customer}}
 """
 
 # Feeds of the publishers in the summary, for the publisher bridge.
@@ -188,11 +189,11 @@ FROM {{customer}}
 
 USAGES = f"""
 SELECT DISTINCT o_custkey AS custkey,
-       CASE WHEN o_orderkey % 3 = 0 THEN 'beta:' ELSE '' END || o_orderpriority AS property,
+       CASE WHEN o_custkey % 4 <> 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'beta:' ELSE '' END || o_orderpriority END AS property,
        CASE WHEN o_orderkey % 3 = 0 THEN 'beta' END AS namespace,
        CASE WHEN o_orderkey % 17 <> 0 THEN o_orderstatus END AS entity_type,
        CAST(o_orderkey % 101 AS DOUBLE) AS presence_pct
-FROM {{orders}} WHERE o_custkey % 4 <> 0
+FROM {{orders}}
 """
 
 PROPERTY_FEEDS = f"""
@@ -204,7 +205,7 @@ SELECT 'feed-' || {_text('c_custkey')} AS feed_id,
        c_custkey % 100 AS sampled_items, num_custom_properties, num_custom_property_usages, c_custkey
 FROM {{customer}}
 LEFT JOIN (
-  SELECT custkey, count(DISTINCT property) AS num_custom_properties, count(*) AS num_custom_property_usages
+  SELECT custkey, count(DISTINCT property) AS num_custom_properties, count(property) AS num_custom_property_usages
   FROM ({USAGES}) AS usages GROUP BY custkey
 ) AS per_feed ON custkey = c_custkey
 """
@@ -212,7 +213,7 @@ LEFT JOIN (
 NOTIFICATIONS = f"""
 SELECT {_text('o_orderkey')} AS id, 'pub_' || {_text('o_custkey')} AS publisher_id,
        'Publisher ' || {_text('o_custkey')} AS publisher_name,
-       'https://d' || {_text('o_custkey % 120')} || '.example/data/' AS dataset_url,
+       'https://d' || {_text('o_custkey')} || '.example/data/' AS dataset_url,
        o_orderkey % 4 AS problem_count,
        CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 40 END AS oldest_days_open,
        CASE o_orderstatus WHEN 'F' THEN 'open' WHEN 'P' THEN 'in_progress' ELSE 'closed' END AS status,

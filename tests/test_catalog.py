@@ -32,6 +32,19 @@ def test_query_equals_its_sql(spark, name):
     assert difference(spark, SMALL, name) is None
 
 
+@pytest.mark.parametrize(
+    "narrow, whole",
+    [
+        ("publishers_filtered", "publishers"), ("activities_filtered", "activities"),
+        ("organizations_filtered", "organizations"), ("live_records_by_organization", "live_records"),
+        ("custom_property_rows_filtered", "custom_property_rows"), ("site_mappings_by_id", "site_mappings"),
+    ],
+)
+def test_filters_leave_some_rows_and_not_all(spark, narrow, whole):
+    few, all_rows = (QUERIES[name](spark, SMALL).count() for name in (narrow, whole))
+    assert 0 < few < all_rows
+
+
 def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 

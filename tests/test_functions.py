@@ -92,3 +92,9 @@ def test_filter_values():
 )
 def test_which_filters_bind_values(where, binds):
     assert where.binds_values() is binds
+
+
+def test_json_strings_must_be_closed(spark):
+    cases = {'"a b"': "a b", ' "x" ': "x", '"': None, '"abc': None, '"a" b"': None, '"a\\"b"': 'a"b', '"a\\': None,
+             '""': "", "1": None, None: None}
+    assert values(spark, cases, jsontext.json_string) == list(cases.values())

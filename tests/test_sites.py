@@ -30,6 +30,19 @@ def test_a_missing_id_column_is_an_error(load):
         load("match_method,site_lat\nspatial,1.5")
 
 
+def test_a_folder_of_files_with_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("site_id,match_method,site_lat\n1,name,5\n2,spatial,6\n")
+    (tmp_path / "b.csv").write_text("site_lat,SITE_ID,extra\n7,3,x\n")
+    (tmp_path / "c.csv").write_text("site_id,match_method,site_lat\n4,postcode,8\n")
+    got = load_site_mappings(spark, str(tmp_path)).select("site_id", "match_method", "site_lat").orderBy("site_id")
+    assert [tuple(r) for r in got.collect()] == [
+        ("1", "name", 5.0), ("2", "spatial", 6.0), ("3", None, 7.0), ("4", "postcode", 8.0),
+    ]
+    (tmp_path / "d.csv").write_text("match_method\nname\n")
+    with pytest.raises(ValueError, match="site_id"):
+        load_site_mappings(spark, str(tmp_path))
+
+
 def test_blank_cells_are_null_or_empty(load):
     names = list(COLUMNS)
     row = load(",".join(names) + "\n7" + "," * (len(names) - 1)).collect()[0].asDict()

@@ -33,15 +33,13 @@ def json_scalar(value: Column) -> Column:
 def json_string(value: Column) -> Column:
     """The text of a JSON string; null for JSON of any other type.
 
-    The type shows in the first character, and a string without escapes is just what stands
-    between its quotes, so only strings with escapes are parsed.
+    A string without escapes is just what stands between its quotes, so only strings with escapes
+    are parsed; what does not end with the first quote left unescaped is malformed and null.
     """
     text = F.btrim(value, F.lit(_JSON_SPACE))
     plain = F.substring(text, F.lit(2), F.length(text) - 2)
-    escaped = F.contains(text, F.lit("\\"))
-    return F.when(
-        text.startswith('"'), F.when(escaped, json_scalar(text)).otherwise(plain)
-    )
+    closed = text.rlike(r'(?s)^"(?:[^"\\]++|\\.)*+"$')
+    return F.when(closed, F.when(F.contains(text, F.lit("\\")), json_scalar(text)).otherwise(plain))
 
 
 def json_field(value: Column, path: str) -> Column:

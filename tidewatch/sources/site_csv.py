@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,21 +86,36 @@ def site_mappings_from_text(cells: DataFrame) -> DataFrame:
     ).where(F.col("site_id").isNotNull())
 
 
+def _columns(header: str) -> list[str]:
+    """Column names of a header line: any case, stray blanks allowed, the first of repeats wins."""
+    names: list[str] = []
+    for position, cell in enumerate(next(csv.reader([header]), [])):
+        name = cell.lstrip("\ufeff").strip().lower()
+        names.append(name if name and name not in names else f"_ignored_{position}")
+    if "site_id" not in names:
+        raise ValueError(f"a site mapping CSV has no site_id column; its header is: {header}")
+    return names
+
+
 def load_site_mappings(spark: SparkSession, path: str) -> DataFrame:
-    """Read the CSV by header name (any case, stray blanks allowed, first of repeats wins).
+    """Read the CSV file, or all CSV files of a folder, by header name.
 
-    The one header row is fetched to name the columns; the rows themselves are read by Spark.
+    The header lines (one line each, without line breaks in their cells) are fetched to name the
+    columns; files of one header are read together, and the rows themselves by Spark.  A file is one
+    task, since its cells may hold line breaks.
     """
-    header = spark.read.options(header=False, **_CSV).csv(path).first()
-    if header is None:
+    lines = spark.read.text(path).where((F.btrim("value") != "") & (F.col("_metadata.file_block_start") == 0))
+    numbered = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
+    headers = numbered.groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    files: dict[str, list[str]] = {}
+    for row in headers.collect():
+        files.setdefault(row.header, []).append(row.file)
+    if not files:
         empty = T.StructType([T.StructField(name, T.StringType()) for name in COLUMNS])
         return site_mappings_from_text(spark.createDataFrame([], empty))
-    names: list[str] = []
-    for position, cell in enumerate(header):
-        name = (cell or "").lstrip("\ufeff").strip().lower()
-        names.append(name if name and name not in names else f"_ignored_{position}")
-    if "site_id" not in names:
-        raise ValueError(f"the site mapping CSV has no site_id column; its header is: {list(header)}")
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    cells = spark.read.options(header=True, enforceSchema=True, **_CSV).schema(schema).csv(path)
-    return site_mappings_from_text(cells)
+    parts = []
+    for header, paths in sorted(files.items()):
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in _columns(header)])
+        cells = spark.read.options(header=True, enforceSchema=True, **_CSV).schema(schema).csv(sorted(paths))
+        parts.append(site_mappings_from_text(cells))
+    return reduce(DataFrame.unionByName, parts)
