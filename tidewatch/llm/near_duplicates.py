@@ -30,9 +30,9 @@ REGISTERS, BAND, MANTISSA_BITS = 128, 4, 10
 #: Standard deviations that an estimate may fall short of the threshold and still be verified.
 SLACK = 6.0
 #: Documents and shingles of a block.
-BLOCK_DOCS, BLOCK_SHINGLES = 2048, 4_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 2048, 1_000_000
 #: Words whose hashes a worker remembers.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -47,9 +47,6 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -61,7 +58,8 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     words = text.translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    known = shared.kept("near_duplicates", "words", _WordHashes)
+    hashed = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(size, len(words))
     n = len(words) - width + 1
     rolled = np.full(n, width, np.uint64)
@@ -171,7 +169,7 @@ FEATURES = "id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands arra
 
 def features(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """id, n_shingles, a 128-bit digest of the shingle set and the registers, four to a number; nulls without words."""
-    shared.ship_package(docs.sparkSession)
+    shared.prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +215,8 @@ def _links(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, te
         "id", "centre", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
     dealt = shared.written(dealt, "dealt")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = dealt.join(texts, "id").repartition("centre", "low", "high").sortWithinPartitions(
+    # a merge at every size: the ids to look up grow with the corpus, and the plan should not change with it
+    rows = dealt.join(texts.hint("merge"), "id").repartition("centre", "low", "high").sortWithinPartitions(
         "centre", "low", "high", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
