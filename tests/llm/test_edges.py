@@ -1,0 +1,267 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for operators and stages."""
+
+import corpus_pipeline
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tests.llm import brute
+from tests.llm.conftest import EDGE_TEXTS, listed
+from tidewatch.llm import (
+    chat_masks,
+    decontamination,
+    language,
+    line_rules,
+    mixing,
+    near_duplicates,
+    secret_ledger,
+    sharding,
+    shared,
+    token_files,
+    warc_archive,
+)
+
+DOCS = [(i, t) for i, t in enumerate(EDGE_TEXTS)]
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+#: Columns that operators use inside or return.
+CLASHES = (
+    "1L as id; 'x' as source_; 2 as size; 3 as shard; 'y' as blob; 4 as kept; 'z' as host; 5 as n_words; 6 as mix_copy; "
+    "'t' as tw_score; 7 as cut; 8 as range; 9 as h; 'u' as tw_host; 1 as spans; 2 as copy_rank; 3 as dropped_id; 4 as lines"
+)
+
+
+def same(got, want):
+    assert got == sorted(want, key=repr)
+
+
+@pytest.fixture(scope="module")
+def docs(documents):
+    return documents(DOCS, CLASHES)
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    rows = [(1, "One two THREE"), (2, None), (3, ""), (None, "line"), (4, "word " * 12), (4, "word " * 12), (10, "vu")]
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+def test_decontamination(docs, items):
+    want = brute.contamination(DOCS, [tuple(r) for r in items.collect()])
+    for limit in (10**6, 30):  # one automaton, and several
+        got = decontamination.scanned_documents(docs, items, max_item_bytes=limit).selectExpr(
+            "id", "n_words", "n_hit", "size(items)", "sha2(array_join(items, ','), 256)", "n_hit > 0")
+        same(sorted((tuple(r) for r in got.collect()), key=repr), want)
+        clean = decontamination.clean_documents(docs, items, max_item_bytes=limit)
+        assert clean.columns == docs.columns
+        assert sorted(r.doc_id for r in clean.collect()) == sorted(w[0] for w in want if not w[5])
+    none = items.limit(0)
+    assert decontamination.scanned_documents(docs, none).where("n_hit > 0").count() == 0
+    assert decontamination.scanned_documents(docs.limit(0), items).count() == 0
+
+
+def test_decontamination_offsets(documents, items):
+    text = "Say: one--two three, three. É Line? end"
+    [row] = decontamination.scanned_documents(documents([(1, text)]), items).collect()
+    assert [text[s.char_start:s.char_end] for s in row.spans] == ["Line"] and row["items"] == [""]
+    text = text.replace(" ", " ")
+    [row] = decontamination.scanned_documents(documents([(1, text)]), items).collect()
+    assert [text[s.char_start:s.char_end] for s in row.spans] == ["one--two three", "Line"]
+
+
+def token_rows(spark, docs):
+    folder = f"{shared.shared_folder(spark)}/tokens"
+    files = token_files.write_token_files(docs, folder, WORDS)
+    return listed(token_files.read_token_files(files, folder, piece_ids=50), "*")
+
+
+def test_tokens(spark, documents, docs):
+    tokenizer = Tokenizer.from_file(WORDS)
+    got = token_rows(spark, docs)
+    same(got, brute.tokens(DOCS, tokenizer))
+    twice = documents([(5, "b c"), (5, "b c"), (-3, None), (2**62, "z")])
+    assert [(r[0], r[2]) for r in sorted(token_rows(spark, twice))] == [(-3, 1), (5, 3), (5, 3), (2**62, 2)]
+    assert token_rows(spark, docs.limit(0)) == []
+
+
+def test_conversations(spark):
+    rows = [(c, t, role, x) for c in (1, 2) for t, (role, x) in enumerate(
+        (r, x) for x in EDGE_TEXTS for r in ("user", "assistant", "<|turn|>assistant", "a\nb"))]
+    rows += [(3, n, "assistant", f"{n}<|end|>") for n in range(700)] + [(4, 0, "assistant", None)] * 2
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr(
+        "*", "1 as block", "'x' as formatted", "2 as piece")
+    blocks = chat_masks.formatted_blocks(frame, BYTES)
+    got = listed(chat_masks.conversation_digests(shared.written(blocks, "b")),
+                 "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+    same(got, brute.conversations(rows))
+    assert chat_masks.conversation_digests(chat_masks.formatted_blocks(frame.limit(0), BYTES)).count() == 0
+    odd = spark.createDataFrame([(None, None, None, "x"), (None, 1, "assistant", "y")],
+                                "conv_id long, turn long, role string, text string")
+    [row] = chat_masks.conversation_digests(chat_masks.formatted_blocks(odd, BYTES)).collect()
+    assert (row.conv_id, row.n_turns, row.loss_chars) == (None, 2, 1)
+
+
+def test_quality(docs):
+    got = line_rules.judged_documents(docs)
+    columns = ("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    same(listed(got, *columns), brute.quality(DOCS))
+    assert got.where("kept and base_failed").count() == 0 and line_rules.judged_documents(docs.limit(0)).count() == 0
+
+
+def test_line_rules(documents):
+    good = "This is a sentence of common length, written by a hand."
+    bad = ["Home | About | Contact | Help", "Menu", "We use it. Please read our Privacy Policy.", "Next » Last » First"]
+    other = "Another line says what nobody has said before, and ends."
+    text = "\n".join([good, *bad, other])
+    rows = {r.id: r for r in line_rules.judged_documents(documents([
+        (1, text), (2, "\n".join([good] + bad * 3)), (3, good), (4, "no sentence end but words enough to stand as a line"),
+    ])).collect()}
+    assert rows[1].cleaned == good + "\n" + other
+    assert [rows[i].kept for i in (1, 2, 3, 4)] == [True, False, True, True]
+
+
+def test_secrets(spark, docs):
+    folder = f"{shared.shared_folder(spark)}/ledger"
+    found = secret_ledger.findings_by_path(docs, folder, fresh=True)
+    names = [(r.path, [(s.kind, s.start, s.end) for s in r.spans]) for r in found.collect()]
+    want = brute.secrets(DOCS)
+    for path, spans in names:
+        kinds = [k for k, _, _ in spans]
+        assert tuple(kinds.count(k) for k in ("assign", "access", "hex")) == want[path][1:4]
+    assert secret_ledger.findings_by_path(docs.limit(0), f"{folder}2", fresh=True).count() == 0
+
+
+def test_the_ledger_scans_what_it_has_not_seen(spark, documents):
+    folder = f"{shared.shared_folder(spark)}/ledger"
+    one = documents([(1, "token=abcdef1"), (2, "token=abcdef1"), (3, "clean")])
+    two = documents([(1, "token=abcdef1"), (4, "secret: zzzzzzzz"), (4, "secret: zzzzzzzz")])
+    assert secret_ledger.findings_by_path(one, folder, fresh=True).where("size(spans) = 1").count() == 2
+    seen = secret_ledger.open_ledger(spark, folder)
+    assert seen.count() == 2
+    assert secret_ledger.ledger_update(two, seen).count() == 1
+    assert secret_ledger.findings_by_path(two, folder).where("size(spans) = 1").count() == 3
+    assert secret_ledger.open_ledger(spark, folder).count() == 3
+    assert secret_ledger.ledger_update(one, secret_ledger.open_ledger(spark, folder)).count() == 0
+    assert secret_ledger.ledger_update(one, secret_ledger.open_ledger(spark, folder), version=2).count() == 2
+
+
+def test_mixing(documents):
+    rows = [(i, "w " * n, None, s) for i, (n, s) in enumerate(
+        [(5, "b"), (0, "b"), (700, "a"), (1, None), (2, None), (0, "zero")] + [(3, "hot")] * 300)]
+    rows += [(None, None, None, "b"), (7, "w " * 3, None, "hot")]
+    sizes = {"a": 700, "b": 5, "hot": 903, "zero": 0, None: 3}
+    frame = documents(rows, "1 as size; 2 as cut; 'q' as hashed; 3 as mix_hash; 4 as mix_cut; 'r' as mix_source")
+    got = mixing.taken_sizes(frame).collect()
+    want, taken = brute.targets(sizes), dict.fromkeys(sizes, 0)
+    assert len(got) == len(rows)
+    for r in got:
+        taken[r.source] += r.taken
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
+    assert abs(taken["hot"] - want["hot"]) <= 6 and taken["zero"] == 0
+    mixed = mixing.mixed_documents(frame)
+    assert mixed.columns == frame.columns
+    assert mixed.where("source = 'hot'").count() * 3 == taken["hot"]
+    assert mixing.taken_sizes(frame.limit(0)).count() == 0 and mixing.mixed_documents(frame.limit(0)).count() == 0
+
+
+def test_sharding(documents):
+    rows = [(i, "copy" * 25) for i in range(900)] + [(i, f"text {i} " * (i % 7)) for i in range(900, 2000)]
+    rows += [(None, None), (None, ""), (900, "text 900 " * 4), (5, "big" * 3000)]
+    got = sharding.assigned_shards(documents(rows, CLASHES), 8).collect()
+    assert len(got) == len(rows)
+    share = sum(r["size"] for r in got) / 8
+    for shard in range(8):
+        own = [r for r in got if r.shard == shard]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r["size"] for r in own) - share) < 0.1 * share
+    by_text = {}
+    for r in got:
+        by_text.setdefault((r.text_crc32, r["size"]), set()).add(r.shard)
+    assert sum(len(s) > 1 for s in by_text.values()) <= 1  # the 900 copies alone are cut
+    assert sharding.assigned_shards(documents([]), 8).count() == 0
+    few = sharding.assigned_shards(documents([(1, "a")] * 3), 8).collect()
+    assert sorted((r.shard, r.slot) for r in few)[-1][1] == 2
+
+
+def test_near_duplicates(documents, docs):
+    same(listed(near_duplicates.grouped_documents(docs, shingle_words=4), "id", "n_shingles", "component", "kept"),
+         brute.groups(DOCS, 4))
+    odd = near_duplicates.grouped_documents(documents([(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")]))
+    assert listed(odd, "id", "component", "kept") == [(3, 3, True), (None, None, True), (None, None, True)]
+    assert near_duplicates.grouped_documents(docs.limit(0)).count() == 0
+    twice = documents([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "x"), (None, "y")])
+    first = near_duplicates.first_documents(twice)
+    assert listed(first, "doc_id") == [(1,), (3,), (None,)] and first.columns == twice.columns
+
+
+def test_archive(spark):
+    rows = [(i, f"http://h/{i}\r\nX: y", t) for i, t in enumerate(EDGE_TEXTS)] + [
+        (100 + i, None, "same " * 400) for i in range(5)] + [(104, None, "same " * 400), (None, None, "same " * 400)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr(
+        "*", "'x' as payload", "1 as digest", "2 as stored")
+    folder = f"{shared.shared_folder(spark)}/warc"
+    files = warc_archive.write_archives(frame, folder)
+    got = warc_archive.read_archives(files, folder, split_bytes=300)
+    assert got.count() == len(rows)
+    want = brute.archive([(r[0], r[2]) for r in rows if r[0] is not None])
+    plain = got.selectExpr(
+        "try_cast(regexp_extract(record_id, '^<urn:page:(.*)>$', 1) as long) as page", "payload_bytes", "payload_digest",
+        "record_type", "try_cast(regexp_extract(refers_to, '^<urn:page:(.*)>$', 1) as long) as refers", "payload")
+    assert {tuple(r)[:5] for r in plain.where("page is not null").collect()} == set(want)
+    texts = {r[0]: (r[2] or "").encode() for r in rows}
+    assert all(bytes(r.payload) == texts[r.page] for r in plain.where("payload is not null and page is not null").collect())
+    [null] = plain.where("page is null").collect()
+    assert (null.record_type, null.refers) == ("revisit", 104)
+    empty = warc_archive.write_archives(frame.limit(0), folder)
+    assert warc_archive.read_archives(empty, folder).count() == 0
+
+
+def test_language(documents):
+    texts = {"en": "the house and the garden with the old trees", "de": "das haus und der garten mit den alten bäumen",
+             "fr": "la maison et le jardin avec les vieux arbres"}
+    rows = [(i, f"{texts[x]} {i}", x, f"s{x}") for i, x in enumerate(list(texts) * 40)]
+    train = documents(rows)
+    model = language.trained(train)
+    assert model.labels == ["de", "en", "fr"]
+    odd = documents(rows[:6] + [(900 + i, t) for i, t in enumerate(EDGE_TEXTS)] + rows[:2], CLASHES)
+    got = language.identified(odd, model, text_col="text", host=odd["source"]).collect()
+    assert len(got) == 8 + len(EDGE_TEXTS)
+    assert all(r.language == r.lang for r in got if r.lang)
+    assert {r.doc_id: r.language for r in got if r.doc_id in (900, 901, 902)} == dict.fromkeys((900, 901, 902), "und")
+    kept = language.kept_documents(documents(rows + [(900, None), (901, "12 34")], CLASHES))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(120))
+    assert language.kept_documents(odd.limit(0)).count() == 0
+    none = language.identified(odd, language.trained(odd.limit(0)), text_col="text")
+    assert {(r.language, r.confidence) for r in none.collect()} == {("und", 0.0)}
+
+
+def test_evidence_is_fused(documents, spark):
+    texts = {"en": "the house and the garden with the old trees", "de": "das haus und der garten mit den alten bäumen"}
+    model = language.trained(documents([(i, texts[x], x, None) for i, x in enumerate(list(texts) * 40)]))
+    pages = [(i, f"http://{h}.example.{d}/x", f'<html lang="{x}"><p>{texts[x]}</p><script>the</script></html>')
+             for i, (x, h, d) in enumerate([("de", "a", "de"), ("en", "b", "com")] * 40)]
+    pages += [(90, "http://a.example.de/y", '<html lang="de"><p>in</p></html>'),
+              (91, "http://b.example.com/y", '<html lang="en"><p>in</p></html>'), (92, "nowhere", "<p></p>"), (93, None, None)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = frame.select("page_id", language.visible_text(frame["html"]).alias("text"),
+                        *(c.alias(n) for n, c in language.page_evidence(frame["url"], frame["html"]).items()))
+    got = {r.page_id: r.language for r in language.identified(
+        rows, model, text_col="text", host=rows["host"], domain=rows["domain"], suffix=rows["suffix"],
+        declared=rows["declared"]).collect()}
+    # "in" is a word of both: host, suffix and declaration decide
+    assert (got[90], got[91], got[92], got[93]) == ("de", "en", "und", "und")
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_the_columns(spark, documents, tmp_path, name, stage):
+    spark.createDataFrame([(1, "nothing of this occurs")], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    clean = [(i, f"the text of number {i} is long enough and stands apart from others like {i * 7} and {i * 13}", "en",
+              f"s{i % 2}") for i in range(40)]
+    docs = documents(clean + [(1000 + i, t, None, None) for i, t in enumerate(EDGE_TEXTS)], CLASHES)
+    got = stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    ids = {r.doc_id for r in got.collect()}
+    if name != "mixing":
+        assert set(range(40)) <= ids
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -69,21 +69,16 @@ def token_masks(offsets: np.ndarray, spans: list[tuple[int, int]]) -> list[dict[
              "stop": int(min(b, offsets[t - 1, 1]))} for f, t, a, b in zip(first, last, starts, stops) if a < b]
 
 
-_TOKENIZERS: dict = {}
-
-
 def mark_tokenizer(path: str):
-    """The tokenizer with the three marks as tokens of their own; one for each Python worker."""
-    if path not in _TOKENIZERS:
-        from tokenizers import AddedToken, Tokenizer
-        from tokenizers.processors import ByteLevel
+    """The tokenizer with the three marks as tokens of their own."""
+    from tokenizers import AddedToken, Tokenizer
+    from tokenizers.processors import ByteLevel
 
-        tokenizer = Tokenizer.from_file(path)
-        # offsets of a token cover its blanks too
-        tokenizer.post_processor = ByteLevel(trim_offsets=False)
-        tokenizer.add_tokens([AddedToken(m, normalized=False, special=False) for m in (TURN, BODY, END)])
-        _TOKENIZERS[path] = tokenizer
-    return _TOKENIZERS[path]
+    tokenizer = Tokenizer.from_file(path)
+    # offsets of a token cover its blanks too
+    tokenizer.post_processor = ByteLevel(trim_offsets=False)
+    tokenizer.add_tokens([AddedToken(m, normalized=False, special=False) for m in (TURN, BODY, END)])
+    return tokenizer
 
 
 def formatted_blocks(turns: DataFrame, tokenizer_path: str, *, conv_col: str = "conv_id", turn_col: str = "turn",
@@ -95,7 +90,7 @@ def formatted_blocks(turns: DataFrame, tokenizer_path: str, *, conv_col: str = "
     conversation is one of its own. Masks count tokens and characters within the piece. An empty table gives
     no rows; other columns of turns are ignored.
     """
-    shared.ship_package(turns.sparkSession)
+    shared.prepare(turns.sparkSession)
     rows = turns.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
         F.floor(F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)) / BLOCK_TURNS).alias("block"),
@@ -105,7 +100,7 @@ def formatted_blocks(turns: DataFrame, tokenizer_path: str, *, conv_col: str = "
     schema = shared.arrow_schema(BLOCKS)
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = mark_tokenizer(tokenizer_path)
+        tokenizer = shared.kept("chat_masks", tokenizer_path, lambda: mark_tokenizer(tokenizer_path))
         key, piece, held, chars = None, 0, [], 0
 
         def done() -> dict:
@@ -145,7 +140,7 @@ def conversation_digests(blocks: DataFrame) -> DataFrame:
     The pieces of a conversation stream through one task in order, which a digest of all of it asks for; only
     one piece is held at a time.
     """
-    shared.ship_package(blocks.sparkSession)
+    shared.prepare(blocks.sparkSession)
     dealt = blocks.repartition("conv_id").sortWithinPartitions("conv_id", "block", "piece")
 
     schema = shared.arrow_schema(DIGESTS)

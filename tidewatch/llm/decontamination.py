@@ -21,6 +21,8 @@ from tidewatch.llm import shared
 WINDOW = 10
 #: Bytes of item texts for one automaton: windows overlap, so its memory is some hundred times that.
 MAX_ITEM_BYTES = 4_000_000
+#: Texts held as Python objects at a time.
+SLICE = 512
 SPAN = "struct<word_start:bigint,word_end:bigint,char_start:bigint,char_end:bigint>"
 ROWS = f"id bigint, n_words bigint, n_hit bigint, spans array<{SPAN}>, items array<string>"
 
@@ -28,7 +30,6 @@ ROWS = f"id bigint, n_words bigint, n_hit bigint, spans array<{SPAN}>, items arr
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_BUILT: dict[int, tuple[object, "Automaton"]] = {}
 
 
 def folded_words(text: bytes) -> list[bytes]:
@@ -75,27 +76,10 @@ class Automaton:
 
 def _automaton(items, window: int) -> Automaton:
     """Built once for each Python worker and broadcast."""
-    held = _BUILT.get(window)
-    if held is None or held[0] != items.id:
-        _BUILT[window] = held = (items.id, Automaton(items.value, window))
-    return held[1]
+    return shared.kept("decontamination", (items.id, window), lambda: Automaton(items.value, window))
 
 
-class _Items:
-    """The broadcast items with a number to know them by."""
-
-    def __init__(self, broadcast) -> None:
-        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id()
-
-    def __getstate__(self) -> dict:
-        return self.__dict__
-
-    @property
-    def value(self) -> list[tuple[str, bytes]]:
-        return self.broadcast.value
-
-
-def _item_batches(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int) -> Iterator[_Items]:
+def _item_batches(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int) -> Iterator[shared.Held]:
     """The items in broadcasts of at most about max_bytes; the whole table in one where it fits."""
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), shared.text_or_empty(text_col).alias("text"))
@@ -104,7 +88,7 @@ def _item_batches(benchmark: DataFrame, item_col: str, text_col: str, max_bytes:
     for part in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         rows = [(r.item, r.text.encode()) for r in own.distinct().collect()]
-        yield _Items(benchmark.sparkSession.sparkContext.broadcast(rows))
+        yield shared.Held(benchmark.sparkSession.sparkContext.broadcast(rows))
 
 
 def _char_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -113,7 +97,7 @@ def _char_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[dict[str, in
             for a, b in ranges]
 
 
-def _scan_rows(texts: DataFrame, items: _Items, window: int) -> DataFrame:
+def _scan_rows(texts: DataFrame, items: shared.Held, window: int) -> DataFrame:
     kind = T.StructType.fromDDL(ROWS)
     kind["id"].dataType = texts.schema["id"].dataType
     keyed = "key" in texts.columns
@@ -124,7 +108,7 @@ def _scan_rows(texts: DataFrame, items: _Items, window: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _automaton(items, window)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             n_words, n_hit, spans, found = [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 text = text or b""
@@ -153,7 +137,7 @@ def scanned_documents(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     united by (id, hash of the text).
     """
     spark = docs.sparkSession
-    shared.ship_package(spark)
+    shared.prepare(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     batches = _item_batches(benchmark, item_col, item_text_col, max_item_bytes)
     first, second = next(batches), next(batches, None)
@@ -189,16 +173,17 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
                     item_text_col: str = "text", window: int = WINDOW,
                     max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs, with all their columns."""
-    shared.ship_package(docs.sparkSession)
+    shared.prepare(docs.sparkSession)
     for items in _item_batches(benchmark, item_col, item_text_col, max_item_bytes):
         docs = docs.where(_is_clean(items, window)(F.col(text_col).cast("string")))
     return docs
 
 
-def _is_clean(items: _Items, window: int):
+def _is_clean(items: shared.Held, window: int):
     @F.arrow_udf(T.BooleanType())
     def is_clean(texts: pa.Array) -> pa.Array:
         machine = _automaton(items, window)
-        return pa.array([not machine.scan(t or b"")[1] for t in texts.cast(pa.binary()).to_pylist()], pa.bool_())
+        parts = (texts.slice(at, SLICE).cast(pa.binary()).to_pylist() for at in range(0, len(texts), SLICE))
+        return pa.array([not machine.scan(t or b"")[1] for part in parts for t in part], pa.bool_())
 
     return is_clean

@@ -24,6 +24,8 @@ EVIDENCE_GRAMS = 40
 #: Pseudo-counts with which a host leans on its domain, a domain on all rows, and tables on even shares.
 LEAN = 5.0
 UNDETERMINED = "und"
+#: Texts held as Python objects at a time.
+SLICE = 512
 
 _SPACE = np.uint32(32)
 _ASCII = np.array([c if 97 <= c <= 122 else 32 for c in range(128)], np.uint32)
@@ -66,7 +68,7 @@ class Model:
 def trained(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id",
             per_label: int = 500) -> Model:
     """A model from per_label rows of each label, the ones with the smallest hashes; nulls have no label."""
-    shared.ship_package(labelled.sparkSession)
+    shared.prepare(labelled.sparkSession)
     order = Window.partitionBy("label").orderBy(F.xxhash64("id", "label"), "id")
     sample = labelled.select(
         F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"),
@@ -95,13 +97,14 @@ def trained(labelled: DataFrame, *, text_col: str = "text", label_col: str = "la
 
 def scoring(model: Model, spark) -> object:
     """An Arrow UDF: text to [trigrams, log-likelihoods, posteriors]."""
-    held = spark.sparkContext.broadcast(model)
+    held = shared.Held(spark.sparkContext.broadcast(model))
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def score(texts: pa.Array) -> pa.Array:
-        own = held.value
+        own = shared.kept("language", held.id, lambda: held.value)
         width = 1 + 2 * len(own.labels)
-        rows = [own.scores(t) for t in texts.to_pylist()]
+        parts = (texts.slice(at, SLICE).to_pylist() for at in range(0, len(texts), SLICE))
+        rows = [own.scores(t) for part in parts for t in part]
         flat = np.concatenate(rows) if rows else np.zeros(0)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width), pa.int32()), pa.array(flat))
 

@@ -45,6 +45,15 @@ def _line_passes(line: Column, limits: LineLimits) -> Column:
     )
 
 
+def _from(name: str, k: int) -> Column:
+    """An array without its first k elements.
+
+    Shifted arrays stand side by side instead of being indexed in a lambda: a filter on the result may move
+    the array's own expression there, to be evaluated once for each element.
+    """
+    return F.slice(name, k + 1, F.greatest(F.size(name), F.lit(0))) if k else F.col(name)
+
+
 def judged_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                      limits: LineLimits = LineLimits()) -> DataFrame:
     """One row per row of docs: id, cleaned (the text without its failing lines), the counts, the verdicts.
@@ -62,8 +71,8 @@ def judged_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.when(F.size("words") >= WINDOW, F.transform(
-            F.sequence(F.lit(0), F.size("words") - WINDOW),
-            lambda i: F.xxhash64(*(F.get(F.col("words"), i + k) for k in range(WINDOW))),
+            F.slice(F.arrays_zip(*(_from("words", k).alias(f"w{k}") for k in range(WINDOW))), 1, F.size("words") - WINDOW + 1),
+            lambda row: F.xxhash64(*(row[f"w{k}"] for k in range(WINDOW))),
         )).otherwise(F.array().cast("array<bigint>")).alias("windows"),
         F.filter(F.split("text", "\n", -1), lambda x: x.rlike(has_word)).alias("lines"),
     )
@@ -73,10 +82,11 @@ def judged_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = counted.select(
         "id", "text", "n_words", "word_chars", "lines", sorted_windows.alias("placed"),
         F.filter("lines", lambda x: _line_passes(x, limits)).alias("passing"))
-    again = F.filter("placed", lambda x, i: (
-        (i > 0) & (F.get(F.col("placed"), i - 1)["h"] == x["h"])
-        | (F.get(F.col("placed"), i + 1)["h"] == x["h"])))
-    starts = F.sort_array(F.transform(again, lambda x: x["i"]))
+    before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), "placed")
+    neighbours = F.arrays_zip(F.col("placed").alias("own"), before.alias("before"), _from("placed", 1).alias("after"))
+    again = F.filter(neighbours, lambda x: (
+        (x["before"]["h"] == x["own"]["h"]) | F.coalesce(x["after"]["h"] == x["own"]["h"], F.lit(False))))
+    starts = F.sort_array(F.transform(again, lambda x: x["own"]["i"]))
     covered = F.aggregate(
         starts, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n")),
         lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")),

@@ -1,5 +1,92 @@
-"""DuckDB SQL for the rows of the queries that SQL can express."""
+r"""DuckDB SQL for the rows of the queries that SQL can express.
+
+None for op1 (a trained model), op2 and op9 (hashes that SQL lacks decide who goes where), op4 (a tokenizer), op6
+and op8 (their verdicts and added spans rest on Java patterns) and the pipeline; tests hold these against plain Python.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words(pattern: str) -> str:
+    return f"regexp_extract_all({_LOWER}, '{pattern}')"
+
+
+def _windows(words: str, size: int) -> str:
+    """Windows of words as texts; all words as one where they are fewer; none without words."""
+    return (
+        f"CASE WHEN len({words}) = 0 THEN [] ELSE list_transform(range(greatest(len({words}) - {size}, 0) + 1), "
+        f"lambda i: array_to_string({words}[i + 1:i + {size}], ' ')) END"
+    )
+
+
+CONTAMINATION = rf"""WITH items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, {_words(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM benchmark
+),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size, unnest({_windows('w', 10)}) AS win FROM items
+),
+sizes AS (SELECT DISTINCT size FROM windows),
+docs AS (SELECT doc_id, {_words(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM documents),
+places AS (
+  SELECT doc_id, size, unnest(range(len(w) - size + 1)) AS p, w FROM docs, sizes WHERE len(w) >= size
+),
+hits AS (
+  SELECT doc_id, p, places.size, item
+  FROM places JOIN windows ON windows.size = places.size AND win = array_to_string(w[p + 1:p + places.size], ' ')
+),
+covered AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM hits) GROUP BY doc_id
+),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+CONVERSATIONS = r"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(23 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|'))
+           + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+NEAR_DUPLICATES = rf"""WITH RECURSIVE docs AS (
+  SELECT doc_id, list_distinct({_windows('w', 4)}) AS s
+  FROM (SELECT doc_id, {_words(r'[^\x20\x09-\x0D]+')} AS w FROM documents)
+),
+sets AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM docs),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM sets AS a JOIN sets AS b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+),
+reach AS (
+  SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach AS r JOIN links AS l ON l.u = r.v
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
+FROM docs LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) ON u = doc_id"""
+
+ARCHIVE = """WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+),
+stored AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM payloads),
+told AS (SELECT *, payload_bytes >= 1000 AND page_id <> last AS again FROM stored)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to
+FROM told"""
+
+ORACLE: dict[str, str] = {
+    "op3_benchmark_automaton": CONTAMINATION,
+    "op5_offset_masks": CONVERSATIONS,
+    "op7_hyperminhash_dedup": NEAR_DUPLICATES,
+    "op10_warc_archive": ARCHIVE,
+}

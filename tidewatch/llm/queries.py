@@ -78,7 +78,7 @@ def op5_offset_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_TEXT).alias("text"))
     blocks = chat_masks.formatted_blocks(
         turns.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json"))
-    return chat_masks.conversation_digests(shared.written(blocks, "formatted"))
+    return chat_masks.conversation_digests(shared.written(blocks, "formatted")).drop("n_tokens", "loss_tokens")
 
 
 def op6_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,11 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,9 @@ BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 _LOCAL: dict[str, str] = {}
+_KEPT: dict = {}
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -76,8 +81,35 @@ def arrow_schema(kind: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(kind) if isinstance(kind, str) else kind)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, whether or not it is installed there."""
+class Held:
+    """A broadcast value with a number to know it by in Python workers."""
+
+    def __init__(self, broadcast: Broadcast) -> None:
+        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id()
+
+    @property
+    def value(self) -> object:
+        return self.broadcast.value
+
+
+def kept(owner: str, key: object, build: Callable[[], object]) -> object:
+    """What a Python worker keeps between its tasks: one operator's things at a time, the last one's."""
+    if _KEPT.get("owner") != owner:
+        _KEPT.clear()
+        _KEPT["owner"] = owner
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give the executors this package, installed there or not, and hold Arrow batches small.
+
+    A batch is held whole on both sides and texts may be long, so a session that leaves the number of rows
+    at its default gets BATCH_ROWS.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_tidewatch_shipped", False):
         return
