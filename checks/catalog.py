@@ -243,7 +243,9 @@ _CATALOG: dict[str, Callable[[Views], DataFrame]] = {
     "dataset_future_decline_trend": lambda v: decline.dataset_future_decline_trend(v.ingestion, AS_OF, DECLINE),
     # Estate
     "monitor_tiles": _tiles,
-    "estate_headline": lambda v: estate.estate_headline(v.crawls, v.ingestion, _tiles(v), AS_OF),
+    "estate_headline": lambda v: estate.estate_headline(
+        v.crawls, v.ingestion, estate.history_tiles(v.ingestion, AS_OF), AS_OF
+    ),
     "datasets_with_errors_today": lambda v: estate.datasets_with_errors_today(v.ingestion, AS_OF),
     "snapshot_date": lambda v: snapshots.snapshot_date(v.ingestion),
     "assessment_date": lambda v: snapshots.assessment_date(v.quality),

@@ -40,7 +40,7 @@ def test_estate(spark):
     assert [t["count"] for t in tiles] == [0, 1, 1, 0, 1200]
     assert tiles[1].sparkline == [0] * 6 + [1] and tiles[4].sparkline == []
     assert tiles[4].count_delta is None and tiles[4].past_threshold_count == 0
-    head = estate.estate_headline(crawls, log, estate.monitor_tiles(log, records, AS_OF), AS_OF).collect()[0]
+    head = estate.estate_headline(crawls, log, estate.history_tiles(log, AS_OF), AS_OF).collect()[0]
     assert (head.publishers_monitored, head.datasets, head.feeds) == (179, 179, 463)
     assert head.publishers_with_issues == 1 and head.publishers_with_issues_delta == 2
     assert head.open_incidents is None and head.generated_at == at(day(0))

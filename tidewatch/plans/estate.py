@@ -62,18 +62,16 @@ def orphan_tile(
     )
 
 
-def monitor_tiles(
+def history_tiles(
     ingestion: DataFrame,
-    opportunities: DataFrame,
     as_of: dt.date,
     stall_thresholds: StallThresholds = StallThresholds(trend_days=SPARKLINE_DAYS, incident_trend_days=1),
     error_thresholds: ErrorThresholds = ErrorThresholds(trend_days=SPARKLINE_DAYS, incident_trend_days=1),
     decline_thresholds: DeclineThresholds = DeclineThresholds(
         trend_days=SPARKLINE_DAYS, incident_trend_days=1
     ),
-    orphan_thresholds: OrphanThresholds = OrphanThresholds(),
 ) -> DataFrame:
-    """One row per monitor in display order; both stall monitors come from one pass."""
+    """The tiles of the monitors with a history; both stall monitors come from one pass."""
     trends = (
         stalls.stall_trends(ingestion, as_of, stall_thresholds)
         .select("monitor_id", "day", "open_count", "past_threshold_count")
@@ -89,7 +87,18 @@ def monitor_tiles(
             )
         )
     )
-    tiles = summarise_trends(trends).unionByName(orphan_tile(opportunities, orphan_thresholds))
+    return summarise_trends(trends)
+
+
+def monitor_tiles(
+    ingestion: DataFrame,
+    opportunities: DataFrame,
+    as_of: dt.date,
+    *thresholds: StallThresholds | ErrorThresholds | DeclineThresholds,
+    orphan_thresholds: OrphanThresholds = OrphanThresholds(),
+) -> DataFrame:
+    """One row per monitor in display order; ``thresholds`` as for ``history_tiles``."""
+    tiles = history_tiles(ingestion, as_of, *thresholds).unionByName(orphan_tile(opportunities, orphan_thresholds))
     position = F.array_position(F.array(*[F.lit(name) for name in MONITOR_ORDER]), F.col("monitor_id"))
     return tiles.withColumn("position", position).orderBy("position")
 
@@ -104,7 +113,10 @@ def datasets_with_errors_today(ingestion: DataFrame, today: dt.date) -> DataFram
 def estate_headline(
     feed_ingestion: DataFrame, ingestion: DataFrame, tiles: DataFrame, today: dt.date
 ) -> DataFrame:
-    """The headline row; deltas add up the tiles that have one and are null when none has."""
+    """The headline row; deltas add up the tiles that have one and are null when none has.
+
+    The tiles of the monitors with a history are enough: the orphans' never has a delta.
+    """
     deltas = tiles.agg(
         F.struct(
             F.sum("count_delta").alias("issues"), F.sum("past_threshold_delta").alias("past_threshold")
