@@ -67,13 +67,18 @@ class Model:
 
 def trained(labelled: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id",
             per_label: int = 500) -> Model:
-    """A model from per_label rows of each label, the ones with the smallest hashes; nulls have no label."""
+    """A model from per_label rows of each label, the ones with the smallest hashes; nulls have no label.
+
+    The hashes alone are ranked, and only the sample's texts are moved. Rows of equal id and label come together.
+    """
     shared.prepare(labelled.sparkSession)
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id", "label"), "id")
-    sample = labelled.select(
-        F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"),
-        F.col(text_col).cast("string").alias("text")).where("label is not null and text is not null").withColumn(
-        "rank", F.row_number().over(order)).where(F.col("rank") <= per_label)
+    rows = labelled.select(
+        F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col), F.col(label_col)).alias("hash"),
+        F.col(text_col).cast("string").alias("text")).where("label is not null and text is not null")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("hash"))
+    last = shared.written(rows.select("label", "hash").withColumn("rank", rank).where(
+        F.col("rank") <= per_label).groupBy("label").agg(F.max("hash").alias("last")), "sample")
+    sample = rows.join(last, "label").where(F.col("hash") <= F.col("last"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
