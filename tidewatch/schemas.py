@@ -1,4 +1,4 @@
-"""Column types of the warehouse tables, as Spark DDL.  JSON columns are JSON text."""
+"""Column types of the warehouse tables, as Spark DDL: fixed values.  JSON columns are JSON text."""
 
 OPPORTUNITY_INGESTION = (
     "feed_id STRING, dataset_id STRING, ingestion_date TIMESTAMP, kind STRING, status STRING, "
