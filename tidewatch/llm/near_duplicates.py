@@ -256,7 +256,7 @@ def grouped_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Documents are linked where 100 * common shingles >= percent * all shingles of both; a text with fewer words
     than a shingle has one shingle of all of them. Null texts and texts without words have no shingles and no
     links. A null id has no component and is kept. Ids are whole numbers and should be distinct: rows of one id
-    count as one document whose links are those of each row. An empty table gives no rows.
+    count as one document, for whose links any one of their texts stands. An empty table gives no rows.
     """
     rows = shared.written(features(docs, id_col, text_col, shingle_words), "features")
     known = rows.where("id is not null and set_a is not null")
