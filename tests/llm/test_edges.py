@@ -14,6 +14,7 @@ from tidewatch.llm import (
     line_rules,
     mixing,
     near_duplicates,
+    queries,
     secret_ledger,
     sharding,
     shared,
@@ -252,6 +253,27 @@ def test_evidence_is_fused(documents, spark):
     assert (got[90], got[91], got[92], got[93]) == ("de", "en", "und", "und")
 
 
+def test_a_document_source_may_be_a_page_host(documents, spark, tmp_path):
+    texts = {"en": "the house and the garden with the old trees", "de": "das haus und der garten mit den alten bäumen"}
+    docs = [(i, f"{texts[x]} {i}", x, "www.example.de" if x == "de" else "other") for i, x in enumerate(list(texts) * 20)]
+    documents(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    pages = [(i, "http://www.example.de/x", f"<p>{texts['de']}</p>") for i in range(10)] + [(10, "http://www.example.de", "in")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.QUERIES["op1_fused_language_id"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == list(range(40))
+    assert sorted(r.page_id for r in got if r.page_id is not None) == list(range(11))
+    # all rows of the host are its evidence, whether their domain is known or not
+    model = language.trained(documents(docs))
+    rows = documents([(i, texts["de"], None, "h") for i in range(8)] + [(20, "in", None, "h"), (21, "in", None, "h")],
+                     "if(doc_id in (0, 21), 'd', null) as domain")
+    got = {r.doc_id: r.confidence for r in language.identified(
+        rows, model, text_col="text", host=rows["source"], domain=rows["domain"]).collect()}
+    alone = rows.where("doc_id in (0, 21)")
+    less = {r.doc_id: r.confidence for r in language.identified(
+        alone, model, text_col="text", host=alone["source"], domain=alone["domain"]).collect()}
+    assert len(got) == 10 and got[21] > less[21]
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
 def test_stages_keep_the_columns(spark, documents, tmp_path, name, stage):
     spark.createDataFrame([(1, "nothing of this occurs")], "item_id long, text string").write.parquet(

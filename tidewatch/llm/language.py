@@ -153,12 +153,14 @@ def identified(rows: DataFrame, model: Model, *, text_col: str, host: Column | N
                for d in classes}
     suffixes = shared.written(_named(summed(own_suffix), own_suffix, "s", n), "suffixes")
     domains = _named(summed(own_domain), own_domain, "d", n)
-    hosts = _named(summed(own_domain, own_host), own_host, "h", n, own_domain)
-    near = shared.written(hosts.alias("a").join(
-        domains.alias("b"), F.col(f"a.{own_domain}") == F.col(f"b.{own_domain}"), "left").drop(
-        F.col(f"b.{own_domain}")).where(F.col(own_host).isNotNull()), "hosts")
-    # two hosts of one name lie in one domain, so the host alone is the key
-    joined = scored.join(near.drop(own_domain), own_host, "left").join(suffixes, own_suffix, "left")
+    hosts = _named(summed(own_host), own_host, "h", n)
+    # a row takes all of its host's evidence and its own domain's; rows of one host may differ in their domain
+    key, key_domain = shared.free_name("tw_near_host", rows), shared.free_name("tw_near_domain", rows)
+    near = shared.written(
+        evidence.select(own_host, own_domain).distinct().join(hosts, own_host).join(domains, own_domain, "left")
+        .withColumnRenamed(own_host, key).withColumnRenamed(own_domain, key_domain), "hosts")
+    joined = scored.join(near, (F.col(own_host) == F.col(key)) & F.col(own_domain).eqNullSafe(F.col(key_domain)), "left").join(
+        suffixes, own_suffix, "left")
     has = F.col(score)[0] > 0
     terms = []
     for k in range(n):
@@ -188,9 +190,9 @@ def identified(rows: DataFrame, model: Model, *, text_col: str, host: Column | N
         F.when(F.col(score), F.col(logs) / total_share).otherwise(0.0).alias(confidence))
 
 
-def _named(sums: DataFrame, key: str, kind: str, n: int, *more: str) -> DataFrame:
+def _named(sums: DataFrame, key: str, kind: str, n: int) -> DataFrame:
     return sums.where(F.col(key).isNotNull()).select(
-        key, *more, F.col("n").alias(f"tw_{kind}n"), *(F.col(f"p{k}").alias(f"tw_{kind}{k}") for k in range(n)))
+        key, F.col("n").alias(f"tw_{kind}n"), *(F.col(f"p{k}").alias(f"tw_{kind}{k}") for k in range(n)))
 
 
 def page_evidence(url: Column, html: Column) -> dict[str, Column]:
