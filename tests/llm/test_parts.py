@@ -109,3 +109,22 @@ def test_a_reader_is_not_misled_by_what_looks_like_a_member(tmp_path):
             got = [f["WARC-Record-ID"] for a in range(0, len(out), size)
                    for f, _ in warc_archive.records_in(source, a, min(a + size, len(out)), info)]
         assert got == [f"<{n}>" for n in range(40)]
+
+
+def test_a_split_may_start_at_a_record_with_a_long_header(tmp_path):
+    import pyarrow.fs as pafs
+
+    info = "<urn:uuid:own>"
+    for late in (False, True):  # the archive's id before the address, and after it
+        out, starts = b"", []
+        for n in range(4):
+            starts.append(len(out))
+            named = [("WARC-Warcinfo-ID", info), ("WARC-Target-URI", "x" * n + "\u00e9\u20ac" * 2000)]
+            fields = [("WARC-Type", "response"), ("WARC-Record-ID", f"<{n}>"), *(named[::-1] if late else named)]
+            out += warc_archive._packed(warc_archive._record(fields, b"block"), 6)
+        (tmp_path / "a.warc.gz").write_bytes(out)
+        filesystem, path = pafs.FileSystem.from_uri(f"file://{tmp_path}/a.warc.gz")
+        with filesystem.open_input_file(path) as source:
+            for a, b in zip(starts, [*starts[1:], len(out)]):
+                [(fields, block)] = warc_archive.records_in(source, a, b, info)
+                assert fields["WARC-Record-ID"] == f"<{starts.index(a)}>" and block == b"block"

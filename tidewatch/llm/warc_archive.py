@@ -135,12 +135,23 @@ def _header(block: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _starts_record(source: pa.NativeFile, at: int, info: str) -> bool:
-    """Whether a member of this archive starts here: its header decodes and names the archive."""
-    got = _member(source, at, 4096)
-    if got is None or not got[0].startswith(b"WARC/1."):
-        return False
-    fields, _ = _header(got[0])
-    return info in (fields.get("WARC-Warcinfo-ID"), fields.get("WARC-Record-ID"))
+    """Whether a member of this archive starts here: its header decodes and names the archive.
+
+    The header is compared as bytes, for the part read may end within a character, and read on until it ends.
+    """
+    names = {f"{field}: {info}".encode() for field in ("WARC-Warcinfo-ID", "WARC-Record-ID")}
+    most = 4096
+    while True:
+        got = _member(source, at, most)
+        if got is None or not got[0].startswith(b"WARC/1."):
+            return False
+        head, end, _ = got[0].partition(b"\r\n\r\n")
+        lines = head.split(b"\r\n")
+        if names.intersection(lines if end else lines[:-1]):
+            return True
+        if end or len(got[0]) < most:
+            return False
+        most *= 4
 
 
 def _first_record(source: pa.NativeFile, start: int, stop: int, info: str) -> int | None:
