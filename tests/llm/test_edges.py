@@ -132,6 +132,22 @@ def test_secrets(spark, docs):
     assert secret_ledger.findings_by_path(docs.limit(0), f"{folder}2", fresh=True).count() == 0
 
 
+def test_logins_of_any_length(spark, documents):
+    logins = ["ftp://u:abc@", f"https://{'u' * 65}:abc@", f"https://u:{'p' * 65}@", f"https://{'é' * 900}:{'%' * 90_000}@"]
+    other = ["https://u:ab@", "https://u:a b c@", f"https://{'u' * 900}/:abc@", "https://:abc@", "https://u" * 20_000]
+    found = secret_ledger.findings_by_path(
+        documents(list(enumerate(f"at {x}host" for x in logins + other))), f"{shared.shared_folder(spark)}/ledger", fresh=True)
+    got = {r.path: [(s.kind, s.start, s.end) for s in r.spans if s.kind == "url_login"] for r in found.collect()}
+    assert got == {i: [("url_login", 3, 3 + len(x))] if i < len(logins) else [] for i, x in enumerate(logins + other)}
+
+
+def test_blobs_of_the_former_rules_are_scanned_again(spark, documents):
+    folder = f"{shared.shared_folder(spark)}/ledger"
+    docs = documents([(1, f"https://u:{'p' * 65}@host")])
+    secret_ledger.ledger_update(docs, None, rules=secret_ledger.BASE_RULES, version=1).write.parquet(folder)
+    assert secret_ledger.findings_by_path(docs, folder).where("size(spans) = 1").count() == 1
+
+
 def test_the_ledger_scans_what_it_has_not_seen(spark, documents):
     folder = f"{shared.shared_folder(spark)}/ledger"
     one = documents([(1, "token=abcdef1"), (2, "token=abcdef1"), (3, "clean")])

@@ -35,10 +35,11 @@ MORE_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("prefixed", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"),
-    Rule("url_login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
+    Rule("url_login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]++:[^\s:/@]{3,}+@"),
 )
 RULES = BASE_RULES + MORE_RULES
-RULE_VERSION = 1
+#: Another number after every change of the rules, so that blobs held in a ledger are scanned again.
+RULE_VERSION = 3
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
