@@ -211,6 +211,21 @@ def test_near_duplicates(documents, docs):
     assert listed(first, "doc_id") == [(1,), (3,), (None,)] and first.columns == twice.columns
 
 
+def test_texts_of_one_id_all_count(documents):
+    def text(word, last=""):
+        return " ".join(f"{word}{k}" for k in range(40)) + last
+
+    rows = [(1, text("p")), (1, text("q")), (1, ""), (1, None), (2, text("p", " x")), (3, text("q", " x")), (4, text("r")),
+            (5, text("r")), (5, text("s")), (6, text("s", " x")), (7, " "), (7, text("t")), (8, text("t", " x")), (9, ""),
+            (10, text("t")), (10, "")]
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 7, 9: 9, 10: 7}
+    for own in (rows, rows[::-1]):
+        got = near_duplicates.grouped_documents(documents(own))
+        assert listed(got, "id", "component", "kept") == sorted(
+            ((i, want[i], want[i] == i) for i, _ in rows), key=repr)
+        assert listed(near_duplicates.first_documents(documents(own)), "doc_id") == [(1,), (4,), (7,), (9,)]
+
+
 def test_archive(spark):
     rows = [(i, f"http://h/{i}\r\nX: y", t) for i, t in enumerate(EDGE_TEXTS)] + [
         (100 + i, None, "same " * 400) for i in range(5)] + [(104, None, "same " * 400), (None, None, "same " * 400)]

@@ -164,13 +164,19 @@ def group_links(ids: list[int], sets: list[np.ndarray], sides: np.ndarray, perce
     return links
 
 
-FEATURES = "id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
+FEATURES = "id bigint, hash bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, hash and text; id and hash tell the texts of one id apart."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """id, n_shingles, a 128-bit digest of the shingle set and the registers, four to a number; nulls without words."""
+    """id, hash of the text, n_shingles, a 128-bit digest of the shingle set and the registers, four to a number; nulls without words."""
     shared.prepare(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = _texts(docs, id_col, text_col)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +194,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                         bands[k] = keys[row]
                 none = np.array([not len(s) for s in sets])
                 yield pa.RecordBatch.from_pydict({
-                    "id": batch.column("id").slice(at, 512), "n_shingles": [len(s) for s in sets],
+                    "id": batch.column("id").slice(at, 512), "hash": batch.column("hash").slice(at, 512), "n_shingles": [len(s) for s in sets],
                     "set_a": pa.array(digests[:, 0], mask=none), "set_b": pa.array(digests[:, 1], mask=none),
                     "bands": pa.array(bands, pa.list_(pa.int64()))})
 
@@ -196,36 +202,35 @@ def features(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 
 
 def _star_pairs(firsts: DataFrame) -> DataFrame:
-    """Distinct (centre, id) of all buckets with two documents or more; the centre is a row of its own group too."""
-    keys = firsts.select("id", F.posexplode("bands").alias("band", "key"))
+    """Distinct (centre, id, hash) of all buckets with two documents or more; the centre is a row of its own group too."""
+    keys = firsts.select("id", "hash", F.posexplode("bands").alias("band", "key"))
     centres = keys.groupBy("band", "key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where(
         "n > 1").drop("n")
-    return keys.join(centres, ["band", "key"]).select("centre", "id").distinct()
+    return keys.join(centres, ["band", "key"]).select("centre", "id", "hash").distinct()
 
 
 def _links(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, size: int,
            percent: int) -> DataFrame:
     """Confirmed links (u, v) within the groups of centres."""
-    weighed = pairs.join(firsts.select("id", "n_shingles"), "id")
+    weighed = pairs.join(firsts.select("id", "hash", "n_shingles"), ["id", "hash"])
     groups = weighed.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).select(
         "centre", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("weight") / BLOCK_SHINGLES)).alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    own = F.pmod(F.xxhash64("id", "hash"), F.col("blocks"))
     dealt = pairs.join(groups, "centre").withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "id", "centre", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
+        "id", "hash", "centre", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
     dealt = shared.written(dealt, "dealt")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # a merge at every size: the ids to look up grow with the corpus, and the plan should not change with it
-    rows = dealt.join(texts.hint("merge"), "id").repartition("centre", "low", "high").sortWithinPartitions(
+    rows = dealt.join(_texts(docs, id_col, text_col).hint("merge"), ["id", "hash"]).drop("hash").repartition("centre", "low", "high").sortWithinPartitions(
         "centre", "low", "high", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
 
         def done() -> list[tuple[int, int]]:
-            ids = list(held)
-            sides = np.array([held[i][0] != key[1] for i in ids])
-            return group_links(ids, [held[i][1] for i in ids], sides, percent) if len(ids) > 1 else []
+            ids = [i for i, _ in held]
+            sides = np.array([own != key[1] for own, _ in held.values()])
+            return group_links(ids, [s for _, s in held.values()], sides, percent) if len(ids) > 1 else []
 
         def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({
@@ -239,8 +244,9 @@ def _links(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, te
                     if held:
                         links += done()
                     key, held = tuple(row[1:4]), {}
-                if row[0] not in held:
-                    held[row[0]] = (row[4], shingle_set(text.as_py() or b"", size))
+                own = shingle_set(text.as_py() or b"", size)
+                if len(own):
+                    held.setdefault((row[0], xxhash.xxh3_128_digest(own.tobytes())), (row[4], own))
             if links:
                 yield batch_of(links)
         if held:
@@ -255,8 +261,8 @@ def grouped_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Documents are linked where 100 * common shingles >= percent * all shingles of both; a text with fewer words
     than a shingle has one shingle of all of them. Null texts and texts without words have no shingles and no
-    links. A null id has no component and is kept. Ids are whole numbers and should be distinct: rows of one id
-    count as one document, for whose links any one of their texts stands. An empty table gives no rows.
+    links. A null id has no component and is kept. Ids are whole numbers; rows of one id count as one document,
+    which has the links of each of their texts. An empty table gives no rows.
     """
     rows = shared.written(features(docs, id_col, text_col, shingle_words), "features")
     known = rows.where("id is not null and set_a is not null")
@@ -264,10 +270,17 @@ def grouped_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     firsts = shared.written(
         known.alias("r").join(classes.alias("c"), (F.col("r.set_a") == F.col("c.set_a"))
                               & (F.col("r.set_b") == F.col("c.set_b")) & (F.col("r.id") == F.col("c.first"))).select(
-            "r.id", "r.n_shingles", "r.bands").dropDuplicates(["id", "bands"]), "firsts")
+            "r.id", "r.hash", "r.n_shingles", "r.set_a", "r.set_b", "r.bands").dropDuplicates(
+            ["id", "set_a", "set_b", "bands"]).drop("set_a", "set_b"), "firsts")
     pairs = shared.written(_star_pairs(firsts), "pairs")
     links = shared.written(_links(pairs, docs, firsts, id_col, text_col, shingle_words, percent), "links")
-    found = components(links)
+    several = shared.written(rows.where("id is not null").groupBy("id").agg(
+        F.min("set_a").alias("a"), F.max("set_a").alias("c"), F.min("set_b").alias("b"), F.max("set_b").alias("d"),
+        F.count(F.lit(1)).alias("n"), F.count("set_a").alias("m")).where("a <> c or b <> d or m < n").select("id"), "several")
+    # the classes of one id's texts belong together, and texts without words go with them
+    own = known.join(several, "id").join(classes, ["set_a", "set_b"]).select(
+        F.col("id").alias("u"), F.col("first").alias("v")).where("u <> v")
+    found = components(links.unionByName(own))
     placed = rows.alias("r").join(
         classes.alias("c"), (F.col("r.set_a") == F.col("c.set_a")) & (F.col("r.set_b") == F.col("c.set_b")), "left"
     ).select("r.id", "r.n_shingles", F.coalesce("c.first", "r.id").alias("first"))
