@@ -1,7 +1,7 @@
 r"""DuckDB SQL for the rows of the queries that SQL can express.
 
 None for op1 (a trained model), op2 and op9 (hashes that SQL lacks decide who goes where), op4 (a tokenizer), op6
-and op8 (their verdicts and added spans rest on Java patterns) and the pipeline; tests hold these against plain Python.
+and op8 (their verdicts and added spans rest on Java patterns) and the pipeline. README says which of these tests hold against plain Python.
 """
 
 from __future__ import annotations
