@@ -12,13 +12,16 @@ from tidewatch.llm import (
     chat_masks,
     decontamination,
     language,
+    lexical_search,
     line_rules,
     mixing,
     near_duplicates,
+    path_templates,
     secret_ledger,
     sharding,
     shared,
     token_files,
+    vector_codes,
     warc_archive,
 )
 
@@ -124,6 +127,21 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         number("refers_to").alias("refers_to"))
 
 
+def op11_interval_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_documents(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnsRenamed(
+        {"item": "item_id", "id": "doc_id"})
+
+
+def op12_path_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return path_templates.judged_urls(_table(spark, sf_dir, "pages")).select(
+        F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "template")
+
+
+def op13_gnat_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed_vectors(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fused_language_id": op1_fused_language_id,
     "op2_sampled_splitter_shards": op2_sampled_splitter_shards,
@@ -135,4 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_blob_ledger": op8_secret_blob_ledger,
     "op9_hash_threshold_mix": op9_hash_threshold_mix,
     "op10_warc_archive": op10_warc_archive,
+    "op11_interval_ranked_search": op11_interval_ranked_search,
+    "op12_path_template_filter": op12_path_template_filter,
+    "op13_gnat_vector_codes": op13_gnat_vector_codes,
 }
