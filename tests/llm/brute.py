@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -146,3 +147,145 @@ def archive(pages):
             out.append((page, len(payload), hashlib.sha1(payload).hexdigest(),
                         "revisit" if revisit else "response", stored if revisit else None))
     return out
+
+
+RANK_TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, most=50):
+    def terms(text):
+        return RANK_TERM.findall((text or "").translate(LOWER))
+
+    counts = [(doc, collections.Counter(terms(text))) for doc, text in docs]
+    counts = [(doc, c) for doc, c in counts if c]
+    n_docs, n_words = len(counts), sum(c.total() for _, c in counts)
+    df = collections.Counter(t for _, c in counts for t in c)
+    wanted = collections.defaultdict(set)
+    for item, text in items:
+        wanted[item] |= set(terms(text))
+    out = []
+    for item, asked in wanted.items():
+        scored = []
+        for doc, c in counts:
+            m = 100 - 50 + 50 * c.total() * n_docs // n_words
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 20 * m))
+                for t in asked if t in c)
+            if score > 0:
+                scored.append((-score, doc is not None, doc or 0, doc))
+        scored.sort()
+        out += [(item, k + 1, s[3], -s[0]) for k, s in enumerate(scored[:most])]
+    return out
+
+
+def ruled_url(url):
+    """host, path, rule and the rule's verdict."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match("[^/?#]*", rest)[0]
+    path = re.match("[^?#]*", rest[len(host):])[0]
+    host, best = host.translate(LOWER), None
+    for verdict, own, start in (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")):
+        if (host == own or host.endswith("." + own)) and path.startswith(start) and (best is None or len(own + start) > len(best[0])):
+            best = (own + start, verdict)
+    return (host, path, *(best or (None, None)))
+
+
+def templates(urls, depth=6, min_pages=5, min_share=0.02, alike=5.991):
+    """(host, segments) to template and purity, from (host, path, is bad or None) rows."""
+    def shaped(path):
+        if not path:
+            return ()
+        out = []
+        for s in path[1:].split("/"):
+            is_hex = re.fullmatch("[0-9a-f]{8,}(-[0-9a-f]{4,})*", s) and re.match("[a-f-]*[0-9]", s) and not s.isdigit()
+            out.append("{h}" if is_hex else re.sub("[0-9]+", "{n}", s))
+        return tuple(out) if len(out) <= depth else (*out[:depth - 1], "/".join(out[depth - 1:]))
+
+    def chi(a, b):
+        total = 0.0
+        for x, y in zip((a[1], a[2], a[0] - a[1] - a[2]), (b[1], b[2], b[0] - b[1] - b[2])):
+            for part, size in ((x, a[0]), (y, b[0])):
+                if x + y:
+                    expected = (x + y) * size / (a[0] + b[0])
+                    total += (part - expected) ** 2 / expected
+        return total
+
+    rows = collections.defaultdict(lambda: [0, 0, 0])
+    for host, path, bad in urls:
+        if host:
+            row = rows[host, shaped(path)]
+            row[0] += 1
+            row[1] += bad is False
+            row[2] += bad is True
+    node = dict.fromkeys(rows, "")
+    for level in range(depth):
+        sums = collections.defaultdict(lambda: [0, 0, 0])
+        for (host, segments), n in rows.items():
+            if len(segments) > level:
+                own = sums[host, node[host, segments], segments[level]]
+                for k in range(3):
+                    own[k] += n[k]
+        names = {}
+        for parent in {k[:2] for k in sums}:
+            children = {k[2]: n for k, n in sums.items() if k[:2] == parent}
+            total = sum(n[0] for n in children.values())
+            kept = sorted((n[2] / n[0], n[1] / n[0], s) for s, n in children.items() if n[0] >= min_pages and n[0] >= min_share * total)
+            runs = []
+            for _, _, s in kept:
+                if runs and chi(children[s], children[runs[-1][-1]]) < alike:
+                    runs[-1].append(s)
+                else:
+                    runs.append([s])
+            names |= {(*parent, s): r[0] if len(r) == 1 else f"({'|'.join(sorted(r))})" for r in runs for s in r}
+        node = {(h, s): f"{t}/{names.get((h, t, s[level]), '*')}" if len(s) > level else t for (h, s), t in node.items()}
+    good, bad = collections.Counter(), collections.Counter()
+    for (host, s), n in rows.items():
+        good[host, node[host, s]] += n[1]
+        bad[host, node[host, s]] += n[2]
+    found = {k: (t, (good[k[0], t] + 4) / (good[k[0], t] + bad[k[0], t] + 5)) for k, t in node.items()}
+    return lambda host, path: found.get((host, shaped(path)), (None, None))
+
+
+def urls(pages, names=("ads", "adult", "bets", "casino", "pills", "porn", "spam", "xxx")):
+    held = [(page, *ruled_url(url)) for page, url in pages]
+    rows = []
+    for _, host, path, _, verdict in held:
+        named = True if set(re.split("[.-]", host)) & set(names) else None
+        rows.append((host, path, verdict == "block" if verdict else named))
+    judge = templates(rows)
+    out = []
+    for page, host, path, rule, verdict in held:
+        template, purity = judge(host, path)
+        out.append((page, host, path, rule, verdict or ("block" if purity is not None and purity < 0.5 else "allow"), template))
+    return out
+
+
+def codes(rows, parts=8, entries=16, rounds=6, scale=4096):
+    """(id, vector, label) to the product codes, by comparing with every entry."""
+    kept = []
+    for vec, x, label in rows:
+        if x is not None and all(c is not None and math.isfinite(c) for c in x):
+            kept.append((vec, label, [math.floor(scale * c) for c in x]))
+    if not kept:
+        return []
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    width = len(kept[0][2]) // parts
+    cut = [[v[p * width:(p + 1) * width] for p in range(parts)] for _, _, v in kept]
+    books = [[c[p] for c in cut[:entries]] for p in range(parts)]
+
+    def nearest(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, e)), k) for k, e in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            groups = collections.defaultdict(list)
+            for c in cut:
+                groups[nearest(c[p], books[p])[1]].append(c[p])
+            books[p] = [[sum(x) // len(groups[k]) for x in zip(*groups[k])] if k in groups else e for k, e in enumerate(books[p])]
+    found = [[nearest(c[p], books[p]) for p in range(parts)] for c in cut]
+    errors, sums = [sum(d for d, _ in f) for f in found], collections.Counter()
+    for (_, label, _), e in zip(kept, errors):
+        sums[label] += e
+    digest = sha(",".join(str(x) for book in books for e in book for x in e))
+    return [(vec, "".join(f"{k:02x}" for _, k in f), e, sums[label], digest)
+            for (vec, label, _), f, e in zip(kept, found, errors)]
