@@ -11,7 +11,7 @@ from checks.oracle import ORACLE
 from tests.conftest import AS_OF, table
 from tidewatch.operators import decline, errors, orphans, stalls
 from tidewatch.operators.filters import PublicFilter
-from tidewatch.plans import growth, public
+from tidewatch.plans import estate, growth, public
 from tidewatch.sources.warehouse import Warehouse
 
 SMALL = "/root/testdata/sf0.001"
@@ -100,8 +100,27 @@ def test_stalls_read_the_log_once_for_days(spark, stored, no_names):
         text = plan(frame)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    # Day totals, feed datasets and the first day: each is scanned for once only.
-    assert text.count("FileScan") == 3
+    # Feed days and the log's first day: each is scanned for once only.
+    assert text.count("FileScan") == 2
+
+
+def test_history_monitors_scan_the_log_once(spark, stored, no_names):
+    """A monitor reads the log once for its days; the four trends of the tiles share that read."""
+    log = stored.table("opportunity_ingestion")
+    frames = {
+        "errors": (errors.feed_ingestion_errors(log, *no_names, AS_OF), 2),  # the texts of one day's failures
+        "error trend": (errors.feed_ingestion_error_trend(log, AS_OF), 1),
+        "decline": (decline.dataset_future_decline(log, no_names[1], AS_OF), 1),
+        "decline trend": (decline.dataset_future_decline_trend(log, AS_OF), 1),
+        "stall trend": (stalls.single_feed_stall_trend(log, AS_OF), 2),
+        "tiles": (estate.history_tiles(log, AS_OF), 2),  # with the log's first day
+    }
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        scans = {name: plan(frame).count("FileScan") for name, (frame, _) in frames.items()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert scans == {name: expected for name, (_, expected) in frames.items()}
 
 
 def test_summaries_areas_and_growth_scan_once(spark, stored, no_names):

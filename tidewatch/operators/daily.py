@@ -1,15 +1,19 @@
-"""Per (feed, day) frames of the ingestion log.
+"""Per (feed, day) frames of the ingestion log, for all history monitors.
 
-Runs are collapsed with partial aggregates, so a feed holding a large part of the log
-is reduced on the map side before anything is shuffled.  What is left of a feed is one row
-per day of the window; the frames bring these together, and all that follows per feed
-needs no further shuffle.
+One conditional hash aggregate reduces the log to (feed, dataset, day) rows of fixed-width measures, so a feed
+holding a large part of the log is reduced on the map side before anything is shuffled; no text is carried along.
+These short rows are brought together by feed once, folded to one row a (feed, day), and all that follows per
+feed works in that partitioning.  A monitor that uses some measures reads only their columns; those that are
+evaluated together take the same rows (``shared_days``) and share the scan and the exchange.
+
+The rows may come from the stored feed-day state instead of the log (``tidewatch.sources.feed_day_store``).
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable
+from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -17,138 +21,208 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.filters import clean_values, within_days
 
+#: Codes of failures that the publisher has to settle: fixed values, in order.
+AUTH_CODES = ("401", "403")
+#: What a day without a completed or failed run is taken for, where its first status in any case is one of these.
+_STATUSES = ("complete", "error")
+#: Above any level: packs (instant, level) into one number that can be compared.
+_LEVELS = Decimal(10**20)
+_LOWEST = Decimal(2**63)
+#: Room for the class of an error code below an instant.
+_CLASS_BITS = 3
+_CLASSES = 2**_CLASS_BITS
+#: How the measures of two sets of runs of one (feed, dataset, kind, day) make those of both.
+MEASURES = {
+    "runs": F.sum, "latest": F.max, "updated": F.sum, "completes": F.sum, "failures": F.sum, "least_status": F.min,
+    "failure": F.max,
+    "level": F.max, "supplied": F.max, "supply_updated": F.sum, "supply_deletes": F.sum,
+}
+
+
+@dataclass(frozen=True)
+class FeedDayState:
+    """The stored state: ``rows`` of measures by (feed_id, dataset_id, kind, day), ``failures`` with the details of
+    the failed runs by (feed_id, day, latest), ``index`` with the rows of the log by day.
+    """
 
-def _window_rows(ingestion: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
-    return ingestion.where(
-        within_days("ingestion_date", first, last)
-        & F.col("feed_id").isNotNull()
-        & F.col("dataset_id").isNotNull()
-    ).withColumn("day", F.to_date("ingestion_date"))
+    rows: DataFrame
+    failures: DataFrame
+    index: DataFrame
 
 
-def _instant() -> Column:
+def instant() -> Column:
     return F.unix_micros(F.col("ingestion_date").cast("timestamp"))
 
 
-def _after_first_day(ingestion: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
-    """Window rows without the log's very first day."""
-    first_run = ingestion.agg(F.min("ingestion_date")).scalar()
-    return _window_rows(ingestion, first, last).where(
-        F.col("ingestion_date") >= F.date_add(F.to_date(first_run), 1)
+def attributed(ingestion: DataFrame) -> DataFrame:
+    """The runs that name their feed and dataset, with their day."""
+    return ingestion.where(F.col("feed_id").isNotNull() & F.col("dataset_id").isNotNull()).withColumn(
+        "day", F.to_date("ingestion_date")
     )
 
 
-def publishing_days(ingestion: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
-    """(feed_id, day, updated) of every feed day, the days of a feed together.
+def _place(text: Column, among: Iterable[str]) -> Column:
+    """The place of a text among others in order, as a small number that keeps the order of texts.
 
-    The totals are the only thing aggregated here: with fixed-width buffers it is a hash
-    aggregation, where the dataset text would make Spark sort the log.  The short day rows,
-    not wider per-feed results, are what moves to the feed's partition.
+    Odd numbers are the others themselves, even ones what lies before, between and after them; null stays null.
     """
-    return (
-        _after_first_day(ingestion, first, last)
-        .groupBy("feed_id", "day")
-        .agg(F.sum("updated").alias("updated"))
-        .repartition("feed_id")
+    return sum(((text >= a).cast("bigint") + (text > a).cast("bigint") for a in among), F.lit(0).cast("bigint"))
+
+
+def _code_class() -> Column:
+    """The place of an error code among AUTH_CODES, null last."""
+    return F.coalesce(_place(F.col("error_code"), AUTH_CODES), F.lit(2 * len(AUTH_CODES) + 2).cast("bigint"))
+
+
+def supplies(ignored_kinds: Iterable[str] = ()) -> Column:
+    """A completed run that tells its future opportunities, of a kind that counts; a run without a kind does."""
+    told = (F.col("status") == "COMPLETE") & F.col("total_future_opportunities").isNotNull()
+    ignored = clean_values(ignored_kinds)
+    return told & (F.col("kind").isNull() | ~F.col("kind").isin(ignored)) if ignored else told
+
+
+def measured(runs: DataFrame, keys: Iterable[str], ignored_kinds: Iterable[str] = ()) -> DataFrame:
+    """The measures of attributed runs by ``keys``; fixed-width buffers only, so this is a hash aggregate.
+
+    ``failure`` packs the instant of the latest failed run and the class of its code, the first code on a tie;
+    ``level`` packs the instant and the level of the latest supply, the higher one on a tie.
+    """
+    failed = F.col("status") == "ERROR"
+    supply = supplies(ignored_kinds)
+    failure = instant() * _CLASSES + (F.lit(_CLASSES - 1) - _code_class())
+    whole = "decimal(38,0)"
+    level = F.col("total_future_opportunities").cast("decimal(20,0)") + F.lit(_LOWEST).cast("decimal(20,0)")
+    packed = (instant().cast("decimal(17,0)") * F.lit(_LEVELS).cast("decimal(21,0)")).cast(whole) + level
+    return runs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.max(instant()).alias("latest"),
+        F.sum("updated").alias("updated"),
+        F.count_if(F.col("status") == "COMPLETE").alias("completes"),
+        F.count_if(failed).alias("failures"),
+        F.min(_place(F.lower("status"), _STATUSES)).alias("least_status"),
+        F.max(F.when(failed, failure)).alias("failure"),
+        F.max(F.when(supply, packed.cast(whole))).alias("level"),
+        F.max(F.when(supply, instant())).alias("supplied"),
+        F.sum(F.when(supply, F.col("updated"))).alias("supply_updated"),
+        F.sum(F.when(supply, F.col("actual_deletes"))).alias("supply_deletes"),
     )
 
 
-def feed_datasets(ingestion: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
-    """(feed_id, dataset_id): the dataset of each feed's latest run.
+def failure_details(runs: DataFrame) -> DataFrame:
+    """(feed_id, day, latest, error_code, error_message) of attributed failed runs, one row an instant.
 
-    Reduced to one row per (feed, dataset) first, which is a row or two a feed; runs at the
-    same instant give the smallest dataset.
+    Of several at one instant, the first code counts, a missing one last, then the first message.
     """
-    latest = F.struct((-F.unix_micros(F.col("latest").cast("timestamp"))).alias("order"), "dataset_id")
+    detail = F.min(F.struct(F.col("error_code").isNull().alias("no_code"), "error_code", F.col("warning_message").alias("error_message")))
     return (
-        _after_first_day(ingestion, first, last)
-        .groupBy("feed_id", "dataset_id")
-        .agg(F.max("ingestion_date").alias("latest"))
-        .groupBy("feed_id")
-        .agg(F.min(latest)["dataset_id"].alias("dataset_id"))
+        runs.where(F.col("status") == "ERROR")
+        .groupBy("feed_id", "day", instant().alias("latest"))
+        .agg(detail.alias("detail"))
+        .select("feed_id", "day", "latest", "detail.error_code", "detail.error_message")
     )
 
 
-def status_days(ingestion: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
-    """(feed_id, day, dataset_id, status, error_code, error_message); a completed run wins the day.
+def first_log_day(history: DataFrame | FeedDayState) -> Column:
+    """The day of the log's first run, as a scalar: from the index where there is one, else by reading the log."""
+    if isinstance(history, FeedDayState):
+        return history.index.agg(F.min("day")).scalar()
+    return history.agg(F.to_date(F.min("ingestion_date"))).scalar()
+
 
-    Runs are reduced by (feed, dataset, day, status) with one fixed-width aggregate, their latest
-    instant; the rest works on what is left.  The latest run decides the detail, a failed run before
-    another kind at the same instant, so codes and messages are read for failed runs alone and kept
-    for the day's latest instant; code and message settle further ties.
+def feed_days(
+    history: DataFrame | FeedDayState,
+    first: dt.date,
+    last: dt.date,
+    ignored_kinds: Iterable[str] = (),
+    only: Column | None = None,
+) -> DataFrame:
+    """One row per (feed, day) of the window, the days of a feed together.
+
+    ``updated`` totals the day's publishing and is null when no run tells it; ``owner`` and ``supply_owner`` are
+    (minus instant, dataset) of the day's latest run and latest supply, so that the smallest one is the latest, the
+    first dataset on a tie; ``dataset_id`` is the first dataset.  ``only`` narrows the runs of a log beforehand, to
+    those that the caller's measures count anyway.
     """
-    rows = _window_rows(ingestion, first, last)
-    failed = F.col("status") == "ERROR"
-    days = (
-        rows.groupBy("feed_id", "dataset_id", "day", "status")
-        .agg(F.max(_instant()).alias("latest"), F.count(F.lit(1)).alias("runs"))
+    if isinstance(history, FeedDayState):
+        rows = history.rows.where(F.col("day").between(F.lit(first), F.lit(last)))
+        ignored = clean_values(ignored_kinds)
+        if ignored:
+            counts = F.col("kind").isNull() | ~F.col("kind").isin(ignored)
+            rows = rows.withColumns({
+                name: F.when(counts, F.col(name)) for name in ("level", "supplied", "supply_updated", "supply_deletes")
+            })
+        if only is not None:
+            rows = rows.where(F.col("supplied").isNotNull())
+    else:
+        runs = attributed(history.where(within_days("ingestion_date", first, last)))
+        rows = measured(runs if only is None else runs.where(only), ("feed_id", "dataset_id", "day"), ignored_kinds)
+
+    def owner(latest: str) -> Column:
+        named = F.struct((-F.col(latest)).alias("order"), "dataset_id")
+        return F.min(F.when(F.col(latest).isNotNull(), named))
+
+    return (
+        rows.repartition("feed_id")
         .groupBy("feed_id", "day")
         .agg(
+            *(combine(name).alias(name) for name, combine in MEASURES.items()),
             F.min("dataset_id").alias("dataset_id"),
-            # Counts: with tests alone the optimizer would drop the first aggregate and sort the log.
-            F.when(F.sum(F.when(F.col("status") == "COMPLETE", F.col("runs"))) > 0, "complete")
-            .when(F.sum(F.when(failed, F.col("runs"))) > 0, "error")
-            .otherwise(F.min(F.lower("status")))
-            .alias("status"),
-            F.max("latest").alias("latest"),
+            owner("latest").alias("owner"),
+            owner("supplied").alias("supply_owner"),
         )
     )
-    failures = rows.where(failed).select(
-        "feed_id", "day", _instant().alias("latest"), "error_code", F.col("warning_message").alias("error_message")
-    )
-    detail = F.min(F.struct(F.col("error_code").isNull().alias("no_code"), "error_code", "error_message"))
-    details = failures.join(days.select("feed_id", "day", "latest"), ["feed_id", "day", "latest"]).groupBy(
-        "feed_id", "day"
-    ).agg(detail.alias("detail"))
-    return (
-        days.join(details, ["feed_id", "day"], "left")
-        .select("feed_id", "day", "dataset_id", "status", "detail.error_code", "detail.error_message")
-        .repartition("feed_id")
-    )
 
 
-#: Above any level: packs (instant, level) into one number that can be compared.
-_LEVELS = Decimal(10**20)
+def shared_days(days: DataFrame) -> DataFrame:
+    """The same rows with all their columns tied together, so that plans which use different ones share their source.
 
+    A feed has one row a day of the window, so what is held together is bounded by the window.
+    """
+    tied = F.struct(*[name for name in days.columns if name != "feed_id"])
+    return days.groupBy("feed_id").agg(F.collect_list(tied).alias("days")).select("feed_id", F.inline("days"))
 
-def supply_days(
-    ingestion: DataFrame, first: dt.date, last: dt.date, ignored_kinds: Iterable[str]
-) -> DataFrame:
-    """(feed_id, day, dataset_id, future, updated, deletes) over completed runs.
 
-    Runs are reduced by (feed, dataset, day) with fixed-width aggregates: the level of the latest run,
-    the higher one at the same instant, is the largest of instant and level packed into a decimal.
+def status_columns(days: DataFrame) -> DataFrame:
+    """With ``completed``, ``failed`` (a completed run wins the day) and ``reportable`` of each (feed, day).
+
+    The day's latest run decides the detail, a failed run before another kind at the same instant; a day whose
+    latest run did not fail has none.  A day without a run of either kind goes by its first status in lower case.  Failures are reportable unless their code is one of AUTH_CODES.
     """
-    rows = _window_rows(ingestion, first, last).where(
-        (F.col("status") == "COMPLETE") & F.col("total_future_opportunities").isNotNull()
+    decided = F.shiftright("failure", _CLASS_BITS) == F.col("latest")
+    neither = (F.col("completes") == 0) & (F.col("failures") == 0)
+    odd = (_CLASSES - 1 - F.pmod(F.col("failure"), F.lit(_CLASSES))) % 2 == 1
+    return days.withColumns(
+        {
+            "completed": (F.col("completes") > 0) | (neither & F.coalesce(F.col("least_status") == 1, F.lit(False))),
+            "failed": F.when(neither, F.coalesce(F.col("least_status") == 3, F.lit(False))).otherwise(F.col("completes") == 0),
+            "reportable": ~F.coalesce(decided & odd, F.lit(False)),
+            "decided": F.coalesce(decided, F.lit(False)),
+        }
     )
-    ignored = clean_values(ignored_kinds)
-    if ignored:
-        rows = rows.where(F.col("kind").isNull() | ~F.col("kind").isin(ignored))
-    whole, lowest = "decimal(38,0)", F.lit(Decimal(2**63)).cast("decimal(20,0)")
-    level = F.col("total_future_opportunities").cast("decimal(20,0)") + lowest
-    packed = (_instant().cast("decimal(17,0)") * F.lit(_LEVELS).cast("decimal(21,0)")).cast(whole) + level
-    unpacked = (F.col("level") % F.lit(_LEVELS).cast("decimal(21,0)") - lowest).cast("bigint")
-    return (
-        rows.groupBy("feed_id", "dataset_id", "day")
-        .agg(
-            F.max(packed.cast(whole)).alias("level"),
-            F.max(_instant()).alias("latest"),
-            F.sum("updated").alias("updated"),
-            F.sum("actual_deletes").alias("deletes"),
-        )
-        .groupBy("feed_id", "day")
-        .agg(
-            F.min(F.struct((-F.col("latest")).alias("order"), "dataset_id"))["dataset_id"].alias("dataset_id"),
-            F.max("level").alias("level"),
-            F.coalesce(F.sum("updated"), F.lit(0)).alias("updated"),
-            F.coalesce(F.sum("deletes"), F.lit(0)).alias("deletes"),
-        )
-        .select("feed_id", "day", "dataset_id", unpacked.alias("future"), "updated", "deletes")
-        .repartition("feed_id")
+
+
+def supply_columns(days: DataFrame) -> DataFrame:
+    """(feed_id, day, dataset_id, future, updated, deletes) of the days with a supply."""
+    unpacked = (
+        F.col("level") % F.lit(_LEVELS).cast("decimal(21,0)") - F.lit(_LOWEST).cast("decimal(20,0)")
+    ).cast("bigint")
+    return days.where(F.col("level").isNotNull()).select(
+        "feed_id",
+        "day",
+        F.col("supply_owner.dataset_id").alias("dataset_id"),
+        unpacked.alias("future"),
+        F.coalesce("supply_updated", F.lit(0)).alias("updated"),
+        F.coalesce("supply_deletes", F.lit(0)).alias("deletes"),
     )
 
 
+def supply_days(
+    history: DataFrame | FeedDayState, first: dt.date, last: dt.date, ignored_kinds: Iterable[str]
+) -> DataFrame:
+    """``supply_columns`` of a window of the history."""
+    return supply_columns(feed_days(history, first, last, ignored_kinds, supplies(ignored_kinds)))
+
+
 def trailing_days(as_of: dt.date, count: int) -> list[dt.date]:
     """``count`` days ending at ``as_of``, oldest first."""
     return [as_of - dt.timedelta(days=back) for back in range(count - 1, -1, -1)]

@@ -5,11 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numbers import percent_drop
-from tidewatch.operators.daily import on_spine, supply_days, trailing_days
+from tidewatch.operators.daily import FeedDayState, on_spine, supply_days, trailing_days
 from tidewatch.operators.hydrate import incident_columns, with_dataset_identity, with_feed_label
 from tidewatch.thresholds import DeclineThresholds
 
@@ -28,68 +28,90 @@ def feed_declines(
 
     ``trend`` holds the feed's level on each of ``trend_days``, null where it has none.
 
-    A feed's observations are brought together once (its window holds one row per day);
-    each then serves every evaluated day whose windows reach back to it, and the rows of a
-    (feed, as_of) are folded in the same task without another shuffle.
+    A feed's observations are brought together once (its window holds one row per day).  The evaluated
+    days join them as rows without an observation, and RANGE frames over day numbers give each of these
+    what its windows hold; no observation is copied.
     """
     th = thresholds
     in_order = Window.partitionBy("feed_id").orderBy("day")
     whole_feed = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    steps = (
+    levels_of_days = {
+        f"level_{i}": F.max(F.when(F.col("day") == F.lit(day), F.col("future"))).over(whole_feed)
+        for i, day in enumerate(trend_days)
+    }
+    observed = (
         levels.withColumn("dataset_id", F.last("dataset_id").over(whole_feed))
         .withColumn("previous_day", F.lag("day").over(in_order))
         .withColumn("previous", F.lag("future").over(in_order))
-        .withColumn(
-            "trend",
-            F.array(
-                *[
-                    F.max(F.when(F.col("day") == F.lit(day), F.col("future"))).over(whole_feed)
-                    for day in trend_days
-                ]
-            ).cast("array<bigint>"),
-        )
+        .withColumns(levels_of_days)
+        .withColumn("falls", F.coalesce(F.col("future") < F.col("previous"), F.lit(False)))
     )
-    serves_from = F.greatest("day", F.lit(first))
-    serves_to = F.least(F.date_add("day", th.qualify_days - 1), F.lit(last))
-    seen = steps.where(serves_from <= serves_to).select(
-        "*", F.explode(F.sequence(serves_from, serves_to)).alias("as_of")
+    observation = F.struct(
+        "day",
+        "future",
+        "previous_day",
+        "falls",
+        F.when(F.col("falls"), percent_drop(F.col("previous") - F.col("future"), F.col("previous"))).alias("percent"),
     )
-
-    window_start = F.date_sub("as_of", th.window_days - 1)
-    in_window = F.col("day") >= window_start
-    # A step needs both of its observations inside the window.
-    is_step = in_window & F.coalesce(F.col("previous_day") >= window_start, F.lit(False))
-    falls = is_step & (F.col("future") < F.col("previous"))
-    step_percent = F.when(
-        falls, percent_drop(F.col("previous") - F.col("future"), F.col("previous"))
+    # A feed's first observation brings the days to evaluate along.
+    to_evaluate = F.when(
+        F.col("previous_day").isNull() & (F.greatest("day", F.lit(first)) <= F.lit(last)),
+        F.sequence(F.greatest("day", F.lit(first)), F.lit(last)),
+    ).otherwise(F.array().cast("array<date>"))
+    own = F.struct(F.col("day").alias("at"), "updated", "deletes", observation.alias("seen"))
+    rows = observed.select(
+        "feed_id", "dataset_id", *levels_of_days, own.alias("own"), to_evaluate.alias("to_evaluate")
     )
-    seen = seen.select(
-        "feed_id", "dataset_id", "as_of", "day", "future", "updated", "deletes", "previous_day", "trend",
-        in_window.alias("in_window"), is_step.alias("is_step"), falls.alias("falls"),
-        step_percent.alias("step_percent"),
+    none = [F.lit(None).cast(rows.schema["own"].dataType[name].dataType).alias(name) for name in ("updated", "deletes", "seen")]
+    rows = rows.select(
+        "feed_id",
+        "dataset_id",
+        *levels_of_days,
+        F.inline(F.concat(F.array("own"), F.transform("to_evaluate", lambda day: F.struct(day.alias("at"), *none)))),
     )
-    window_day = F.when(F.col("in_window"), F.col("day"))
-    folded = seen.groupBy("feed_id", "dataset_id", "as_of").agg(
-        F.count_if("in_window").alias("observations"),
-        F.min_by("future", window_day).alias("start_future"),
-        F.max_by("future", window_day).alias("current_future"),
-        F.max(window_day).alias("last_day"),
-        F.min_by("future", "day").alias("qualify_start_future"),
-        F.count_if(F.col("is_step") & ~F.col("falls")).alias("rises"),
-        F.max("step_percent").alias("largest_daily_drop_percent"),
+    by_day = Window.partitionBy("feed_id").orderBy(F.unix_date("at"))
+    window, qualify = (by_day.rangeBetween(1 - days, 0) for days in (th.window_days, th.qualify_days))
+    framed = (
+        rows.select(
+            "feed_id",
+            "dataset_id",
+            *levels_of_days,
+            F.col("at").alias("as_of"),
+            F.col("seen").isNull().alias("is_evaluated"),
+            # At most one observation a day of the window, in order of days.
+            F.collect_list("seen").over(window).alias("seen"),
+            F.sum("updated").over(window).alias("updated_in_window"),
+            F.sum("deletes").over(window).alias("deletes_in_window"),
+            F.first("seen.future", ignorenulls=True).over(qualify).alias("qualify_start_future"),
+        )
+        .where("is_evaluated")
+    )
+
+    def days_of(seen: Column) -> Column:
+        return F.transform(seen, lambda x: x["day"])
+
+    # A step needs both of its observations inside the window, so the first one makes none.
+    steps = F.slice("seen", 2, F.greatest(F.size("seen") - 1, F.lit(0)))
+    falls = F.filter(F.transform(steps, lambda x: F.struct((-x["percent"]).alias("depth"), x["day"].alias("day"), x["previous_day"].alias("previous_day"))), lambda x: x["depth"] < 0)
+    still = F.filter(steps, lambda x: ~x["falls"])
+    folded = framed.where(F.size("seen") > 0).select(
+        "feed_id",
+        "dataset_id",
+        "as_of",
+        F.size("seen").alias("observations"),
+        F.col("seen")[0]["future"].alias("start_future"),
+        F.element_at("seen", -1)["future"].alias("current_future"),
+        F.element_at("seen", -1)["day"].alias("last_day"),
+        "qualify_start_future",
+        F.size(still).alias("rises"),
+        F.array_max(F.transform(steps, lambda x: x["percent"])).alias("largest_daily_drop_percent"),
         # Steepest step, the earliest one on a tie.
-        F.min(
-            F.when(
-                F.col("step_percent") > 0,
-                F.struct((-F.col("step_percent")).alias("depth"), "day", "previous_day"),
-            )
-        ).alias("steepest"),
+        F.array_min(falls).alias("steepest"),
         # The run of falls that ends the window starts at the last observation that did not fall.
-        F.max(F.when(F.col("in_window") & ~F.col("falls"), F.col("day"))).alias("run_start"),
-        F.sum(F.when(F.col("in_window"), F.col("updated")).otherwise(0)).alias("updated_in_window"),
-        F.sum(F.when(F.col("in_window"), F.col("deletes")).otherwise(0)).alias("deletes_in_window"),
-        # The same array in every row of the feed.
-        F.any_value("trend").alias("trend"),
+        F.coalesce(F.array_max(days_of(still)), F.col("seen")[0]["day"]).alias("run_start"),
+        "updated_in_window",
+        "deletes_in_window",
+        F.array(*levels_of_days).cast("array<bigint>").alias("trend"),
     )
     judged = (
         folded.where(
@@ -139,14 +161,14 @@ def feed_declines(
 
 
 def _incident_levels(
-    ingestion: DataFrame, as_of: dt.date, th: DeclineThresholds, ignored_kinds: Iterable[str]
+    history: DataFrame | FeedDayState, as_of: dt.date, th: DeclineThresholds, ignored_kinds: Iterable[str]
 ) -> DataFrame:
     first = as_of - dt.timedelta(days=th.incident_history_days)
-    return supply_days(ingestion, first, as_of, ignored_kinds)
+    return supply_days(history, first, as_of, ignored_kinds)
 
 
 def dataset_future_decline(
-    ingestion: DataFrame,
+    history: DataFrame | FeedDayState,
     dataset_names: DataFrame,
     as_of: dt.date,
     thresholds: DeclineThresholds = DeclineThresholds(),
@@ -154,7 +176,7 @@ def dataset_future_decline(
 ) -> DataFrame:
     """Incidents, one row per dataset over its declining feeds only, largest loss first."""
     th = thresholds
-    levels = _incident_levels(ingestion, as_of, th, ignored_kinds)
+    levels = _incident_levels(history, as_of, th, ignored_kinds)
     recent = trailing_days(as_of, th.incident_trend_days)
     folded = (
         feed_declines(levels, as_of, as_of, th, recent)
@@ -189,14 +211,14 @@ def dataset_future_decline(
 
 
 def dataset_future_decline_feeds(
-    ingestion: DataFrame,
+    history: DataFrame | FeedDayState,
     feed_names: DataFrame,
     as_of: dt.date,
     thresholds: DeclineThresholds = DeclineThresholds(),
     ignored_kinds: Iterable[str] = IGNORED_KINDS,
 ) -> DataFrame:
     """The feeds behind the incidents, largest loss first within each dataset."""
-    levels = _incident_levels(ingestion, as_of, thresholds, ignored_kinds)
+    levels = _incident_levels(history, as_of, thresholds, ignored_kinds)
     declines = (
         feed_declines(levels, as_of, as_of, thresholds)
         .withColumn("consecutive_declining_days", F.datediff("as_of", "decline_start"))
@@ -209,7 +231,7 @@ def dataset_future_decline_feeds(
 
 
 def dataset_future_decline_trend(
-    ingestion: DataFrame,
+    history: DataFrame | FeedDayState,
     as_of: dt.date,
     thresholds: DeclineThresholds = DeclineThresholds(),
     ignored_kinds: Iterable[str] = IGNORED_KINDS,
@@ -217,7 +239,11 @@ def dataset_future_decline_trend(
     """Open and past-threshold datasets on each of the last ``trend_days`` days."""
     th = thresholds
     first = as_of - dt.timedelta(days=th.trend_history_days)
-    levels = supply_days(ingestion, first, as_of, ignored_kinds)
+    return decline_trend_of(supply_days(history, first, as_of, ignored_kinds), as_of, th)
+
+
+def decline_trend_of(levels: DataFrame, as_of: dt.date, th: DeclineThresholds) -> DataFrame:
+    """``dataset_future_decline_trend`` of supply days."""
     declines = feed_declines(levels, as_of - dt.timedelta(days=th.trend_days - 1), as_of, th)
     datasets = declines.groupBy("dataset_id", "as_of").agg(
         F.sum("start_future").alias("start_total"), F.sum("current_future").alias("current_total")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.daily import feed_datasets, on_spine, publishing_days, trailing_array, trailing_days
+from tidewatch.operators.daily import FeedDayState, feed_days, first_log_day, on_spine, trailing_array, trailing_days
 from tidewatch.operators.hydrate import (
     incident_columns,
     with_dataset_identity,
@@ -28,15 +28,20 @@ def _is_stalled(silent: Column, th: StallThresholds) -> Column:
     return silent.between(th.stall_days, th.lookback_days)
 
 
-def feed_silence(ingestion: DataFrame, as_of: dt.date, th: StallThresholds) -> DataFrame:
-    """One row per feed seen in the incident window: dataset, last_published, trend array."""
+def publishing_days(history: DataFrame | FeedDayState, first: dt.date, last: dt.date) -> DataFrame:
+    """``feed_days`` without the log's very first day."""
+    return feed_days(history, first, last).where(F.col("day") > first_log_day(history))
+
+
+def feed_silence(history: DataFrame | FeedDayState, as_of: dt.date, th: StallThresholds) -> DataFrame:
+    """One row per feed seen in the incident window: the dataset of its latest run, last_published, trend array."""
     first = as_of - dt.timedelta(days=th.incident_history_days)
     recent = trailing_days(as_of, th.incident_trend_days)
-    silences = publishing_days(ingestion, first, as_of).groupBy("feed_id").agg(
+    return publishing_days(history, first, as_of).groupBy("feed_id").agg(
         F.max(F.when(_published(), F.col("day"))).alias("last_published"),
         trailing_array(F.coalesce("updated", F.lit(0)), recent).alias("trend"),
+        F.min("owner")["dataset_id"].alias("dataset_id"),
     )
-    return silences.join(feed_datasets(ingestion, first, as_of), "feed_id")
 
 
 def _with_incident_days(df: DataFrame, as_of: dt.date, th: StallThresholds) -> DataFrame:
@@ -51,14 +56,14 @@ def _with_incident_days(df: DataFrame, as_of: dt.date, th: StallThresholds) -> D
 
 
 def single_feed_stalls(
-    ingestion: DataFrame,
+    history: DataFrame | FeedDayState,
     feed_names: DataFrame,
     dataset_names: DataFrame,
     as_of: dt.date,
     thresholds: StallThresholds = StallThresholds(),
 ) -> DataFrame:
     """Silent feeds of datasets in which at least one other feed still publishes."""
-    feeds = feed_silence(ingestion, as_of, thresholds)
+    feeds = feed_silence(history, as_of, thresholds)
     # A dataset is alive when its latest publisher is; keyed by dataset, one row each.
     alive = (
         feeds.groupBy("dataset_id")
@@ -86,13 +91,13 @@ def _stalled_datasets(feeds: DataFrame, as_of: dt.date, th: StallThresholds) ->
 
 
 def dataset_stalls(
-    ingestion: DataFrame,
+    history: DataFrame | FeedDayState,
     dataset_names: DataFrame,
     as_of: dt.date,
     thresholds: StallThresholds = StallThresholds(),
 ) -> DataFrame:
     """Datasets none of whose feeds has published for the stall period."""
-    stalled = _stalled_datasets(feed_silence(ingestion, as_of, thresholds), as_of, thresholds)
+    stalled = _stalled_datasets(feed_silence(history, as_of, thresholds), as_of, thresholds)
     return (
         with_dataset_identity(stalled, dataset_names)
         .select("*", *incident_columns(DATASET))
@@ -101,13 +106,13 @@ def dataset_stalls(
 
 
 def dataset_stall_feeds(
-    ingestion: DataFrame,
+    history: DataFrame | FeedDayState,
     feed_names: DataFrame,
     as_of: dt.date,
     thresholds: StallThresholds = StallThresholds(),
 ) -> DataFrame:
     """Per-feed silences of the stalled datasets: most recent first, never published last."""
-    feeds = feed_silence(ingestion, as_of, thresholds)
+    feeds = feed_silence(history, as_of, thresholds)
     stalled = _stalled_datasets(feeds, as_of, thresholds).select("dataset_id")
     rows = feeds.join(stalled, "dataset_id", "left_semi").select(
         F.col("dataset_id").alias("dataset_url"),
@@ -120,30 +125,28 @@ def dataset_stall_feeds(
     )
 
 
-def silence_by_day(ingestion: DataFrame, as_of: dt.date, th: StallThresholds) -> DataFrame:
-    """Per (dataset, day of the trend): stalled feeds, past-threshold feeds, shortest silence.
+def silence_by_day(days: DataFrame, as_of: dt.date, th: StallThresholds) -> DataFrame:
+    """Per (dataset, day of the trend): stalled feeds, past-threshold feeds, shortest silence; from feed days.
 
     Each published day of a feed is its last one until the next, so one row per feed and
     trend day follows from the gaps alone.  The rows are added up per (dataset, day) before
     they leave the task.  A feed's dataset is the one of its latest run for every day.
     """
-    first = as_of - dt.timedelta(days=th.trend_history_days)
     trend_start = as_of - dt.timedelta(days=th.trend_days - 1)
-    in_order = Window.partitionBy("feed_id").orderBy("day")
-    # Of the days before the trend only each feed's last one matters.
+    of_feed = Window.partitionBy("feed_id")
+    # Of the days before the trend only each feed's last published one matters.
     published = (
-        publishing_days(ingestion, first, as_of)
-        .where(_published())
-        .groupBy("feed_id", F.when(F.col("day") >= F.lit(trend_start), F.col("day")).alias("slot"))
-        .agg(F.max("day").alias("day"))
+        days.groupBy("feed_id", F.when(F.col("day") >= F.lit(trend_start), F.col("day")).alias("slot"))
+        .agg(F.max(F.when(_published(), F.col("day"))).alias("day"), F.min("owner").alias("owner"))
+        .withColumn("dataset_id", F.min("owner").over(of_feed)["dataset_id"])
+        .where(F.col("day").isNotNull())
     )
     gaps = (
         published
-        .withColumn("next_day", F.lead("day").over(in_order))
+        .withColumn("next_day", F.lead("day").over(of_feed.orderBy("day")))
         .withColumn("first", F.greatest("day", F.lit(trend_start)))
         .withColumn("last", F.coalesce(F.date_sub("next_day", 1), F.lit(as_of)))
         .where(F.col("first") <= F.col("last"))
-        .join(feed_datasets(ingestion, first, as_of), "feed_id")
     )
     silences = gaps.select(
         "dataset_id",
@@ -174,30 +177,39 @@ def _dataset_counts(th: StallThresholds) -> list[Column]:
     ]
 
 
+def _trend_days(history: DataFrame | FeedDayState, as_of: dt.date, th: StallThresholds) -> DataFrame:
+    return publishing_days(history, as_of - dt.timedelta(days=th.trend_history_days), as_of)
+
+
 def single_feed_stall_trend(
-    ingestion: DataFrame, as_of: dt.date, thresholds: StallThresholds = StallThresholds()
+    history: DataFrame | FeedDayState, as_of: dt.date, thresholds: StallThresholds = StallThresholds()
 ) -> DataFrame:
     """Open and past-threshold feeds on each of the last ``trend_days`` days."""
-    counts = silence_by_day(ingestion, as_of, thresholds).groupBy("day").agg(*_feed_counts(thresholds))
-    return on_spine(counts, as_of, thresholds.trend_days)
+    silences = silence_by_day(_trend_days(history, as_of, thresholds), as_of, thresholds)
+    return on_spine(silences.groupBy("day").agg(*_feed_counts(thresholds)), as_of, thresholds.trend_days)
 
 
 def dataset_stall_trend(
-    ingestion: DataFrame, as_of: dt.date, thresholds: StallThresholds = StallThresholds()
+    history: DataFrame | FeedDayState, as_of: dt.date, thresholds: StallThresholds = StallThresholds()
 ) -> DataFrame:
     """Open and past-threshold datasets on each of the last ``trend_days`` days."""
-    counts = silence_by_day(ingestion, as_of, thresholds).groupBy("day").agg(*_dataset_counts(thresholds))
-    return on_spine(counts, as_of, thresholds.trend_days)
+    silences = silence_by_day(_trend_days(history, as_of, thresholds), as_of, thresholds)
+    return on_spine(silences.groupBy("day").agg(*_dataset_counts(thresholds)), as_of, thresholds.trend_days)
 
 
 def stall_trends(
-    ingestion: DataFrame, as_of: dt.date, thresholds: StallThresholds = StallThresholds()
+    history: DataFrame | FeedDayState, as_of: dt.date, thresholds: StallThresholds = StallThresholds()
 ) -> DataFrame:
-    """Both stall trends from one pass over the log, as (monitor_id, day, counts) rows."""
+    """Both stall trends from one pass over the history, as (monitor_id, day, counts) rows."""
+    return stall_trends_of(_trend_days(history, as_of, thresholds), as_of, thresholds)
+
+
+def stall_trends_of(days: DataFrame, as_of: dt.date, thresholds: StallThresholds) -> DataFrame:
+    """``stall_trends`` of feed days, without the log's first one."""
     feed_open, feed_past = _feed_counts(thresholds)
     dataset_open, dataset_past = _dataset_counts(thresholds)
     counts = (
-        silence_by_day(ingestion, as_of, thresholds)
+        silence_by_day(days, as_of, thresholds)
         .groupBy("day")
         .agg(
             feed_open.alias("feed_open"),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import decline, errors, orphans, stalls
+from tidewatch.operators.daily import FeedDayState, feed_days, first_log_day, shared_days, supply_columns
 from tidewatch.sources.snapshots import latest_crawl
 from tidewatch.thresholds import DeclineThresholds, ErrorThresholds, OrphanThresholds, StallThresholds
 
@@ -62,43 +64,62 @@ def orphan_tile(
     )
 
 
-def history_tiles(
-    ingestion: DataFrame,
+def history_trends(
+    history: DataFrame | FeedDayState,
     as_of: dt.date,
-    stall_thresholds: StallThresholds = StallThresholds(trend_days=SPARKLINE_DAYS, incident_trend_days=1),
-    error_thresholds: ErrorThresholds = ErrorThresholds(trend_days=SPARKLINE_DAYS, incident_trend_days=1),
-    decline_thresholds: DeclineThresholds = DeclineThresholds(
-        trend_days=SPARKLINE_DAYS, incident_trend_days=1
-    ),
+    stall_thresholds: StallThresholds = StallThresholds(),
+    error_thresholds: ErrorThresholds = ErrorThresholds(),
+    decline_thresholds: DeclineThresholds = DeclineThresholds(),
+    ignored_kinds: Iterable[str] = decline.IGNORED_KINDS,
 ) -> DataFrame:
-    """The tiles of the monitors with a history; both stall monitors come from one pass."""
-    trends = (
-        stalls.stall_trends(ingestion, as_of, stall_thresholds)
+    """The trends of the four monitors with a history, (monitor_id, day, counts), from one read of the history."""
+    first = {
+        th: as_of - dt.timedelta(days=th.trend_history_days)
+        for th in (stall_thresholds, error_thresholds, decline_thresholds)
+    }
+    days = shared_days(feed_days(history, min(first.values()), as_of, ignored_kinds))
+
+    def since(thresholds: StallThresholds | ErrorThresholds | DeclineThresholds) -> DataFrame:
+        return days.where(F.col("day") >= F.lit(first[thresholds]))
+
+    stall_days = since(stall_thresholds).where(F.col("day") > first_log_day(history))
+    return (
+        stalls.stall_trends_of(stall_days, as_of, stall_thresholds)
         .select("monitor_id", "day", "open_count", "past_threshold_count")
         .unionByName(
-            _labelled(
-                errors.feed_ingestion_error_trend(ingestion, as_of, error_thresholds), errors.MONITOR_ID
-            )
+            _labelled(errors.error_trend_of(since(error_thresholds), as_of, error_thresholds), errors.MONITOR_ID)
         )
         .unionByName(
             _labelled(
-                decline.dataset_future_decline_trend(ingestion, as_of, decline_thresholds),
+                decline.decline_trend_of(supply_columns(since(decline_thresholds)), as_of, decline_thresholds),
                 decline.MONITOR_ID,
             )
         )
     )
-    return summarise_trends(trends)
+
+
+def history_tiles(
+    history: DataFrame | FeedDayState,
+    as_of: dt.date,
+    stall_thresholds: StallThresholds = StallThresholds(trend_days=SPARKLINE_DAYS, incident_trend_days=1),
+    error_thresholds: ErrorThresholds = ErrorThresholds(trend_days=SPARKLINE_DAYS, incident_trend_days=1),
+    decline_thresholds: DeclineThresholds = DeclineThresholds(
+        trend_days=SPARKLINE_DAYS, incident_trend_days=1
+    ),
+) -> DataFrame:
+    """The tiles of the monitors with a history."""
+    return summarise_trends(history_trends(history, as_of, stall_thresholds, error_thresholds, decline_thresholds))
 
 
 def monitor_tiles(
-    ingestion: DataFrame,
+    history: DataFrame | FeedDayState,
     opportunities: DataFrame,
     as_of: dt.date,
     *thresholds: StallThresholds | ErrorThresholds | DeclineThresholds,
     orphan_thresholds: OrphanThresholds = OrphanThresholds(),
 ) -> DataFrame:
     """One row per monitor in display order; ``thresholds`` as for ``history_tiles``."""
-    tiles = history_tiles(ingestion, as_of, *thresholds).unionByName(orphan_tile(opportunities, orphan_thresholds))
+    tiles = history_tiles(history, as_of, *thresholds).unionByName(orphan_tile(opportunities, orphan_thresholds))
     position = F.array_position(F.array(*[F.lit(name) for name in MONITOR_ORDER]), F.col("monitor_id"))
     return tiles.withColumn("position", position).orderBy("position")
 
