@@ -18,8 +18,9 @@ from checks import views
 from tidewatch.operators import decline, errors, hydrate, orphans, stalls
 from tidewatch.operators.filters import PublicFilter
 from tidewatch.operators.paging import page, page_after
+from tidewatch.operators.daily import FeedDayState, attributed, failure_details, supply_level
 from tidewatch.plans import estate, growth, notifications, properties, public, quality, sites
-from tidewatch.sources import snapshots
+from tidewatch.sources import feed_day_store, snapshots
 from tidewatch.sources.notification_store import WRITABLE, merge_notifications
 from tidewatch.sources.site_csv import site_mappings_from_text
 from tidewatch.thresholds import DeclineThresholds, ErrorThresholds, OrphanThresholds, StallThresholds
@@ -45,6 +46,8 @@ SOME_ACTIVITIES = PublicFilter(district=("D3-1", "D4-2"), activity=("Brand#7", "
 SOME_PROVIDERS = PublicFilter(country=("C1", "C2"), activity=("ECONOMY",), nhs_trust=("all",))
 ONE_TRUST = PublicFilter(publisher=tuple(f"Supplier#{n:09d}" for n in range(1, 5)), nhs_trust=("T3",))
 ONE_PROVIDER = PublicFilter(organization=("BUILDING 3", "MACHINERY 3", "HOUSEHOLD 7", "AUTOMOBILE 7", "FURNITURE 7"))
+#: A moment within a day: the runs of that day are in both halves of the state.
+STATE_FROM = dt.datetime(2024, 1, 16, 12)
 AFTER_RECORD = (dt.datetime(2001, 3, 1), "feed-3", "5")
 AFTER_SCORE = (55.0, "https://d3.example/data/", "feed-6")
 
@@ -79,6 +82,17 @@ class Views:
     def ingestion(self):
         return self._tables.view(views.INGESTION)
 
+    @cached_property
+    def feed_day_state(self):
+        """The log's state as merged from that of the runs until its middle and that of the later ones."""
+        parts = [self.ingestion.where(F.coalesce(test, F.lit(late))) for test, late in (
+            (F.col("ingestion_date") < STATE_FROM, False), (F.col("ingestion_date") >= STATE_FROM, True))]
+        return FeedDayState(
+            feed_day_store.merged_rows(*map(feed_day_store.state_rows, parts)),
+            feed_day_store.merged_failures(*(failure_details(attributed(p)) for p in parts)),
+            feed_day_store.merged_index(*map(feed_day_store.day_index, parts)),
+        )
+
     @cached_property
     def references(self):
         return self._tables.view(views.REFERENCES)
@@ -212,6 +226,12 @@ def _flat_tree(tree: DataFrame) -> DataFrame:
     )
 
 
+def _state_columns(rows: DataFrame) -> DataFrame:
+    """The state with its packed level read."""
+    level = supply_level(F.col("level")).alias("future")
+    return rows.select(*[name for name in rows.columns if name not in ("level", "failure", "least_status")], level)
+
+
 SITE_COLUMNS = (
     "site_id", "site_name", "local_authority_code", "site_lat", "ap_facility_count", "oa_publisher_names",
     "oa_location_json", "distance_metres", "match_method", "spatial_match", "is_mutual_best", "oa_kinds",
@@ -241,6 +261,20 @@ _CATALOG: dict[str, Callable[[Views], DataFrame]] = {
         v.ingestion, v.feed_names, AS_OF, DECLINE
     ),
     "dataset_future_decline_trend": lambda v: decline.dataset_future_decline_trend(v.ingestion, AS_OF, DECLINE),
+    # The feed-day state and monitors over it
+    "feed_day_state": lambda v: _state_columns(v.feed_day_state.rows),
+    "feed_day_index": lambda v: v.feed_day_state.index,
+    "single_feed_stalls_from_state": lambda v: stalls.single_feed_stalls(
+        v.feed_day_state, v.feed_names, v.dataset_names, AS_OF, STALLS
+    ),
+    "dataset_stall_trend_from_state": lambda v: stalls.dataset_stall_trend(v.feed_day_state, AS_OF, STALLS),
+    "feed_ingestion_errors_from_state": lambda v: errors.feed_ingestion_errors(
+        v.feed_day_state, v.feed_names, v.dataset_names, AS_OF, ERRORS
+    ),
+    "dataset_future_decline_from_state": lambda v: decline.dataset_future_decline(
+        v.feed_day_state, v.dataset_names, AS_OF, DECLINE
+    ),
+    "history_trends": lambda v: estate.history_trends(v.ingestion, AS_OF, STALLS, ERRORS, DECLINE),
     # Estate
     "monitor_tiles": _tiles,
     "estate_headline": lambda v: estate.estate_headline(

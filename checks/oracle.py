@@ -816,3 +816,27 @@ WHERE dataset_url IN (SELECT 'https://d' || n || '.example/data/' FROM range(60)
     "notification_merge": MERGE_SNAPSHOT,
     "notification_merge_outcomes": MERGE_OUTCOMES,
 }
+
+# The stored feed-day state: the same monitors, and the state itself.
+ORACLE["feed_day_state"] = f"""{_with(INGESTION)}
+SELECT feed_id, dataset_id, kind, (ingestion_date::DATE)::VARCHAR AS day, count(*) AS runs, epoch_us(max(ingestion_date)) AS latest,
+       sum(updated)::BIGINT AS updated, count(*) FILTER (WHERE status = 'COMPLETE') AS completes,
+       count(*) FILTER (WHERE status = 'ERROR') AS failures,
+       epoch_us(max(ingestion_date) FILTER (WHERE status = 'COMPLETE' AND total_future_opportunities IS NOT NULL)) AS supplied,
+       sum(updated) FILTER (WHERE status = 'COMPLETE' AND total_future_opportunities IS NOT NULL)::BIGINT AS supply_updated,
+       sum(actual_deletes) FILTER (WHERE status = 'COMPLETE' AND total_future_opportunities IS NOT NULL)::BIGINT AS supply_deletes,
+       (max({{'t': ingestion_date, 'v': total_future_opportunities}})
+         FILTER (WHERE status = 'COMPLETE' AND total_future_opportunities IS NOT NULL)).v AS future
+FROM ingestion WHERE feed_id IS NOT NULL AND dataset_id IS NOT NULL
+GROUP BY feed_id, dataset_id, kind, ingestion_date::DATE"""
+ORACLE["feed_day_index"] = f"""{_with(INGESTION)}
+SELECT (ingestion_date::DATE)::VARCHAR AS day, count(*) AS rows FROM ingestion WHERE ingestion_date IS NOT NULL GROUP BY ALL"""
+for _name in ("single_feed_stalls", "dataset_stall_trend", "feed_ingestion_errors", "dataset_future_decline"):
+    ORACLE[f"{_name}_from_state"] = ORACLE[_name]
+ORACLE["history_trends"] = " UNION ALL ".join(
+    f"SELECT '{monitor}' AS monitor_id, day, open_count, past_threshold_count FROM ({ORACLE[query]})"
+    for monitor, query in (
+        ("single_feed_stall", "single_feed_stall_trend"), ("dataset_stall", "dataset_stall_trend"),
+        ("feed_ingestion_error", "feed_ingestion_error_trend"), ("dataset_future_decline", "dataset_future_decline_trend"),
+    )
+)

@@ -6,6 +6,7 @@ import pytest
 from tests import brute
 from tests.conftest import AS_OF, at, day, table
 from tidewatch.operators import stalls
+from tidewatch.plans import estate
 from tidewatch.thresholds import StallThresholds
 
 DEFAULTS = StallThresholds()
@@ -156,8 +157,9 @@ def test_trends_equal_a_day_by_day_evaluation(spark, no_names, seed):
     assert feed_points[-1][1] == stalls.single_feed_stalls(log, *no_names, AS_OF, th).count()
     assert dataset_points[-1][1] == stalls.dataset_stalls(log, no_names[1], AS_OF, th).count()
 
-    both = stalls.stall_trends(log, AS_OF, th).collect()
-    assert sorted((r.day, r.open_count, r.past_threshold_count) for r in both if r.monitor_id == stalls.DATASET) == dataset_points
+    both = estate.history_trends(log, AS_OF, th).collect()
+    for monitor, points in ((stalls.SINGLE_FEED, feed_points), (stalls.DATASET, dataset_points)):
+        assert sorted((r.day, r.open_count, r.past_threshold_count) for r in both if r.monitor_id == monitor) == points
     log.unpersist()
 
 

@@ -201,16 +201,18 @@ def status_columns(days: DataFrame) -> DataFrame:
     )
 
 
+def supply_level(packed: Column) -> Column:
+    """The level in a packed (instant, level)."""
+    return (packed % F.lit(_LEVELS).cast("decimal(21,0)") - F.lit(_LOWEST).cast("decimal(20,0)")).cast("bigint")
+
+
 def supply_columns(days: DataFrame) -> DataFrame:
     """(feed_id, day, dataset_id, future, updated, deletes) of the days with a supply."""
-    unpacked = (
-        F.col("level") % F.lit(_LEVELS).cast("decimal(21,0)") - F.lit(_LOWEST).cast("decimal(20,0)")
-    ).cast("bigint")
     return days.where(F.col("level").isNotNull()).select(
         "feed_id",
         "day",
         F.col("supply_owner.dataset_id").alias("dataset_id"),
-        unpacked.alias("future"),
+        supply_level(F.col("level")).alias("future"),
         F.coalesce("supply_updated", F.lit(0)).alias("updated"),
         F.coalesce("supply_deletes", F.lit(0)).alias("deletes"),
     )
@@ -235,7 +237,7 @@ def trailing_array(value: Column, days: list[dt.date]) -> Column:
 
 def day_spine(df: DataFrame, as_of: dt.date, count: int) -> DataFrame:
     """One row per day of the trend, ``count`` rows (at most 365)."""
-    return df.sparkSession.range(1).select(
+    return df.sparkSession.range(0, 1, 1, 1).select(
         F.explode(
             F.sequence(F.lit(as_of - dt.timedelta(days=count - 1)), F.lit(as_of))
         ).alias("day")

@@ -239,18 +239,18 @@ def dataset_future_decline_trend(
     """Open and past-threshold datasets on each of the last ``trend_days`` days."""
     th = thresholds
     first = as_of - dt.timedelta(days=th.trend_history_days)
-    return decline_trend_of(supply_days(history, first, as_of, ignored_kinds), as_of, th)
+    counts = decline_counts(supply_days(history, first, as_of, ignored_kinds), as_of, th)
+    return on_spine(counts, as_of, th.trend_days)
 
 
-def decline_trend_of(levels: DataFrame, as_of: dt.date, th: DeclineThresholds) -> DataFrame:
-    """``dataset_future_decline_trend`` of supply days."""
+def decline_counts(levels: DataFrame, as_of: dt.date, th: DeclineThresholds) -> DataFrame:
+    """(day, counts) of supply days for the trend's days that have any."""
     declines = feed_declines(levels, as_of - dt.timedelta(days=th.trend_days - 1), as_of, th)
     datasets = declines.groupBy("dataset_id", "as_of").agg(
         F.sum("start_future").alias("start_total"), F.sum("current_future").alias("current_total")
     )
     percent = percent_drop(F.col("start_total") - F.col("current_total"), F.col("start_total"))
-    counts = datasets.groupBy(F.col("as_of").alias("day")).agg(
+    return datasets.groupBy(F.col("as_of").alias("day")).agg(
         F.count(F.lit(1)).alias("open_count"),
         F.count_if(percent >= th.past_percent).alias("past_threshold_count"),
     )
-    return on_spine(counts, as_of, th.trend_days)

@@ -85,11 +85,11 @@ def feed_ingestion_error_trend(
 ) -> DataFrame:
     """Open and past-threshold feeds on each of the last ``trend_days`` days."""
     days = feed_days(history, as_of - dt.timedelta(days=thresholds.trend_history_days), as_of)
-    return error_trend_of(days, as_of, thresholds)
+    return on_spine(error_counts(days, as_of, thresholds), as_of, thresholds.trend_days)
 
 
-def error_trend_of(days: DataFrame, as_of: dt.date, th: ErrorThresholds) -> DataFrame:
-    """``feed_ingestion_error_trend`` of feed days."""
+def error_counts(days: DataFrame, as_of: dt.date, th: ErrorThresholds) -> DataFrame:
+    """(day, counts) of feed days for the trend's days that have any."""
     # One feed has at most one row per day of the window.
     so_far = Window.partitionBy("feed_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     completed = F.when(F.col("completed"), F.col("day"))
@@ -104,8 +104,7 @@ def error_trend_of(days: DataFrame, as_of: dt.date, th: ErrorThresholds) -> Data
         .withColumn("failing", F.datediff("day", "last_completed"))
         .where(F.col("failing").between(th.error_days, th.success_lookback_days))
     )
-    counts = failing.groupBy("day").agg(
+    return failing.groupBy("day").agg(
         F.count(F.lit(1)).alias("open_count"),
         F.count_if(F.col("failing") >= th.past_days).alias("past_threshold_count"),
     )
-    return on_spine(counts, as_of, th.trend_days)

@@ -197,42 +197,22 @@ def dataset_stall_trend(
     return on_spine(silences.groupBy("day").agg(*_dataset_counts(thresholds)), as_of, thresholds.trend_days)
 
 
-def stall_trends(
-    history: DataFrame | FeedDayState, as_of: dt.date, thresholds: StallThresholds = StallThresholds()
-) -> DataFrame:
-    """Both stall trends from one pass over the history, as (monitor_id, day, counts) rows."""
-    return stall_trends_of(_trend_days(history, as_of, thresholds), as_of, thresholds)
-
-
-def stall_trends_of(days: DataFrame, as_of: dt.date, thresholds: StallThresholds) -> DataFrame:
-    """``stall_trends`` of feed days, without the log's first one."""
+def stall_counts(days: DataFrame, as_of: dt.date, thresholds: StallThresholds) -> DataFrame:
+    """(monitor_id, day, counts) of both stall trends from feed days without the log's first one, in one pass."""
     feed_open, feed_past = _feed_counts(thresholds)
     dataset_open, dataset_past = _dataset_counts(thresholds)
     counts = (
         silence_by_day(days, as_of, thresholds)
         .groupBy("day")
         .agg(
-            feed_open.alias("feed_open"),
-            feed_past.alias("feed_past"),
-            dataset_open.alias("dataset_open"),
-            dataset_past.alias("dataset_past"),
+            F.struct(feed_open.alias("open_count"), feed_past.alias("past_threshold_count")).alias(SINGLE_FEED),
+            F.struct(dataset_open.alias("open_count"), dataset_past.alias("past_threshold_count")).alias(DATASET),
         )
     )
-    return on_spine(counts, as_of, thresholds.trend_days).select(
+    return counts.select(
         "day",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(monitor).alias("monitor_id"),
-                        F.col(opened).alias("open_count"),
-                        F.col(past).alias("past_threshold_count"),
-                    )
-                    for monitor, opened, past in (
-                        (SINGLE_FEED, "feed_open", "feed_past"),
-                        (DATASET, "dataset_open", "dataset_past"),
-                    )
-                ]
-            )
-        ),
+        F.inline(F.array(*[
+            F.struct(F.lit(monitor).alias("monitor_id"), f"{monitor}.open_count", f"{monitor}.past_threshold_count")
+            for monitor in (SINGLE_FEED, DATASET)
+        ])),
     )

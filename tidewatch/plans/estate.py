@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import decline, errors, orphans, stalls
-from tidewatch.operators.daily import FeedDayState, feed_days, first_log_day, shared_days, supply_columns
+from tidewatch.operators.daily import FeedDayState, day_spine, feed_days, first_log_day, shared_days, supply_columns
 from tidewatch.sources.snapshots import latest_crawl
 from tidewatch.thresholds import DeclineThresholds, ErrorThresholds, OrphanThresholds, StallThresholds
 
@@ -83,19 +83,26 @@ def history_trends(
         return days.where(F.col("day") >= F.lit(first[thresholds]))
 
     stall_days = since(stall_thresholds).where(F.col("day") > first_log_day(history))
-    return (
-        stalls.stall_trends_of(stall_days, as_of, stall_thresholds)
-        .select("monitor_id", "day", "open_count", "past_threshold_count")
-        .unionByName(
-            _labelled(errors.error_trend_of(since(error_thresholds), as_of, error_thresholds), errors.MONITOR_ID)
-        )
+    found = (
+        stalls.stall_counts(stall_days, as_of, stall_thresholds)
+        .unionByName(_labelled(errors.error_counts(since(error_thresholds), as_of, error_thresholds), errors.MONITOR_ID))
         .unionByName(
             _labelled(
-                decline.decline_trend_of(supply_columns(since(decline_thresholds)), as_of, decline_thresholds),
+                decline.decline_counts(supply_columns(since(decline_thresholds)), as_of, decline_thresholds),
                 decline.MONITOR_ID,
             )
         )
     )
+    none = [F.lit(0).cast("bigint").alias(name) for name in ("open_count", "past_threshold_count")]
+    for monitor, thresholds in (
+        (stalls.SINGLE_FEED, stall_thresholds), (stalls.DATASET, stall_thresholds),
+        (errors.MONITOR_ID, error_thresholds), (decline.MONITOR_ID, decline_thresholds),
+    ):
+        spine = day_spine(days, as_of, thresholds.trend_days)
+        found = found.unionByName(spine.select(F.lit(monitor).alias("monitor_id"), "day", *none))
+    return found.groupBy("monitor_id", "day").agg(
+        F.sum("open_count").alias("open_count"), F.sum("past_threshold_count").alias("past_threshold_count")
+    )
 
 
 def history_tiles(
