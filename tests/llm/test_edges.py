@@ -83,6 +83,10 @@ def test_tokens(spark, documents, docs):
     twice = documents([(5, "b c"), (5, "b c"), (-3, None), (2**62, "z")])
     assert [(r[0], r[2]) for r in sorted(token_rows(spark, twice))] == [(-3, 1), (5, 3), (5, 3), (2**62, 2)]
     assert token_rows(spark, docs.limit(0)) == []
+    nulls = documents([(None, "a b"), (4, "c"), (None, None), (None, "d"), (-1, "e f")])
+    got = sorted(token_rows(spark, nulls), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, None, -1, 4] and sorted(r[2] for r in got[:3]) == [1, 2, 3]
+    assert [r[1] for r in got] == [0, *(sum(r[2] for r in got[:k]) for k in range(1, 5))]
 
 
 def test_conversations(spark):
@@ -132,6 +136,23 @@ def test_secrets(spark, docs):
     assert secret_ledger.findings_by_path(docs.limit(0), f"{folder}2", fresh=True).count() == 0
 
 
+def test_secrets_of_a_text_with_very_many(spark, documents):
+    few = " ".join(f"{i:032x} token = abc{i:05d}" for i in range(10_000))
+    many = "token: 123456\n" + "0123456789abcdef01234567," * 200_000
+    found = secret_ledger.findings_by_path(documents([(1, few), (2, many)]), f"{shared.shared_folder(spark)}/ledger", fresh=True)
+    spans = {r.path: [(s.start, s["rank"], s.end) for s in r.spans if s["rank"] < 3] for r in found.collect()}
+    _, assign, access, hexes, digest = brute.secrets([(1, few)])[0]
+    assert len(spans[1]) == assign + access + hexes == 20_000
+    names = ("assign", "access", "hex")
+    assert brute.sha(",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans[1])) == digest
+    assert len(spans[2]) == 200_001 and spans[2][-1] == (len(many) - 25, 2, len(many) - 1)
+
+
+def test_another_rule_is_another_version():
+    assert secret_ledger.rules_version(secret_ledger.RULES) != secret_ledger.rules_version(secret_ledger.BASE_RULES)
+    assert secret_ledger.rules_version(secret_ledger.RULES) == secret_ledger.rules_version(tuple(secret_ledger.RULES))
+
+
 def test_logins_of_any_length(spark, documents):
     logins = ["ftp://u:abc@", f"https://{'u' * 65}:abc@", f"https://u:{'p' * 65}@", f"https://{'é' * 900}:{'%' * 90_000}@"]
     other = ["https://u:ab@", "https://u:a b c@", f"https://{'u' * 900}/:abc@", "https://:abc@", "https://u" * 20_000]
@@ -162,6 +183,23 @@ def test_the_ledger_scans_what_it_has_not_seen(spark, documents):
     assert secret_ledger.ledger_update(one, secret_ledger.open_ledger(spark, folder), version=2).count() == 2
 
 
+def test_mixing_takes_some_of_equal_rows(documents):
+    """Sources of equal rows alone meet their targets within a row."""
+    rows = [(None, "w w w", None, "a")] * 400 + [(i, "w " * 4, None, "b") for i in range(900)] + [(7, "w w", None, "c")] * 50
+    rows += [(9, "w " * 500, None, "a"), (None, None, None, "a")]
+    frame = documents(rows)
+    got = mixing.taken_sizes(frame).collect()
+    sizes = {"a": 1700, "b": 3600, "c": 100}
+    want, taken = brute.targets(sizes), dict.fromkeys(sizes, 0)
+    for r in got:
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r["size"]
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 2 for s in sizes)
+    mixed = mixing.mixed_documents(frame).groupBy("source").agg({"text": "count"}).collect()
+    count = {r.source: r[1] for r in mixed}
+    assert count["b"] * 4 == taken["b"] and count["c"] * 2 == taken["c"]
+
+
 def test_mixing(documents):
     rows = [(i, "w " * n, None, s) for i, (n, s) in enumerate(
         [(5, "b"), (0, "b"), (700, "a"), (1, None), (2, None), (0, "zero")] + [(3, "hot")] * 300)]

@@ -7,6 +7,8 @@ back to all paths that hold the blob. Built-in functions only.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,8 +40,8 @@ MORE_RULES = (
     Rule("url_login", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]++:[^\s:/@]{3,}+@"),
 )
 RULES = BASE_RULES + MORE_RULES
-#: Another number after every change of the rules, so that blobs held in a ledger are scanned again.
-RULE_VERSION = 3
+#: Matches whose spans are summed up in one array; longer lists are put together from such pieces.
+PIECE = 64
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
@@ -51,6 +53,10 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
         F.transform(matches, lambda x: F.length(x)).alias("span"),
         F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda x: F.length(x)).alias("own"))
     none = F.array().cast(SPANS)
+    zero = F.lit(0).cast("long")
+
+    def length(part: Column) -> Column:
+        return part["gap"] + F.coalesce(part["span"], F.lit(0))
 
     def step(acc: Column, part: Column) -> Column:
         start = acc["at"] + part["gap"]
@@ -60,15 +66,39 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
         passes = part["own"].isNotNull() & (part["own"] >= rule.at_least)
         return F.struct(end.alias("at"), F.when(passes, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
-    summed = F.aggregate(
-        parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.pattern), summed).otherwise(none)
+    def place(acc: Column, piece: Column) -> Column:
+        size = F.aggregate(piece, zero, lambda n, part: n + length(part))
+        return F.struct((acc["at"] + size).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def summed(pieces: Column) -> Column:
+        starts = F.aggregate(
+            pieces, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), place, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(pieces, starts, lambda piece, start: F.aggregate(
+            piece, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+
+    def cut(every: Column) -> Column:
+        # an array that grows copies what it holds, so a text's matches are summed piece by piece
+        return F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(every) - 1) / PIECE).cast("int")),
+            lambda k: F.slice(every, k * PIECE + 1, F.lit(PIECE)))
+
+    return F.when(text.rlike(rule.pattern), _once(parts, lambda p: _once(cut(p), summed))).otherwise(none)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once although use reads it from within lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def rules_version(rules: tuple[Rule, ...], version: int | None = None) -> int:
+    """A number that changes with the rules, so that blobs held in a ledger are scanned again; version where given."""
+    return version if version is not None else int.from_bytes(hashlib.sha256(repr(rules).encode()).digest()[:4], "big") >> 1
 
 
-def scanned(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, version: int = RULE_VERSION) -> DataFrame:
+def scanned(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, version: int | None = None) -> DataFrame:
     """(blob, text) to (blob, rule_version, spans): spans of all rules by start, then by the order of the rules."""
     found = F.concat(*(_spans(F.col("text"), rule, rank) for rank, rule in enumerate(rules)))
-    return blobs.select("blob", F.lit(version).alias("rule_version"), F.sort_array(found).alias("spans"))
+    return blobs.select("blob", F.lit(rules_version(rules, version)).alias("rule_version"), F.sort_array(found).alias("spans"))
 
 
 def addressed(versions: DataFrame, path_col: str, text_col: str) -> DataFrame:
@@ -77,15 +107,15 @@ def addressed(versions: DataFrame, path_col: str, text_col: str) -> DataFrame:
 
 
 def ledger_update(versions: DataFrame, ledger: DataFrame | None, *, path_col: str = "doc_id", text_col: str = "text",
-                  rules: tuple[Rule, ...] = RULES, version: int = RULE_VERSION) -> DataFrame:
-    """Rows to append to the ledger: one for each blob of versions not yet scanned under this rule version.
+                  rules: tuple[Rule, ...] = RULES, version: int | None = None) -> DataFrame:
+    """Rows to append to the ledger: one for each blob of versions not yet scanned under these rules.
 
     One row of each unseen blob is chosen by its address and path alone; only those rows' texts are joined and
     scanned, so a text with any number of copies is scanned once.
     """
     chosen = addressed(versions, path_col, text_col).groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
-        chosen = chosen.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
+        chosen = chosen.join(ledger.where(F.col("rule_version") == rules_version(rules, version)).select("blob"), "blob", "left_anti")
     chosen = shared.written(chosen, "unseen").alias("c")
     text = shared.text_or_empty(text_col)
     texts = versions.select(F.col(path_col).alias("path"), text.alias("text"), F.sha2(text, 256).alias("blob")).alias("v")
@@ -101,7 +131,7 @@ def open_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def findings_by_path(versions: DataFrame, folder: str, *, path_col: str = "doc_id", text_col: str = "text",
-                     rules: tuple[Rule, ...] = RULES, version: int = RULE_VERSION, fresh: bool = False) -> DataFrame:
+                     rules: tuple[Rule, ...] = RULES, version: int | None = None, fresh: bool = False) -> DataFrame:
     """Bring the ledger in folder up to date, then give (path, blob, spans) for every row of versions.
 
     fresh: the folder does not exist yet. Null and empty texts have no spans; equal rows give equal rows; an
@@ -111,7 +141,7 @@ def findings_by_path(versions: DataFrame, folder: str, *, path_col: str = "doc_i
     ledger = None if fresh else open_ledger(spark, folder)
     ledger_update(versions, ledger, path_col=path_col, text_col=text_col, rules=rules, version=version).write.mode(
         "append").parquet(folder)
-    held = open_ledger(spark, folder).where(F.col("rule_version") == version)
+    held = open_ledger(spark, folder).where(F.col("rule_version") == rules_version(rules, version))
     found = held.where(F.size("spans") > 0).select("blob", "spans")
     return addressed(versions, path_col, text_col).join(found, "blob", "left").select(
         "path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))

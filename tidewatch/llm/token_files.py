@@ -3,7 +3,7 @@
 A file holds, in this order: the ids of all its documents (unsigned little-endian, 2 or 4 bytes), the encoded
 document ends, the encoded document ids, a JSON footer, the footer's length (4 bytes) and the mark. A monotone
 list of n numbers below u takes about 2 + log2(u / n) bits a number; select(i) reads one number through a small
-directory of counts, without a table of 64-bit offsets.
+stored directory of counts, without a table of 64-bit offsets.
 """
 
 from __future__ import annotations
@@ -26,18 +26,20 @@ from tidewatch.llm import shared
 MARK = b"TWTOKEN1"
 #: Bits of the high part that one count of the directory covers.
 BLOCK_BITS = 512
+#: Numbers whose low bits are packed at a time; a multiple of 8.
+SLICE = 65_536
 FILES = "file string, part int, n_docs bigint, n_ids bigint"
 
 
 class EliasFano:
-    """A list of whole numbers that never falls, relative to its first."""
+    """A list of whole numbers that never falls, relative to its first.
 
-    def __init__(self, base: int, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
-        self.base, self.n, self.low_bits, self.low, self.high = base, n, low_bits, low, high
-        ones = np.bitwise_count(high).astype(np.int64)
-        per_block = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK_BITS // 8)) if len(ones) else ones
-        #: Ones before each block: 4 bytes for 512 bits.
-        self.directory = np.concatenate([[0], np.cumsum(per_block)]).astype(np.uint32)
+    directory: the ones of the high part before each block, 4 bytes for 512 bits; it is stored with the list.
+    """
+
+    def __init__(self, base: int, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, directory: np.ndarray) -> None:
+        self.base, self.n, self.low_bits = base, n, low_bits
+        self.low, self.high, self.directory = low, high, directory
 
     @classmethod
     def of(cls, values: np.ndarray) -> "EliasFano":
@@ -46,43 +48,62 @@ class EliasFano:
         offsets = (values.astype(np.int64).view(np.uint64) - np.uint64(base % 2**64)) if n else np.zeros(0, np.uint64)
         top = int(offsets[-1]) if n else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-        low = offsets & np.uint64((1 << low_bits) - 1)
-        bits = ((low[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+        low = np.concatenate([cls._packed(offsets[at:at + SLICE], low_bits) for at in range(0, n, SLICE)] or [np.zeros(0, np.uint8)])
         marks = np.zeros((top >> low_bits) + n + 1, np.uint8)
         marks[(offsets >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
-        return cls(base, n, low_bits, np.packbits(bits.ravel(), bitorder="little"), np.packbits(marks, bitorder="little"))
+        high = np.packbits(marks, bitorder="little")
+        ones = np.bitwise_count(high).astype(np.int64)
+        per_block = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK_BITS // 8))
+        return cls(base, n, low_bits, low, high, np.concatenate([[0], np.cumsum(per_block)]).astype(np.uint32))
+
+    @staticmethod
+    def _packed(offsets: np.ndarray, low_bits: int) -> np.ndarray:
+        """The low bits of some numbers, one after the other; SLICE of them end on a whole byte."""
+        bits = ((offsets[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+        return np.packbits(bits.ravel(), bitorder="little")
 
     def select(self, i: int) -> int:
         """Number i of the list."""
-        block = int(np.searchsorted(self.directory, i, side="right")) - 1
-        start = block * (BLOCK_BITS // 8)
-        bits = np.unpackbits(self.high[start:start + BLOCK_BITS // 8], bitorder="little")
-        place = start * 8 + int(np.flatnonzero(bits)[i - int(self.directory[block])])
-        return self.base + ((place - i) << self.low_bits | self._low(i))
-
-    def _low(self, i: int) -> int:
-        first, last = i * self.low_bits, (i + 1) * self.low_bits
-        piece = int.from_bytes(self.low[first // 8:-(-last // 8)].tobytes(), "little")
-        return piece >> first % 8 & ((1 << self.low_bits) - 1)
-
-    def all(self) -> np.ndarray:
-        """The whole list."""
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.int64)
-        high = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        low = (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return (high + low + np.uint64(self.base % 2**64)).view(np.int64)
+        return int(self.slice(i, i + 1)[0])
+
+    def slice(self, i: int, j: int) -> np.ndarray:
+        """Numbers i to j of the list, from the blocks of the high part that hold their ones and no others."""
+        if j <= i:
+            return np.zeros(0, np.int64)
+        first = int(np.searchsorted(self.directory, i, side="right")) - 1
+        last = int(np.searchsorted(self.directory, j - 1, side="right"))
+        start = first * (BLOCK_BITS // 8)
+        bits = np.unpackbits(self.high[start:last * (BLOCK_BITS // 8)], bitorder="little")
+        skip = i - int(self.directory[first])
+        places = start * 8 + np.flatnonzero(bits)[skip:skip + j - i].astype(np.int64)
+        high = (places - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
+        return (high + self._low(i, j) + np.uint64(self.base % 2**64)).view(np.int64)
+
+    def _low(self, i: int, j: int) -> np.ndarray:
+        first, n = i * self.low_bits, (j - i) * self.low_bits
+        bits = np.unpackbits(self.low[first // 8:-(-(first + n) // 8)], bitorder="little")[first % 8:first % 8 + n]
+        out = np.zeros(j - i, np.uint64)
+        for k in range(self.low_bits):
+            out |= bits[k::self.low_bits].astype(np.uint64) << np.uint64(k)
+        return out
 
     def head(self) -> dict[str, int]:
-        return {"base": self.base, "n": self.n, "low_bits": self.low_bits, "low": len(self.low), "high": len(self.high)}
+        return {"base": self.base, "n": self.n, "low_bits": self.low_bits, "low": len(self.low), "high": len(self.high),
+                "blocks": len(self.directory)}
+
+    @staticmethod
+    def size(head: dict[str, int]) -> int:
+        return head["low"] + head["high"] + 4 * head["blocks"]
 
     @classmethod
     def read(cls, head: dict[str, int], data: bytes) -> "EliasFano":
-        low = np.frombuffer(data, np.uint8, head["low"])
-        return cls(head["base"], head["n"], head["low_bits"], low, np.frombuffer(data, np.uint8, head["high"], head["low"]))
+        low, high = head["low"], head["high"]
+        return cls(
+            head["base"], head["n"], head["low_bits"], np.frombuffer(data, np.uint8, low),
+            np.frombuffer(data, np.uint8, high, low), np.frombuffer(data, "<u4", head["blocks"], low + high))
 
     def tobytes(self) -> bytes:
-        return self.low.tobytes() + self.high.tobytes()
+        return self.low.tobytes() + self.high.tobytes() + self.directory.astype("<u4").tobytes()
 
 
 class WordEncoder:
@@ -157,9 +178,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, id_c
     """Encode all texts, end_id after each, into files in ascending order of ids; one row per file.
 
     Rows are range-partitioned and sorted by id; each partition streams into one file under a name of its own,
-    so a task that runs twice leaves an unused file and never a torn one. Null texts are empty; null ids are
-    not allowed and fail; repeated ids keep all their rows, equal rows in any order. An empty table gives no
-    files. Whole-number ids only.
+    so a task that runs twice leaves an unused file and never a torn one. Null texts are empty; null ids come
+    before all others and are read back as null; repeated ids keep all their rows, equal rows in any order. An
+    empty table gives no files. Whole-number ids only.
     """
     spark = docs.sparkSession
     shared.prepare(spark)
@@ -170,7 +191,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, id_c
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.kept("token_files", tokenizer_path, lambda: WordEncoder(tokenizer_path))
         end = np.array([end_id], own.id_type).tobytes()
-        lengths, ids, out, file = [], [], None, ""
+        lengths, ids, out, file, n_null = [], [], None, "", 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -179,7 +200,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, id_c
                 filesystem.create_dir(path, recursive=True)
                 file = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.tok"
                 out = filesystem.open_output_stream(f"{path}/{file}", compression=None)
-            ids.append(batch.column("id").to_numpy())
+            own_ids = batch.column("id")
+            n_null += own_ids.null_count
+            ids.append(own_ids.drop_null().to_numpy())
             texts = batch.column("text").to_pylist()
             for start in range(0, len(texts), 250):
                 coded = own.encode(texts[start:start + 250])
@@ -188,10 +211,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, id_c
         if out is None:
             return
         ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-        parts = {"ends": EliasFano.of(ends), "docs": EliasFano.of(np.concatenate(ids))}
+        known = np.concatenate(ids)  # rows without an id come first and are told by their number alone
+        parts = {"ends": EliasFano.of(ends), "docs": EliasFano.of(known)}
         for part in parts.values():
             out.write(part.tobytes())
-        footer = json.dumps({"id_bytes": own.id_type.itemsize, "n_ids": int(ends[-1])}
+        footer = json.dumps({"id_bytes": own.id_type.itemsize, "n_ids": int(ends[-1]), "n_null": n_null}
                             | {name: part.head() for name, part in parts.items()}).encode()
         out.write(footer + len(footer).to_bytes(4, "little") + MARK)
         out.close()
@@ -213,17 +237,17 @@ class TokenFile:
             raise ValueError(f"{path} is no token file")
         length = int.from_bytes(tail[:4], "little")
         head = json.loads(self.source.read_at(length, size - 12 - length))
-        self.n_ids, self.id_type = head["n_ids"], np.dtype(f"<u{head['id_bytes']}")
+        self.n_ids, self.n_null, self.id_type = head["n_ids"], head["n_null"], np.dtype(f"<u{head['id_bytes']}")
         at = self.n_ids * self.id_type.itemsize
         lists = []
         for name in ("ends", "docs"):
-            n = head[name]["low"] + head[name]["high"]
+            n = EliasFano.size(head[name])
             lists.append(EliasFano.read(head[name], self.source.read_at(n, at)))
             at += n
         self.ends, self.docs = lists
 
     def __len__(self) -> int:
-        return self.docs.n
+        return self.n_null + self.docs.n
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         width = self.id_type.itemsize
@@ -233,9 +257,30 @@ class TokenFile:
         """The ids of document i, found through select."""
         return self.ids(self.ends.select(i), self.ends.select(i + 1))
 
-
-def read_token_files(files: DataFrame, folder: str, *, piece_ids: int = 4_000_000) -> DataFrame:
-    """One row per document of the files: id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    def documents(self, i: int, j: int) -> pa.Array:
+        """The ids that name documents i to j; null ones first."""
+        none = max(0, min(j, self.n_null) - i)
+        known = self.docs.slice(max(i - self.n_null, 0), max(j - self.n_null, 0))
+        return pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(known, pa.int64())])
+
+    def piece(self, i: int, most_docs: int, most_ids: int) -> int:
+        """Where a piece from document i ends: at most so many documents and ids, one document at least."""
+        start, low, high = self.ends.select(i), i + 1, min(len(self), i + most_docs)
+        while low < high:
+            middle = (low + high + 1) // 2
+            if self.ends.select(middle) - start <= most_ids:
+                low = middle
+            else:
+                high = middle - 1
+        return low
+
+
+def read_token_files(files: DataFrame, folder: str, *, piece_ids: int = 4_000_000, piece_docs: int = 16_384) -> DataFrame:
+    """One row per document of the files: id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    A file is read in pieces whose bounds select finds; a piece's ends and ids are decoded from its own blocks, so
+    no table of a whole file's offsets is made. No files give no rows.
+    """
     spark = files.sparkSession
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
@@ -246,14 +291,14 @@ def read_token_files(files: DataFrame, folder: str, *, piece_ids: int = 4_000_00
             for row in batch.to_pylist():
                 filesystem, path = pafs.FileSystem.from_uri(folder)
                 file = TokenFile(filesystem, f"{path}/{row['file']}")
-                ends, docs = file.ends.all(), file.docs.all()
                 i = 0
-                while i < len(docs):
-                    j = max(i + 1, int(np.searchsorted(ends, ends[i] + piece_ids, side="right")) - 1)
-                    wide = memoryview(file.ids(ends[i], ends[j]).astype("<u4").tobytes())
-                    cut = ((ends[i:j + 1] - ends[i]) * 4).tolist()
+                while i < len(file):
+                    j = file.piece(i, piece_docs, piece_ids)
+                    ends = file.ends.slice(i, j + 1)
+                    wide = memoryview(file.ids(int(ends[0]), int(ends[-1])).astype("<u4").tobytes())
+                    cut = ((ends - ends[0]) * 4).tolist()
                     yield pa.RecordBatch.from_pydict({
-                        "id": docs[i:j], "start": ends[i:j] + row["base"], "n_tokens": np.diff(ends[i:j + 1]),
+                        "id": file.documents(i, j), "start": ends[:-1] + row["base"], "n_tokens": np.diff(ends),
                         "ids_crc32": pa.array([zlib.crc32(wide[a:b]) for a, b in zip(cut, cut[1:])], pa.int64())})
                     i = j
 
