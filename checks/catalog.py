@@ -97,6 +97,15 @@ class Views:
     def references(self):
         return self._tables.view(views.REFERENCES)
 
+    @cached_property
+    def orphan_state(self):
+        """The counts of all records after each has changed once: as they were, minus that, plus as they are."""
+        former = self.references.withColumns(
+            {"data_id": F.concat("data_id", F.lit("-old")), "location": F.lit(None).cast("string")}
+        )
+        loads = [orphans.edge_counts(rows, sign) for rows, sign in ((former, 1), (former, -1), (self.references, 1))]
+        return orphans.OrphanState(orphans.merged_counts(*loads))
+
     @cached_property
     def opportunities(self):
         return self._tables.view(views.OPPORTUNITIES)
@@ -243,6 +252,7 @@ _CATALOG: dict[str, Callable[[Views], DataFrame]] = {
     "orphaned_children_by_kind": lambda v: orphans.orphaned_children_by_kind(v.references, ORPHANS),
     "orphaned_missing_parents": lambda v: orphans.missing_parents(v.references, ORPHANS),
     "orphaned_missing_parents_all": lambda v: orphans.missing_parents(v.references, ORPHANS, evidence_size=None),
+    "orphaned_children_from_changes": lambda v: orphans.orphaned_children(v.orphan_state, v.dataset_names, ORPHANS),
     "single_feed_stalls": lambda v: stalls.single_feed_stalls(
         v.ingestion, v.feed_names, v.dataset_names, AS_OF, STALLS
     ),

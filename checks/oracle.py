@@ -840,3 +840,4 @@ ORACLE["history_trends"] = " UNION ALL ".join(
         ("feed_ingestion_error", "feed_ingestion_error_trend"), ("dataset_future_decline", "dataset_future_decline_trend"),
     )
 )
+ORACLE["orphaned_children_from_changes"] = ORACLE["orphaned_children"]

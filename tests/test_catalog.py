@@ -1,6 +1,9 @@
 """Every registered query against its SQL, and the shape of the plans."""
 
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -15,6 +18,7 @@ from tidewatch.plans import estate, growth, public
 from tidewatch.sources.warehouse import Warehouse
 
 SMALL = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[1]
 
 
 def test_every_query_has_sql():
@@ -170,3 +174,12 @@ def test_the_log_is_not_sorted_before_it_is_reduced(spark, stored, no_names):
 def test_unknown_tables_are_refused(stored):
     with pytest.raises(KeyError, match="unknown table"):
         stored.table("nothing")
+
+
+def test_the_entry_does_without_what_cannot_be_imported():
+    """A package that the training-data operators need is missing: the other queries are still there."""
+    code = (
+        "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; "
+        "q = e.queries(); assert 'orphaned_children' in q and e.oracle_sql().keys() == q.keys(), q.keys()"
+    )
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True).stderr == ""

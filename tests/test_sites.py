@@ -1,7 +1,7 @@
 import pytest
 
 from tidewatch.plans.sites import site_mappings
-from tidewatch.sources.site_csv import COLUMNS, load_site_mappings
+from tidewatch.sources.site_csv import COLUMNS, load_site_mappings, read_headers
 
 
 @pytest.fixture
@@ -43,6 +43,25 @@ def test_a_folder_of_files_with_headers_of_their_own(spark, tmp_path):
         load_site_mappings(spark, str(tmp_path))
 
 
+def test_headers_are_read_from_the_beginning_of_files(spark, tmp_path):
+    rows = "".join(f"{n},name,{'x' * 200}\n" for n in range(60_000))
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("\nsite_id,match_method,site_name\n" + rows)
+    context = spark.sparkContext
+    context.setJobGroup("headers", "headers")
+    try:
+        headers = read_headers(spark, str(tmp_path))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for job in tracker.getJobIdsForGroup("headers") for s in tracker.getJobInfo(job).stageIds}
+    read = sum(store.lastStageAttempt(s).inputBytes() for s in stages)
+    assert len(headers) == 2 and set(headers.values()) == {"site_id,match_method,site_name"}
+    assert 0 < read < 0.2 * 2 * len(rows)
+    given = {file: header for file, header in headers.items() if file.endswith("a.csv")}
+    assert load_site_mappings(spark, str(tmp_path), given).count() == 60_000
+
+
 def test_blank_cells_are_null_or_empty(load):
     names = list(COLUMNS)
     row = load(",".join(names) + "\n7" + "," * (len(names) - 1)).collect()[0].asDict()

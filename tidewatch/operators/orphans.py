@@ -4,10 +4,15 @@ One scan and one wide shuffle: each record offers the id it publishes and, when
 child, the id it refers to; both are grouped by (dataset, id).  Grouping on the id as well
 spreads a large dataset over many tasks, and a parent with many children is reduced on the
 map side.
+
+The counts by (dataset, id) can be kept between runs (``tidewatch.sources.orphan_store``): records that come, go or
+change add and take away from them, so a daily run shuffles its changes instead of all records.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +32,20 @@ def _parent_reference(column: str) -> Column:
     return F.btrim(json_string(F.col(column)), F.lit('"'))
 
 
-def reference_edges(opportunities: DataFrame) -> DataFrame:
-    """(dataset_id, ref_id, named, present, kind, children, unplaced) per id and child kind.
+#: The counts of a (dataset, id): records that publish it, children of each kind that refer to it, and those of
+#: them without a location.  Records that go have theirs taken away.
+COUNTS = ("published", *(f"{count}_{i}" for i in range(len(CHILD_KINDS)) for count in ("children", "unplaced")))
 
-    ``children`` counts the kind's child records referring to ``ref_id`` (not ``named``: they
-    refer to none), ``unplaced`` those of them without a location, ``present`` tells whether
-    the dataset publishes a record with that id.
-    """
+
+@dataclass(frozen=True)
+class OrphanState:
+    """Stored counts, (dataset_id, ref_id, *COUNTS)."""
+
+    counts: DataFrame
+
+
+def edge_counts(opportunities: DataFrame, sign: int = 1) -> DataFrame:
+    """(dataset_id, ref_id, named, *COUNTS) of records; of ones that are gone with ``sign`` -1."""
     is_child = F.col("kind").isin(*CHILD_KINDS)
     published = F.when(
         F.col("data_id").isNotNull(),
@@ -41,7 +53,7 @@ def reference_edges(opportunities: DataFrame) -> DataFrame:
             F.col("data_id").alias("ref_id"),
             F.lit(None).cast("string").alias("child_kind"),
             F.lit(False).alias("unplaced"),
-            F.lit(True).alias("present"),
+            F.lit(True).alias("publishes"),
         ),
     )
     referring = F.when(
@@ -50,7 +62,7 @@ def reference_edges(opportunities: DataFrame) -> DataFrame:
             _parent_reference("has_superEvent").alias("ref_id"),
             F.col("kind").alias("child_kind"),
             is_empty_json(F.col("location")).alias("unplaced"),
-            F.lit(False).alias("present"),
+            F.lit(False).alias("publishes"),
         ),
     )
     offered = opportunities.where(
@@ -60,21 +72,51 @@ def reference_edges(opportunities: DataFrame) -> DataFrame:
         F.inline(F.array(published, referring)),
     )
     # The half a record does not have comes out as a row of nulls.
-    offered = offered.where(F.col("present").isNotNull())
-    of_kind = [
-        (kind, F.col("child_kind") == kind) for kind in CHILD_KINDS
-    ]
-    grouped = offered.groupBy("dataset_id", "ref_id").agg(
+    offered = offered.where(F.col("publishes").isNotNull())
+
+    def signed(test: Column) -> Column:
+        return F.count_if(test) * sign
+
+    return offered.groupBy("dataset_id", "ref_id").agg(
         # As an aggregate the test stays above the shuffle, so every user of these edges can
         # share it.
         F.bool_or(F.col("ref_id").isNotNull()).alias("named"),
-        F.bool_or("present").alias("present"),
-        *[F.count_if(match).alias(f"children_{i}") for i, (_, match) in enumerate(of_kind)],
+        signed(F.col("publishes")).alias("published"),
         *[
-            F.count_if(match & F.col("unplaced")).alias(f"unplaced_{i}")
-            for i, (_, match) in enumerate(of_kind)
+            column
+            for i, kind in enumerate(CHILD_KINDS)
+            for column in (
+                signed(F.col("child_kind") == kind).alias(f"children_{i}"),
+                signed((F.col("child_kind") == kind) & F.col("unplaced")).alias(f"unplaced_{i}"),
+            )
         ],
     )
+
+
+def merged_counts(*counts: DataFrame) -> DataFrame:
+    """(dataset_id, ref_id, *COUNTS) of all of them together, without the ids of which nothing is left."""
+    names = ("dataset_id", "ref_id", *COUNTS)
+    united = counts[0].select(*names)
+    for other in counts[1:]:
+        united = united.unionByName(other.select(*names))
+    summed = united.groupBy("dataset_id", "ref_id").agg(*[F.sum(name).alias(name) for name in COUNTS])
+    left = F.col("published") != 0
+    for name in COUNTS[1:]:
+        left = left | (F.col(name) != 0)
+    return summed.where(left)
+
+
+def reference_edges(opportunities: DataFrame | OrphanState) -> DataFrame:
+    """(dataset_id, ref_id, named, present, kind, children, unplaced) per id and child kind.
+
+    ``children`` counts the kind's child records referring to ``ref_id`` (not ``named``: they
+    refer to none), ``unplaced`` those of them without a location, ``present`` tells whether
+    the dataset publishes a record with that id.
+    """
+    if isinstance(opportunities, OrphanState):
+        grouped = opportunities.counts.withColumn("named", F.col("ref_id").isNotNull())
+    else:
+        grouped = edge_counts(opportunities)
     per_kind = F.array(
         *[
             F.struct(
@@ -85,9 +127,8 @@ def reference_edges(opportunities: DataFrame) -> DataFrame:
             for i, kind in enumerate(CHILD_KINDS)
         ]
     )
-    return grouped.select("dataset_id", "ref_id", "named", "present", F.inline(per_kind)).where(
-        F.col("children") > 0
-    )
+    present = (F.col("published") > 0).alias("present")
+    return grouped.select("dataset_id", "ref_id", "named", present, F.inline(per_kind)).where(F.col("children") > 0)
 
 
 def _missing() -> Column:
@@ -121,7 +162,7 @@ def orphaned_datasets(counts: DataFrame, thresholds: OrphanThresholds = OrphanTh
 
 
 def orphaned_children(
-    opportunities: DataFrame,
+    opportunities: DataFrame | OrphanState,
     dataset_names: DataFrame,
     thresholds: OrphanThresholds = OrphanThresholds(),
 ) -> DataFrame:
@@ -135,7 +176,7 @@ def orphaned_children(
 
 
 def orphaned_children_by_kind(
-    opportunities: DataFrame, thresholds: OrphanThresholds = OrphanThresholds()
+    opportunities: DataFrame | OrphanState, thresholds: OrphanThresholds = OrphanThresholds()
 ) -> DataFrame:
     """Counts per child kind of the reported datasets, worst kind first."""
     counts = kind_counts(reference_edges(opportunities))
@@ -149,7 +190,7 @@ def orphaned_children_by_kind(
 
 
 def missing_parents(
-    opportunities: DataFrame,
+    opportunities: DataFrame | OrphanState,
     thresholds: OrphanThresholds = OrphanThresholds(),
     evidence_size: int | None = EVIDENCE_SIZE,
 ) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch import schemas
+from tidewatch.sources.part_store import PartStore
+
 # Columns a change overwrites, all of them: what a change leaves out becomes null.
 WRITABLE = (
     "publisher_id",
@@ -106,3 +109,38 @@ def merge_notifications(current: DataFrame, changes: DataFrame, now: Column) ->
 def write_snapshot(snapshot: DataFrame, path: str) -> None:
     """Write the merged snapshot to a new folder; an existing one is refused, not replaced."""
     snapshot.write.mode("errorifexists").parquet(path)
+
+
+@dataclass(frozen=True)
+class NotificationStore:
+    """The snapshot in hash buckets of the id; a merge reads and rewrites the buckets of the changed ids alone.
+
+    ``buckets`` stays what it was at the first write.
+    """
+
+    spark: SparkSession
+    folder: str
+    buckets: int = 64
+
+    def _store(self) -> PartStore:
+        return PartStore(self.spark, self.folder, schemas.TABLES["publisher_notifications"])
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("string")
+
+    def current(self) -> DataFrame:
+        return self._store().read()
+
+    def merge(self, changes: DataFrame, now: Column, batch: str | None = None) -> DataFrame:
+        """Apply a batch of changes and give their outcomes, judged against the version before.
+
+        A batch whose name was merged before is not merged again and gives no outcomes.
+        """
+        store = self._store()
+        before = store.snapshot()
+        if batch is not None and batch in before.batches:
+            return merge_notifications(store.read(before, ()), changes.limit(0), now).outcomes
+        touched = [r.part for r in changes.select(self._bucket().alias("part")).distinct().collect()]  # at most buckets
+        merged = merge_notifications(store.read(before, touched), changes, now)
+        store.replace(before, merged.snapshot, self._bucket(), touched, batch)
+        return merged.outcomes

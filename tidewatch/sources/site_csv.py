@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,19 +98,27 @@ def _columns(header: str) -> list[str]:
     return names
 
 
-def load_site_mappings(spark: SparkSession, path: str) -> DataFrame:
+def read_headers(spark: SparkSession, path: str) -> dict[str, str]:
+    """The first line of each CSV file, or of all files of a folder, that is not blank; files without one are left out.
+
+    The files are listed without being read, and of each no more than the beginning: the one task that looks for its
+    header stops at the first line it finds.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path").collect()  # a row a file
+    found = {r.path: spark.read.text(r.path).where(F.btrim("value") != "").first() for r in files}
+    return {file: row.value for file, row in found.items() if row is not None}
+
+
+def load_site_mappings(spark: SparkSession, path: str, headers: Mapping[str, str] | None = None) -> DataFrame:
     """Read the CSV file, or all CSV files of a folder, by header name.
 
-    The header lines (one line each, without line breaks in their cells) are fetched to name the
-    columns; files of one header are read together, and the rows themselves by Spark.  A file is one
-    task, since its cells may hold line breaks.
+    The header lines (one line each, without line breaks in their cells) name the columns; a caller who knows them
+    gives them by file, else they are read.  Files of one header are read together, and the rows themselves by
+    Spark.  A file is one task, since its cells may hold line breaks.
     """
-    lines = spark.read.text(path).where((F.btrim("value") != "") & (F.col("_metadata.file_block_start") == 0))
-    numbered = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
-    headers = numbered.groupBy("file").agg(F.min_by("value", "n").alias("header"))
     files: dict[str, list[str]] = {}
-    for row in headers.collect():
-        files.setdefault(row.header, []).append(row.file)
+    for file, header in (read_headers(spark, path) if headers is None else headers).items():
+        files.setdefault(header, []).append(file)
     if not files:
         empty = T.StructType([T.StructField(name, T.StringType()) for name in COLUMNS])
         return site_mappings_from_text(spark.createDataFrame([], empty))
