@@ -238,6 +238,23 @@ def test_sharding(documents):
     assert sorted((r.shard, r.slot) for r in few)[-1][1] == 2
 
 
+def test_a_large_group_of_near_copies(spark, documents, monkeypatch):
+    """Chunks and blocks far smaller than the group: all links are found, and near copies move once."""
+    for name, size in (("BLOCK_DOCS", 7), ("BLOCK_SHINGLES", 500)):
+        monkeypatch.setattr(near_duplicates, name, size)
+    base = [f"w{k}" for k in range(60)]
+
+    def text(*changes):
+        return " ".join({**dict(enumerate(base)), **dict(changes)}.values())
+
+    near = [(i, text((i % 60, f"x{i}"))) for i in range(120)]
+    # A chain away from the centre: each is linked to the one before it only.
+    chain = [(1000 + i, text(*((k, f"y{k}") for k in range(0, 4 * i, 2)))) for i in range(8)]
+    rows = near + chain + [(2000 + i, f"other text {i} " * 9) for i in range(5)] + near[:9]
+    same(listed(near_duplicates.grouped_documents(documents(rows), shingle_words=4), "id", "n_shingles", "component", "kept"),
+         [r for r in brute.groups(rows, 4)] + [r for r in brute.groups(rows, 4) if r[0] < 9])
+
+
 def test_near_duplicates(documents, docs):
     same(listed(near_duplicates.grouped_documents(docs, shingle_words=4), "id", "n_shingles", "component", "kept"),
          brute.groups(DOCS, 4))

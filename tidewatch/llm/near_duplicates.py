@@ -6,10 +6,13 @@ the registers by hash would leave most of a short text's registers empty. Four r
 band's key is 64 bits; with 32 bands, a pair at similarity 0.8 shares none with probability 5e-8.
 
 Documents with equal shingle sets form a class, and only the class's first document goes on. Those that share a
-band's key form a bucket; each is sent to the bucket's smallest member, its centre, once for all bands. A task
-takes a centre's documents, keeps the pairs whose estimate is high enough, confirms these on the full shingle
-sets, and returns the confirmed links that join its parts. Large groups are cut into blocks, and tasks take pairs
-of blocks. No pairs leave a task but links.
+band's key form a bucket; each is sent to the bucket's smallest member, its centre, once for all bands. Every
+member is compared with the centre first, in one pass over chunks of the group that each get the centre's text; a
+group of near copies is done with that, and its texts have moved once. The members not linked to the centre, if
+any, are then compared with one another and with the linked ones: tasks take pairs of blocks with such members on
+one side at least, keep the pairs whose estimate is high enough, confirm these on the full shingle sets, and return
+the confirmed links that join their parts. Two members linked to the centre are joined already and need no
+comparison. No pairs leave a task but links.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import shared
@@ -209,20 +212,100 @@ def _star_pairs(firsts: DataFrame) -> DataFrame:
     return keys.join(centres, ["band", "key"]).select("centre", "id", "hash").distinct()
 
 
-def _links(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, size: int,
-           percent: int) -> DataFrame:
-    """Confirmed links (u, v) within the groups of centres."""
+def _near_centres(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, size: int,
+                  percent: int) -> DataFrame:
+    """(centre, id, hash, n_shingles, linked) for each member of a group but the centre's own rows."""
     weighed = pairs.join(firsts.select("id", "hash", "n_shingles"), ["id", "hash"])
-    groups = weighed.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).select(
-        "centre", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("weight") / BLOCK_SHINGLES)).alias("blocks"))
-    own = F.pmod(F.xxhash64("id", "hash"), F.col("blocks"))
-    dealt = pairs.join(groups, "centre").withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "id", "hash", "centre", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
-    dealt = shared.written(dealt, "dealt")
+    groups = shared.written(weighed.groupBy("centre").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).select(
+        "centre", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("weight") / BLOCK_SHINGLES)).alias("chunks")), "groups")
+    own = F.pmod(F.xxhash64("id", "hash"), F.col("chunks"))
+    is_centre = F.col("id") == F.col("centre")
+    chunks = F.when(is_centre, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own))
+    dealt = shared.written(pairs.join(groups, "centre").select(
+        "id", "hash", "centre", (~is_centre).alias("member"), F.explode(chunks).alias("chunk")), "dealt")
     # a merge at every size: the ids to look up grow with the corpus, and the plan should not change with it
-    rows = dealt.join(_texts(docs, id_col, text_col).hint("merge"), ["id", "hash"]).drop("hash").repartition("centre", "low", "high").sortWithinPartitions(
-        "centre", "low", "high", "id")
+    rows = dealt.join(_texts(docs, id_col, text_col).hint("merge"), ["id", "hash"]).repartition(
+        "centre", "chunk").sortWithinPartitions("centre", "chunk", "member", "id")
+    least = percent / 100 - SLACK * np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
+
+    def judged(runs: list[tuple[list[np.ndarray], list[tuple]]]) -> Iterator[tuple]:
+        """Members with their verdicts, by estimate first, then on the full sets; runs: texts of a centre, members."""
+        signs = registers([m[3] for _, members in runs for m in members])
+        own_signs = registers([c for centres, _ in runs for c in centres])
+        at = own_at = 0
+        for centres, members in runs:
+            sets = [m[3] for m in members]
+            sizes, linked, sign = np.array([len(s) for s in sets]), np.zeros(len(sets), bool), signs[at:at + len(sets)]
+            for centre in centres:
+                may = ~linked & (100 * np.minimum(sizes, len(centre)) >= percent * np.maximum(sizes, len(centre)))
+                if may.any():
+                    may[may] = estimates(own_signs[own_at], len(centre), sign[may], sizes[may]) >= least
+                for k in np.flatnonzero(may).tolist():
+                    common = len(np.intersect1d(sets[k], centre, assume_unique=True))
+                    linked[k] = 100 * common >= percent * (len(sets[k]) + len(centre) - common)
+                own_at += 1
+            at += len(sets)
+            yield from ((*m[:3], len(m[3]), yes) for m, yes in zip(members, linked.tolist()))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, centres = None, []
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            columns = [batch.column(c).to_pylist() for c in ("centre", "chunk", "member", "id", "hash")]
+            runs: list[tuple[list[np.ndarray], list[tuple]]] = []
+            for centre, chunk, member, own_id, own_hash, text in zip(*columns, batch.column("text").cast(pa.binary())):
+                own_set = shingle_set(text.as_py() or b"", size)
+                if (centre, chunk) != key:
+                    key, centres = (centre, chunk), []
+                if not len(own_set):
+                    continue
+                if not member:
+                    centres.append(own_set)
+                else:
+                    if not runs or runs[-1][0] is not centres:
+                        runs.append((centres, []))
+                    runs[-1][1].append((centre, own_id, own_hash, own_set))
+            if runs:
+                out = list(judged(runs))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*out), near_schema)], schema=near_schema)
+
+    near_kind = "centre bigint, id bigint, hash bigint, n_shingles bigint, linked boolean"
+    near_schema = shared.arrow_schema(near_kind)
+    # texts of one id with one hash may come more than once; they are one
+    return rows.mapInArrow(compare, near_kind).groupBy("centre", "id", "hash").agg(
+        F.max("n_shingles").alias("n_shingles"), F.bool_and("linked").alias("linked"))
+
+
+def _links(near: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """Confirmed links (u, v) of the members that are not linked to their centre, within its group."""
+    sizes = near.groupBy("centre").agg(*(
+        column for name, test in (("far", ~F.col("linked")), ("close", F.col("linked"))) for column in (
+            F.count_if(test).alias(f"{name}_n"), F.sum(F.when(test, F.col("n_shingles")).otherwise(0)).alias(f"{name}_w"))))
+
+    def blocks(name: str) -> Column:
+        return F.ceil(F.greatest(F.col(f"{name}_n") / BLOCK_DOCS, F.col(f"{name}_w") / BLOCK_SHINGLES)).alias(name)
+
+    groups = shared.written(sizes.where("far_n > 0 and far_n + close_n > 1").select(
+        "centre", blocks("far"), blocks("close")), "far")
+    none = F.array().cast("array<struct<low:bigint,high:bigint>>")
+    spread = F.xxhash64("id", "hash")
+    far_own, close_own = F.pmod(spread, F.col("far")), F.col("far") + F.pmod(spread, F.greatest("close", F.lit(1)))
+    each_far = F.sequence(F.lit(0).cast("long"), F.col("far") - 1)
+    each_close = F.when(F.col("close") > 0, F.sequence(F.col("far"), F.col("far") + F.col("close") - 1)).otherwise(
+        F.array().cast("array<bigint>"))
+
+    def keys(others: Column, own: Column) -> Column:
+        return F.transform(others, lambda k: F.struct(F.least(own, k).alias("low"), F.greatest(own, k).alias("high")))
+
+    dealt = near.join(groups, "centre").select(
+        "id", "hash", "centre", F.when(F.col("linked"), close_own).otherwise(far_own).alias("own"), "far", "close", "linked")
+    placed = F.when(F.col("linked"), keys(each_far, F.col("own"))).otherwise(
+        F.concat(keys(each_far, F.col("own")), keys(each_close, F.col("own"))))
+    dealt = shared.written(dealt.select(
+        "id", "hash", "centre", "own", F.inline(F.coalesce(placed, none))), "dealt_far")
+    rows = dealt.join(_texts(docs, id_col, text_col).hint("merge"), ["id", "hash"]).drop("hash").repartition(
+        "centre", "low", "high").sortWithinPartitions("centre", "low", "high", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
@@ -273,7 +356,10 @@ def grouped_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             "r.id", "r.hash", "r.n_shingles", "r.set_a", "r.set_b", "r.bands").dropDuplicates(
             ["id", "set_a", "set_b", "bands"]).drop("set_a", "set_b"), "firsts")
     pairs = shared.written(_star_pairs(firsts), "pairs")
-    links = shared.written(_links(pairs, docs, firsts, id_col, text_col, shingle_words, percent), "links")
+    near = shared.written(_near_centres(pairs, docs, firsts, id_col, text_col, shingle_words, percent), "near")
+    links = shared.written(
+        near.where("linked and id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).unionByName(
+            _links(near, docs, id_col, text_col, shingle_words, percent)), "links")
     several = shared.written(rows.where("id is not null").groupBy("id").agg(
         F.min("set_a").alias("a"), F.max("set_a").alias("c"), F.min("set_b").alias("b"), F.max("set_b").alias("d"),
         F.count(F.lit(1)).alias("n"), F.count("set_a").alias("m")).where("a <> c or b <> d or m < n").select("id"), "several")
