@@ -46,7 +46,7 @@ def op1_fused_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             *(column.alias(name) for name, column in evidence.items())))
     found = language.identified(
         rows, language.trained(docs), text_col="text", host=F.col("host"), domain=F.col("domain"),
-        suffix=F.col("suffix"), declared=F.col("declared"))
+        suffix=F.col("suffix"), declared=F.col("declared"), keep=("doc_id", "page_id"))
     return found.select(
         "doc_id", "page_id", "language", F.round("confidence", 6).alias("confidence"),
         ((F.col("language") != language.UNDETERMINED) & (F.col("confidence") >= 0.5)).alias("kept"))
