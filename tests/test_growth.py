@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 
@@ -137,3 +138,38 @@ def test_crawled_follows_from_the_month_before(spark):
         assert now.datasets_crawled == (
             now.datasets_with_future + now.datasets_without_future + now.datasets_not_ingested
         )
+
+
+def test_ten_years_of_months_against_sets(spark, no_names):
+    """Bitmaps of two words: every figure of 120 months equals that of plain sets."""
+    rng, as_of, months = random.Random(9), dt.date(2026, 8, 31), 120
+    starts = [growth.shift_month(dt.date(2026, 8, 1), -back) for back in range(months, -1, -1)]
+    crawls, runs, sets = [], [], {m: {n: set() for n in ("listed", "ran", "changed", "future", "ok")} for m in starts}
+    for m in starts:
+        here = sets[m]
+        here["listed"] = {f"d{n}" for n in range(15) if rng.random() < 0.5}
+        crawls.append(dict(ingestion_date=at(m + dt.timedelta(days=rng.randrange(28))), datasets=json.dumps(sorted(here["listed"]))))
+        for name in [f"d{n}" for n in range(15) if rng.random() < 0.5] + ["", None]:
+            failed, changed, future = rng.random() < 0.5, rng.choice([0, 0, 4]), rng.choice([0, None, 7])
+            runs.append(dict(ingestion_date=at(m + dt.timedelta(days=rng.randrange(28))), dataset_id=name, updated=changed,
+                             status="ERROR" if failed else "COMPLETE", total_future_opportunities=future))
+            if name:
+                here["ran"].add(name)
+                here["changed"] |= {name} if changed else set()
+                here["future"] |= {name} if future else set()
+                here["ok"] |= set() if failed else {name}
+    tables = table(spark, "feed_ingestion", crawls), table(spark, "opportunity_ingestion", runs)
+    got = growth.ecosystem_growth(*tables, as_of, months).collect()
+    want, listed = [], set()
+    for before, m in zip(starts, starts[1:]):
+        x, now, then = sets[m], sets[m]["listed"] | sets[m]["ran"], sets[before]["listed"] | sets[before]["ran"]
+        stopped = x["ran"] - x["changed"]
+        figures = dict(added=now - then, removed=then - now, with_future=x["ran"] & x["future"], without_future=x["ran"] - x["future"],
+                       stopped=stopped, stopped_all_runs_failed=stopped - x["ok"], not_ingested=now - x["ran"])
+        want.append((m, len(now), *(len(figures[n]) for n in growth.FIGURES)))
+        listed |= {(m, n, d) for n in growth.LISTED_FIGURES for d in figures[n]}
+    assert [(r.period_start, r.datasets_crawled, *(r[f"datasets_{n}"] for n in growth.FIGURES)) for r in got] == want
+    rows = growth.ecosystem_growth_datasets(*tables, no_names[1], as_of, months).collect()
+    assert {(r.period_start, r.figure, r.dataset_url) for r in rows} == listed and len(rows) == len(listed)
+    bitmaps = growth.dataset_bitmaps(*tables, starts[0], as_of)
+    assert bitmaps.count() == 15 and len(bitmaps.first().crawled) == 2
