@@ -289,3 +289,31 @@ def codes(rows, parts=8, entries=16, rounds=6, scale=4096):
     digest = sha(",".join(str(x) for book in books for e in book for x in e))
     return [(vec, "".join(f"{k:02x}" for _, k in f), e, sums[label], digest)
             for (vec, label, _), f, e in zip(kept, found, errors)]
+
+
+def kept_text(text):
+    """op 6's verdict beyond the base: whether the lines that pass keep half of the characters of lines with words."""
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+
+    def passes(line):
+        n = len(WORD.findall(line))
+        menu = len(re.findall(r"[|›»•·]|\s>\s|\s/\s", line, re.ASCII))
+        ends = re.search(r"""[.!?…:;。！？]["'”’»)\]]*\s*$""", line, re.ASCII)
+        stock = re.search(
+            r"\b(all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|enable javascript"
+            r"|click here|sign up|subscribe to|log in|skip to content|share (this|on)|lorem ipsum|copyright \(c\)|©)", line, re.I | re.ASCII)
+        return (ends or n >= 4) and not (menu >= 2 and menu >= 0.3 * n) and not stock
+
+    return sum(map(len, filter(passes, lines))) >= 0.5 * sum(map(len, lines))
+
+
+MORE_SECRETS = {
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "prefixed": r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})",
+    "url_login": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]{3,}@",
+}
+
+
+def more_secrets(text):
+    return sorted((m.start(), kind, m.end()) for kind, p in MORE_SECRETS.items() for m in re.finditer(p, text or "", re.ASCII))

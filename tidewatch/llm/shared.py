@@ -7,7 +7,9 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -22,6 +24,7 @@ BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 _LOCAL: dict[str, str] = {}
+_SCRATCH: ContextVar[str | None] = ContextVar("tidewatch_scratch", default=None)
 _KEPT: dict = {}
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -31,8 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors see.
 
     Where the setting is missing, a local session (tests) gets a temporary folder; a cluster is an error,
-    since no machine-local folder would do there.
+    since no machine-local folder would do there. Within scratch() it lies in the folder of that.
     """
+    if outer := _SCRATCH.get():
+        return f"{outer}/{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -48,6 +53,19 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for what is written within; it is removed at the end, when all results must have been stored elsewhere."""
+    folder = shared_folder(spark)
+    token = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(name: str, *frames: DataFrame) -> str:
     """name, with underscores added until no frame has such a column in any case."""
     taken = {c.lower() for frame in frames for c in frame.columns}
