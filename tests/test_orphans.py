@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import table
 from tidewatch.operators import orphans
@@ -154,3 +155,13 @@ def test_counts_equal_a_plain_evaluation(spark, no_names):
     } == {k: (a, b, c, len(d)) for k, (a, b, c, d) in want.items()}
     for r in got:
         assert r.orphan_count <= r.checked_count <= r.child_count
+
+
+def test_ids_are_spread_however_few_shuffle_partitions_there_are(spark):
+    rows = child("a", "gone") + parents("a", *[f"p{n}" for n in range(2000)])
+    frame = opportunities(spark, rows)
+    summed = orphans.merged_counts(orphans.edge_counts(frame), orphans.edge_counts(frame, -1), orphans.edge_counts(frame))
+    by_task = summed.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in by_task) == 2001 and max(r["count"] for r in by_task) < 60
+    before_shuffle = summed._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
+    assert len(before_shuffle) == 2 and "Aggregate" not in before_shuffle[1]

@@ -2,8 +2,9 @@
 
 One scan and one wide shuffle: each record offers the id it publishes and, when it is a
 child, the id it refers to; both are grouped by (dataset, id).  Grouping on the id as well
-spreads a large dataset over many tasks, and a parent with many children is reduced on the
-map side.
+spreads a large dataset over many tasks.  Nearly every id is one of its own, so the rows are
+dealt out over ``ID_PARTITIONS`` tasks as they are: no task before the shuffle holds ids, and
+one after it holds its share of them once.
 
 The counts by (dataset, id) can be kept between runs (``tidewatch.sources.orphan_store``): records that come, go or
 change add and take away from them, so a daily run shuffles its changes instead of all records.
@@ -36,6 +37,9 @@ def _parent_reference(column: str) -> Column:
 #: them without a location.  Records that go have theirs taken away.
 COUNTS = ("published", *(f"{count}_{i}" for i in range(len(CHILD_KINDS)) for count in ("children", "unplaced")))
 
+#: Tasks that ids are dealt out over, at least; up to 200 Spark writes them out without keeping rows in memory.
+ID_PARTITIONS = 200
+
 
 @dataclass(frozen=True)
 class OrphanState:
@@ -45,65 +49,58 @@ class OrphanState:
 
 
 def edge_counts(opportunities: DataFrame, sign: int = 1) -> DataFrame:
-    """(dataset_id, ref_id, named, *COUNTS) of records; of ones that are gone with ``sign`` -1."""
+    """(dataset_id, ref_id, *COUNTS) of records, of ones that are gone with ``sign`` -1.
+
+    An id comes once for each record that publishes it or refers to it; ``merged_counts`` adds its rows up.
+    """
     is_child = F.col("kind").isin(*CHILD_KINDS)
-    published = F.when(
-        F.col("data_id").isNotNull(),
-        F.struct(
-            F.col("data_id").alias("ref_id"),
-            F.lit(None).cast("string").alias("child_kind"),
-            F.lit(False).alias("unplaced"),
-            F.lit(True).alias("publishes"),
-        ),
-    )
-    referring = F.when(
-        is_child,
-        F.struct(
-            _parent_reference("has_superEvent").alias("ref_id"),
-            F.col("kind").alias("child_kind"),
-            is_empty_json(F.col("location")).alias("unplaced"),
-            F.lit(False).alias("publishes"),
-        ),
-    )
+
+    def counted(test: Column) -> Column:
+        return F.when(test, F.lit(sign)).otherwise(0).cast("bigint")
+
+    def half(ref_id: Column, publishes: bool) -> Column:
+        tests = [F.lit(publishes)]
+        for kind in CHILD_KINDS:
+            of_kind = F.lit(False) if publishes else F.col("kind") == kind
+            tests += [of_kind, of_kind & is_empty_json(F.col("location"))]
+        return F.struct(ref_id.alias("ref_id"), *[counted(t).alias(name) for name, t in zip(COUNTS, tests)])
+
     offered = opportunities.where(
         not_blank(F.col("dataset_url")) & (F.col("data_id").isNotNull() | is_child)
     ).select(
         F.col("dataset_url").alias("dataset_id"),
-        F.inline(F.array(published, referring)),
+        F.inline(
+            F.array(
+                F.when(F.col("data_id").isNotNull(), half(F.col("data_id"), True)),
+                F.when(is_child, half(_parent_reference("has_superEvent"), False)),
+            )
+        ),
     )
     # The half a record does not have comes out as a row of nulls.
-    offered = offered.where(F.col("publishes").isNotNull())
+    return offered.where(F.col("published").isNotNull())
 
-    def signed(test: Column) -> Column:
-        return F.count_if(test) * sign
 
-    return offered.groupBy("dataset_id", "ref_id").agg(
+def _summed(*counts: DataFrame) -> DataFrame:
+    """(dataset_id, ref_id, named, *COUNTS) of all of them together, grouped once."""
+    names = ("dataset_id", "ref_id", *COUNTS)
+    united = counts[0].select(*names)
+    for other in counts[1:]:
+        united = united.unionByName(other.select(*names))
+    tasks = max(ID_PARTITIONS, int(united.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return united.repartition(tasks, "dataset_id", "ref_id").groupBy("dataset_id", "ref_id").agg(
         # As an aggregate the test stays above the shuffle, so every user of these edges can
         # share it.
         F.bool_or(F.col("ref_id").isNotNull()).alias("named"),
-        signed(F.col("publishes")).alias("published"),
-        *[
-            column
-            for i, kind in enumerate(CHILD_KINDS)
-            for column in (
-                signed(F.col("child_kind") == kind).alias(f"children_{i}"),
-                signed((F.col("child_kind") == kind) & F.col("unplaced")).alias(f"unplaced_{i}"),
-            )
-        ],
+        *[F.sum(name).alias(name) for name in COUNTS],
     )
 
 
 def merged_counts(*counts: DataFrame) -> DataFrame:
     """(dataset_id, ref_id, *COUNTS) of all of them together, without the ids of which nothing is left."""
-    names = ("dataset_id", "ref_id", *COUNTS)
-    united = counts[0].select(*names)
-    for other in counts[1:]:
-        united = united.unionByName(other.select(*names))
-    summed = united.groupBy("dataset_id", "ref_id").agg(*[F.sum(name).alias(name) for name in COUNTS])
     left = F.col("published") != 0
     for name in COUNTS[1:]:
         left = left | (F.col(name) != 0)
-    return summed.where(left)
+    return _summed(*counts).where(left).drop("named")
 
 
 def reference_edges(opportunities: DataFrame | OrphanState) -> DataFrame:
@@ -116,7 +113,7 @@ def reference_edges(opportunities: DataFrame | OrphanState) -> DataFrame:
     if isinstance(opportunities, OrphanState):
         grouped = opportunities.counts.withColumn("named", F.col("ref_id").isNotNull())
     else:
-        grouped = edge_counts(opportunities)
+        grouped = _summed(edge_counts(opportunities))
     per_kind = F.array(
         *[
             F.struct(
