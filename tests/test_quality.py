@@ -168,3 +168,13 @@ def test_property_summary_of_nothing(spark):
     s = properties.property_summary(drift(spark, [])).collect()[0]
     assert (s.feeds_assessed, s.total_custom_property_usages, s.distinct_custom_properties) == (0, 0, 0)
     assert s.feed_share is None
+
+
+def test_breakdowns_hold_no_groups_before_feeds_are_dealt_out(spark):
+    rows = [dict(dataset_url=f"https://d{n}.example/", feed_id=f"f{n}", status="OK") for n in range(300)]
+    found = quality.quality_breakdowns(table(spark, "feed_quality", rows))
+    got = {r.breakdown: (r.value, r.feed_count, r.dataset_count, r.share) for r in found.collect()}
+    assert got["status"] == ("OK", 300, 300, 1.0) and got["grade"] == ("unknown", 300, 300, 1.0)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.index("REPARTITION_BY_NUM"):] if "REPARTITION_BY_NUM" in plan else plan
+    assert "hashpartitioning(dataset" in plan and "Aggregate" not in below

@@ -15,6 +15,7 @@ from tidewatch.schemas import COMPLETENESS_COLUMNS
 BUCKET_WIDTH = 20
 BUCKETS = 100 // BUCKET_WIDTH
 _SCORE_CELLS = 100  # cells per score point when narrowing down the median
+_DATASET_TASKS = 200  # that datasets are dealt out over, at least; up to 200 Spark writes rows out without keeping them
 
 
 def assessed_feeds(
@@ -194,8 +195,14 @@ def quality_breakdowns(assessed: DataFrame) -> DataFrame:
     def label(name: str) -> Column:
         return F.when(not_blank(F.col(name)), strip(F.col(name))).otherwise(UNKNOWN)
 
-    labels = assessed.select(
-        "score", "dataset_url", "feed_id",
+    # A dataset has few feeds, so grouping before the shuffle would hold nearly all rows and save little: feeds are
+    # dealt out by dataset as they are, and each task groups its share of the datasets.
+    tasks = max(_DATASET_TASKS, int(assessed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = assessed.select(
+        "score", "dataset_url", "feed_id", *BREAKDOWNS.values(), fold_case(F.col("dataset_url")).alias("dataset")
+    ).repartition(tasks, "dataset")
+    labels = dealt.select(
+        "score", "dataset_url", "feed_id", "dataset",
         F.inline(
             F.array(
                 *[
@@ -210,7 +217,7 @@ def quality_breakdowns(assessed: DataFrame) -> DataFrame:
     )
     # Reduced to one row per (label, dataset) first, so the count of datasets of a label that
     # covers most feeds is spread over its datasets.
-    per_dataset = labels.groupBy("breakdown", "key", fold_case(F.col("dataset_url")).alias("dataset")).agg(
+    per_dataset = labels.groupBy("breakdown", "key", "dataset").agg(
         F.count(F.lit(1)).alias("feeds"),
         F.min(F.struct(seen_first.alias("seen"), "label")).alias("first"),
     )
