@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
+from tidewatch.functions.text import strip
 from tidewatch.plans.sites import site_mappings
-from tidewatch.sources.site_csv import COLUMNS, load_site_mappings, read_headers
+from tidewatch.sources.site_csv import COLUMNS, load_site_mappings, read_headers, site_mappings_from_text
 
 
 @pytest.fixture
@@ -129,3 +131,20 @@ def test_filters_and_order(load):
     assert ids(match_methods=["SPATIAL"], site_ids=["1", " "]) == [("1", "{9}")]
     assert ids(site_ids=["01"]) == []
     pairs.unpersist()
+
+
+def test_pairs_are_read_once_for_the_sort(spark):
+    rows = spark.createDataFrame([("1", " Beta ", "Amy | |Bob|")], "site_id string, site_name string, oa_publisher_names string")
+    found = site_mappings(site_mappings_from_text(rows))
+    assert found.columns == list(COLUMNS)
+    assert [(r.site_name, r.oa_publisher_names) for r in found.collect()] == [(" Beta ", ["Amy", "Bob"])]
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    ranges = next(i for i, line in enumerate(lines) if "Exchange rangepartitioning" in line)
+    assert "Exchange hashpartitioning" in lines[ranges + 1]
+
+
+def test_list_items_lose_the_white_space_that_the_pattern_names(spark):
+    codes = [c for c in range(1, 0x10000) if not 0xD800 <= c <= 0xDFFF and c not in (0x22, 0x7C)]
+    texts = spark.createDataFrame([(f"{chr(c)} x{chr(c)}y {chr(c)}",) for c in codes], "t string")
+    differing = texts.where(strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))
+    assert differing.count() == 0

@@ -33,9 +33,16 @@ def site_mappings(
             _in_ignoring_case("match_method", match_methods),
         ]
     )
-    return pairs.where(wanted).orderBy(
-        F.coalesce("site_name", F.lit("")),
-        "site_id",
-        F.asc_nulls_last("distance_metres"),
-        F.array_join("oa_location_json", "|"),
+    # The sort reads its input twice, to find its ranges and to deal rows out: dealt out once before, the pairs are
+    # read and parsed once.  Keys are columns, so that a comparison does not work them out again.
+    keys = {
+        "_name": F.coalesce("site_name", F.lit("")),
+        "_documents": F.array_join("oa_location_json", "|"),
+    }
+    return (
+        pairs.where(wanted)
+        .withColumns(keys)
+        .repartition("_name", "site_id", "distance_metres", "_documents")
+        .orderBy("_name", "site_id", F.asc_nulls_last("distance_metres"), "_documents")
+        .drop(*keys)
     )

@@ -69,7 +69,7 @@ def read_cell(cell: Column, how: str) -> Column:
     if how == FLAG:
         return F.coalesce(F.lower(strip(text)) == "true", F.lit(False))
     if how == LIST:
-        return _list_or_empty(F.split(text, "[|]"))
+        return _list_or_empty(F.split(text, r"\|"))  # split without a pattern, unlike [|]
     if how == DOCUMENTS:
         return _list_or_empty(F.regexp_extract_all(text, F.lit(_DOCUMENT), F.lit(1)))
     return text
